@@ -26,6 +26,7 @@ def local_session(cores: str | int = "*", app: str = "colloquy", **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("COLLOQUY_DRIVER_MEMORY", "12g"),
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
@@ -39,7 +40,7 @@ def local_session(cores: str | int = "*", app: str = "colloquy", **conf: str) ->
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; enormous when it has nothing to go by."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
