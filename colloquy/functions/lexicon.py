@@ -50,6 +50,6 @@ MAX_KEY_WORDS = 4
 
 #: A word: letters, digits and the signs that occur inside things worth keeping whole.
 WORD = r"[\p{L}\p{N}'\-.$%#/+’]+"
-WORD_TAIL = r"[.'\-/#]+$"
-POSSESSIVE = r"('s|’s|')$"
+#: The same, ending in a sign that is kept: a match is a word with its trailing punctuation off.
+TRIMMED_WORD = r"[\p{L}\p{N}'\-.$%#/+’]*[\p{L}\p{N}$%+’]"
 KEY_POSSESSIVE = r"'*(?:’s)*(?:'s)*$"

@@ -8,22 +8,20 @@ from pyspark.sql import functions as F
 from colloquy.functions import lexicon as lx
 
 
-def _lower(c: Column) -> Column:
-    return F.lower(c)
-
-
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(lx.WORD), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """Words of a text with trailing punctuation trimmed; array of strings as written."""
-    trimmed = F.transform(raw_words(text), lambda w: F.regexp_replace(w, lx.WORD_TAIL, ""))
-    return F.filter(trimmed, lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(lx.TRIMMED_WORD), F.lit(0))
+
+
+def _bare(w: Column) -> Column:
+    """A lower-case word without its possessive."""
+    return (
+        F.when(w.endswith("'s") | w.endswith("’s"), _strip(w, "'s")).when(w.endswith("'"), _strip(w, "'")).otherwise(w)
+    )
 
 
 def normalise(word: Column) -> Column:
-    return F.regexp_replace(_lower(word), lx.POSSESSIVE, "")
+    return _bare(F.lower(word))
 
 
 def _strip(word: Column, suffix: str) -> Column:
@@ -50,7 +48,7 @@ def is_stopword(word: Column) -> Column:
 
 
 def normalised_words(text: Column) -> Column:
-    return F.transform(words(text), normalise)
+    return F.transform(words(F.lower(text)), _bare)
 
 
 def normalised_text(text: Column) -> Column:
@@ -63,7 +61,7 @@ def content_words(text: Column) -> Column:
 
 
 def stems(text: Column) -> Column:
-    return F.transform(words(text), stem)
+    return F.transform(normalised_words(text), stem_normalised)
 
 
 def question_tokens(text: Column) -> Column:

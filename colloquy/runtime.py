@@ -79,6 +79,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Give per-row text work every core when a scan arrives in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ms_of(column: Column | str) -> Column:
     """Milliseconds since the epoch of a timestamp column, NTZ read as UTC."""
     col = F.col(column) if isinstance(column, str) else column

@@ -284,11 +284,11 @@ def _(spark, sf):
     return timeline.window_numbers(turns, hot_rows=1000).select("id", "run", "part")
 
 
-@query("hierarchy", f"""WITH {_segments_sql('user_id%5')}, s AS (SELECT session_id, count(*) AS turns, min(ts) AS first_ts, max(ts) AS last_ts
- FROM turns GROUP BY 1), g AS (SELECT session_id, count(*) FILTER (WHERE level = 'window') AS windows, count(*) FILTER (WHERE level = 'episode')
+@query("hierarchy", f"""WITH {_segments_sql('user_id%5')}, hs AS (SELECT session_id, count(*) AS turns, min(ts) AS first_ts, max(ts) AS last_ts
+ FROM turns GROUP BY 1), hg AS (SELECT session_id, count(*) FILTER (WHERE level = 'window') AS windows, count(*) FILTER (WHERE level = 'episode')
  AS episodes, min(last_turn_id) FILTER (WHERE level = 'window') AS first_window_end FROM segments GROUP BY 1)
- SELECT session_id, turns, first_ts, last_ts, windows, episodes, first_window_end, (SELECT count(*) FROM s) AS total_sessions
- FROM s JOIN g USING (session_id) ORDER BY last_ts DESC, session_id LIMIT 50""")
+ SELECT session_id, turns, first_ts, last_ts, windows, episodes, first_window_end, (SELECT count(*) FROM hs) AS total_sessions
+ FROM hs JOIN hg USING (session_id) ORDER BY last_ts DESC, session_id LIMIT 50""")
 def _(spark, sf):
     turns = adapters.event_turns(spark, sf)
     tree = sessions.hierarchy(turns.withColumn("scope", F.lit("")), timeline.segments(turns))
