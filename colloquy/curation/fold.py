@@ -78,13 +78,13 @@ def links(turn_flags: DataFrame) -> DataFrame:
     return turn_flags.where("superseded_by IS NOT NULL AND superseded_by <> id").select("id", F.col("superseded_by").alias("by"))
 
 
-def chain_ends(turn_flags: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def chain_ends(turn_flags: DataFrame, ids: DataFrame | None = None, bound: int | None = None) -> DataFrame:
     """`id, latest`: the end of every replaced turn's chain, by pointer jumping. Turns on a cycle have no end."""
     step = links(turn_flags)
     ends = step.select("id", F.col("by").alias("latest"))
     if ids is not None:
-        ends = ends.join(runtime.small_side(ids.select("id")), "id", "left_semi")
-        return _walk_ends(ends, step)
+        ends = ends.join(runtime.small_side(ids.select("id"), bound=bound), "id", "left_semi")
+        return _walk_ends(ends, step, bound)
     for _ in range(JUMPS):
         hop = ends.select(F.col("id").alias("_at"), F.col("latest").alias("_next"))
         moved = runtime.checkpoint(
@@ -97,7 +97,7 @@ def chain_ends(turn_flags: DataFrame, ids: DataFrame | None = None) -> DataFrame
     return ends.join(step.select(F.col("id").alias("latest")), "latest", "left_anti").select("id", "latest")
 
 
-def _walk(start: DataFrame, step: DataFrame) -> DataFrame:
+def _walk(start: DataFrame, step: DataFrame, bound: int | None = None) -> DataFrame:
     """`id, chain`: successors in order, followed until nothing moves. `start` is small; cycles stop on re-entry."""
     at = start.select("id", F.array("by").alias("chain"), F.lit(True).alias("_open"))
     hop = step.select(F.col("id").alias("_at"), F.col("by").alias("_next"))
@@ -107,7 +107,7 @@ def _walk(start: DataFrame, step: DataFrame) -> DataFrame:
             F.col("_next") != F.col("id")
         )
         at = runtime.checkpoint(
-            hop.join(runtime.small_side(at), F.col("_at") == last, "right").select(
+            hop.join(runtime.small_side(at, bound=bound), F.col("_at") == last, "right").select(
                 "id", F.when(onward, F.concat("chain", F.array("_next"))).otherwise(F.col("chain")).alias("chain"),
                 F.coalesce(onward, F.lit(False)).alias("_open"),
             )
@@ -116,33 +116,35 @@ def _walk(start: DataFrame, step: DataFrame) -> DataFrame:
             return at.drop("_open")
 
 
-def _walk_ends(start: DataFrame, step: DataFrame) -> DataFrame:
-    walked = _walk(start.select("id", F.col("latest").alias("by")), step)
+def _walk_ends(start: DataFrame, step: DataFrame, bound: int | None = None) -> DataFrame:
+    walked = _walk(start.select("id", F.col("latest").alias("by")), step, bound)
     return walked.select("id", F.element_at("chain", -1).alias("latest"))
 
 
-def chains(turn_flags: DataFrame | None, ids: DataFrame) -> DataFrame:
+def chains(turn_flags: DataFrame | None, ids: DataFrame, bound: int | None = None) -> DataFrame:
     """`id, chain` for the replaced turns among `ids`."""
     if turn_flags is None:
         return ids.select("id", F.array().cast("array<bigint>").alias("chain")).limit(0)
     step = links(turn_flags)
-    return _walk(step.join(runtime.small_side(ids.select("id")), "id", "left_semi"), step)
+    return _walk(step.join(runtime.small_side(ids.select("id"), bound=bound), "id", "left_semi"), step, bound)
 
 
-def covering(sources: DataFrame | None, ids: DataFrame) -> DataFrame:
+def covering(sources: DataFrame | None, ids: DataFrame, bound: int | None = None) -> DataFrame:
     """`id, covered_by`: the notes standing for each of `ids`."""
     if sources is None:
         return ids.select("id", F.array().cast("array<bigint>").alias("covered_by")).limit(0)
-    mine = sources.join(runtime.small_side(ids.select(F.col("id").alias("turn_id"))), "turn_id", "left_semi")
+    mine = sources.join(runtime.small_side(ids.select(F.col("id").alias("turn_id")), bound=bound), "turn_id", "left_semi")
     return mine.groupBy(F.col("turn_id").alias("id")).agg(F.array_sort(F.collect_list("note_id")).alias("covered_by"))
 
 
-def valid_until(turn_flags: DataFrame, turns: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def valid_until(
+    turn_flags: DataFrame, turns: DataFrame, ids: DataFrame | None = None, bound: int | None = None
+) -> DataFrame:
     """`id, valid_until`: when a replaced turn stopped holding, the time its replacement was said."""
     pairs = links(turn_flags)
     if ids is not None:
-        pairs = pairs.join(runtime.small_side(ids.select("id")), "id", "left_semi")
+        pairs = pairs.join(runtime.small_side(ids.select("id"), bound=bound), "id", "left_semi")
     said = turns.select(F.col("id").alias("by"), F.col("ts").alias("valid_until"))
-    return said.join(runtime.small_side(pairs), "by").select("id", "valid_until")
+    return said.join(runtime.small_side(pairs, bound=bound), "by").select("id", "valid_until")
 
 

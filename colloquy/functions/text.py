@@ -85,17 +85,19 @@ def name_key(surface: Column) -> Column:
 
 def candidate_keys(text: Column, longest: int = lx.MAX_KEY_WORDS) -> Column:
     """Word n-grams of a question, longest first, as keys to look up among known entities."""
-    ws = words(text)
+    tagged = F.transform(
+        words(text), lambda w: F.struct(w.alias("w"), is_stopword(normalise(w)).alias("stop"))
+    )
+    return F.transform(F.array(tagged), lambda ws: _grams(ws, longest))[0]
 
-    def grams(n: int) -> Column:
-        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - F.lit(n - 1)))
-        spans = F.transform(starts, lambda i: F.slice(ws, i, n))
-        useful = F.filter(spans, lambda s: F.exists(s, lambda w: ~is_stopword(normalise(w))))
-        return F.coalesce(
-            F.transform(useful, lambda s: name_key(F.array_join(s, " "))), F.array().cast("array<string>")
-        )
 
-    keys = F.flatten(F.array(*[grams(n) for n in range(longest, 0, -1)]))
+def _grams(ws: Column, longest: int) -> Column:
+    sizes = F.filter(F.sequence(F.lit(longest), F.lit(1), F.lit(-1)), lambda n: n <= F.size(ws))
+    spans = F.flatten(
+        F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.slice(ws, i, n)))
+    )
+    useful = F.filter(spans, lambda s: F.exists(s, lambda w: ~w["stop"]))
+    keys = F.transform(useful, lambda s: name_key(F.array_join(F.transform(s, lambda w: w["w"]), " ")))
     return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= 2))
 
 

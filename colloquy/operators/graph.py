@@ -69,11 +69,11 @@ def degrees(edge_list: DataFrame) -> DataFrame:
     return adjacency(edge_list).groupBy("entity").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def neighbours(edge_list: DataFrame, limit: int, of: DataFrame | None = None) -> DataFrame:
+def neighbours(edge_list: DataFrame, limit: int, of: DataFrame | None = None, bound: int | None = None) -> DataFrame:
     """The `limit` strongest neighbours of every entity, or of those in `of`."""
     adjacent = adjacency(edge_list)
     if of is not None:
-        adjacent = adjacent.join(runtime.small_side(of.select("entity").distinct()), "entity", "left_semi")
+        adjacent = adjacent.join(runtime.small_side(of.select("entity").distinct(), bound=bound), "entity", "left_semi")
     return top_n(adjacent, ["entity"], [F.col("turns").desc(), F.col("other").asc()], limit)
 
 

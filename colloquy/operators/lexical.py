@@ -60,14 +60,14 @@ def search_phrases(tokens: Column) -> Column:
     return F.when(opens, F.array_union(tokens, family)).otherwise(F.array_distinct(tokens))
 
 
-def phrase_matches(rows: DataFrame, phrases: DataFrame, carry: list[str]) -> DataFrame:
+def phrase_matches(rows: DataFrame, phrases: DataFrame, carry: list[str], bound: int | None = None) -> DataFrame:
     """`(id, phrase, tf)` of every phrase occurring in a turn; `phrases` holds `phrase, terms`.
 
     The vocabulary is broadcast when proven small, so the scan keeps only the postings some question asks
     for. Those are placed by turn once; phrase matching and all later per-turn sums stay in that placement.
     """
     vocabulary = phrases.select("phrase", F.size("terms").alias("m"), F.posexplode("terms").alias("idx", "term"))
-    hits = rows.join(runtime.small_side(vocabulary), "term").repartition("id")
+    hits = rows.join(runtime.small_side(vocabulary, bound=bound), "term").repartition("id")
     one = hits.where("m = 1").select("id", "dl", *carry, "phrase", F.size("positions").alias("tf"))
     parts = F.array_sort(F.collect_list(F.struct("idx", "positions")))
     runs = hits.where("m > 1").groupBy("id", "dl", *carry, "phrase", "m").agg(parts.alias("parts")).where(
@@ -91,24 +91,26 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
 def lexical_top(
     entries: DataFrame, asked: DataFrame, *, analyzer: str = "porter", limit: int = sc.VIEW_LIMIT,
     reach: Column | None = None, carry: list[str] | None = None, options: list[str] | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
     """BM25 top turns per question: `query_id, id, score, rank`. `asked` holds `query_id, phrases`.
 
     Term and turn counts are over all indexed rows; `reach` then says what a question may see, before
     the cut. Questions share the work on a phrase: it is matched once per turn, however many ask for it.
+    `bound` limits the phrases of the whole batch, when known.
     """
     carry, options = carry or [], options or []
     wanted = asked.select("query_id", *options, F.explode("phrases").alias("phrase"))
     phrases = wanted.select("phrase").distinct().withColumn("terms", ANALYZERS[analyzer](F.col("phrase"))).where(
         F.size("terms") > 0
     )
-    matched = phrase_matches(postings(entries, *carry), phrases, carry)
+    matched = phrase_matches(postings(entries, *carry), phrases, carry, bound)
     spread = matched.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     size = corpus_size(entries)
     weighed = spread.withColumns({"_n": size.select("n").scalar(), "_avg": size.select("avgdl").scalar()})
-    per_query = wanted.join(runtime.small_side(weighed), "phrase")
+    per_query = wanted.join(runtime.small_side(weighed, bound=bound), "phrase")
     contribution = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("_n"), F.col("_avg"))
-    pairs = matched.join(runtime.small_side(per_query), "phrase")
+    pairs = matched.join(runtime.small_side(per_query, bound=bound), "phrase")
     if reach is not None:
         pairs = pairs.where(reach)
     scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum(contribution), 9).alias("score"))

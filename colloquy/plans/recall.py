@@ -30,6 +30,32 @@ def _empty() -> Column:
     return F.array().cast(_NO_KEYS)
 
 
+@dataclass(frozen=True)
+class Batch:
+    """What one cheap count over a question batch proves about everything derived from it."""
+
+    queries: int
+    chars: int
+
+    @staticmethod
+    def of(queries: DataFrame) -> "Batch":
+        n, chars = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("query")), F.lit(0))).first()
+        return Batch(n, chars)
+
+    @property
+    def words(self) -> int:
+        """Words, phrases, n-grams and keys: at most four n-grams start at every second character."""
+        return 2 * self.chars + len(lx.PREDICATE_FAMILY) * self.queries
+
+    @property
+    def nominations(self) -> int:
+        return len(VIEWS) * sc.VIEW_LIMIT * self.queries
+
+    @property
+    def hits(self) -> int:
+        return sc.MAX_TOP_K * self.queries
+
+
 # --- reading the question --------------------------------------------------------------------------
 def names_of(entities: Column, measures: Column) -> Column:
     """The keys a turn has to mention to be about the question: no measures, no parts of a longer key."""
@@ -46,8 +72,9 @@ def names_of(entities: Column, measures: Column) -> Column:
     return F.filter(kept, lambda k: ~F.exists(kept, lambda other: within(k, other)))
 
 
-def profile(queries: DataFrame, memory: Memory) -> DataFrame:
+def profile(queries: DataFrame, memory: Memory, batch: Batch | None = None) -> DataFrame:
     """`queries` holds `query_id, query` and any option columns; adds everything the views ask about."""
+    batch = batch or Batch.of(queries)
     missing = {name: F.lit(None).cast(kind) for name, kind in OPTIONS.items() if name not in queries.columns}
     now = memory.entries.where(F.col("kind") != "brief").agg(F.max("ts").alias("t")).scalar()
     lower = F.lower("text")
@@ -82,7 +109,7 @@ def profile(queries: DataFrame, memory: Memory) -> DataFrame:
         F.lit(1), F.floor(memory.entries.agg(F.count(F.lit(1)).alias("n")).scalar() * F.lit(sc.MAX_ENTITY_SHARE))
     )
     grams = read.select("query_id", F.posexplode(text.candidate_keys(F.col("text"))).alias("pos", "entity"))
-    wanted = runtime.small_side(grams)
+    wanted = runtime.small_side(grams, bound=batch.words)
     known = (
         memory.stats().select("entity", "turns").where(F.col("turns") <= cap).join(wanted, "entity")
         .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "entity"))).alias("k"))
@@ -141,36 +168,37 @@ def _visible() -> Column:
 
 
 # --- views -------------------------------------------------------------------------------------------
-def lexical_view(memory: Memory, asked: DataFrame) -> DataFrame:
+def lexical_view(memory: Memory, asked: DataFrame, batch: Batch) -> DataFrame:
     wanted = asked.where(F.size("tokens") > 0).select("query_id", "phrases", *_options(asked))
     return lexical.lexical_top(
         memory.flagged, wanted, analyzer=memory.analyzer, reach=_visible(), carry=ATTRS,
-        options=[f"q_{o}" for o in _REACH],
+        options=[f"q_{o}" for o in _REACH], bound=batch.words,
     ).select("query_id", "id", "score")
 
 
-def _mentioning(placed: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+def _mentioning(placed: DataFrame, keys: DataFrame, limit: int, bound: int) -> DataFrame:
     """Distinct keys a turn shares with a question, best turns first."""
-    pairs = placed.join(runtime.small_side(keys), "entity").where(_visible())
+    pairs = placed.join(runtime.small_side(keys, bound=bound), "entity").where(_visible())
     counted = pairs.groupBy("query_id", "id").agg(F.countDistinct("entity").alias("n"))
     return top_n(counted, ["query_id"], [F.col("n").desc(), F.col("id").desc()], limit).select("query_id", "id", "n")
 
 
-def entity_view(memory: Memory, asked: DataFrame) -> DataFrame:
+def entity_view(memory: Memory, asked: DataFrame, batch: Batch) -> DataFrame:
     """One point per distinct key, a fraction per key that often occurs beside one of them."""
     own = asked.select("query_id", *_options(asked), F.explode("entities").alias("entity"))
-    near = graph.neighbours(memory.edges(), sc.ENTITY_NEIGHBOURS, own).select("entity", "other")
+    near_bound = sc.ENTITY_NEIGHBOURS * batch.words
+    near = graph.neighbours(memory.edges(), sc.ENTITY_NEIGHBOURS, own, batch.words).select("entity", "other")
     beside = (
-        own.join(runtime.small_side(near), "entity").drop("entity").withColumnRenamed("other", "entity").distinct()
+        own.join(runtime.small_side(near, bound=near_bound), "entity").drop("entity").withColumnRenamed("other", "entity").distinct()
         .join(own.select("query_id", "entity"), ["query_id", "entity"], "left_anti")
     )
     keys = own.select("entity").unionAll(beside.select("entity")).distinct()
     placed = (
         memory.mentions(*ATTRS, source=memory.flagged).withColumnRenamed("turn_id", "id")
-        .join(runtime.small_side(keys), "entity", "left_semi").select("id", "entity", *ATTRS).repartition("id")
+        .join(runtime.small_side(keys, bound=batch.words + near_bound), "entity", "left_semi").select("id", "entity", *ATTRS).repartition("id")
     )
-    direct = _mentioning(placed, own, 2 * sc.VIEW_LIMIT).withColumn("score", F.col("n").cast("double"))
-    aside = _mentioning(placed, beside, 2 * sc.VIEW_LIMIT).withColumn("score", F.col("n") * sc.NEIGHBOUR_WEIGHT)
+    direct = _mentioning(placed, own, 2 * sc.VIEW_LIMIT, batch.words).withColumn("score", F.col("n").cast("double"))
+    aside = _mentioning(placed, beside, 2 * sc.VIEW_LIMIT, near_bound).withColumn("score", F.col("n") * sc.NEIGHBOUR_WEIGHT)
     summed = direct.unionByName(aside).groupBy("query_id", "id").agg(F.round(F.sum("score"), 9).alias("score"))
     return top_n(summed, ["query_id"], [F.col("score").desc(), F.col("id").desc()], sc.VIEW_LIMIT).drop("rank")
 
@@ -304,11 +332,12 @@ def _collapse_one(rows: pd.DataFrame) -> pd.DataFrame:
     return out if best > 0 or folded else out.iloc[:0]
 
 
-def collapse(fused: DataFrame, chains: DataFrame, covered: DataFrame) -> DataFrame:
+def collapse(fused: DataFrame, chains: DataFrame, covered: DataFrame, bound: int | None = None) -> DataFrame:
     """`calibrate` with folding. `chains` holds `id, chain`; `covered` holds `id, covered_by`."""
     none = F.array().cast("array<bigint>")
     rows = (
-        fused.join(runtime.small_side(chains), "id", "left").join(runtime.small_side(covered), "id", "left")
+        fused.join(runtime.small_side(chains, bound=bound), "id", "left")
+        .join(runtime.small_side(covered, bound=bound), "id", "left")
         .withColumns({"chain": F.coalesce("chain", none), "covered_by": F.coalesce("covered_by", none)})
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -359,10 +388,10 @@ _Q = ["top_k", "names", "tokens", "technical", "temporal", "history", "past", "p
       "exclude_session", "session", "since", "until", "scope", "context"]
 
 
-def _pages(memory: Memory, ids: DataFrame) -> DataFrame:
+def _pages(memory: Memory, ids: DataFrame, bound: int) -> DataFrame:
     """The turns some view nominated, read once, with the word sets the later stages ask about."""
     rows = memory.flagged.select("id", "uuid", "session_id", "speaker", "text", "ts", "kind", "scope", "hidden").join(
-        runtime.small_side(ids.select("id").distinct()), "id", "left_semi"
+        runtime.small_side(ids.select("id").distinct(), bound=bound), "id", "left_semi"
     )
     t = F.col("text")
     return rows.withColumns(
@@ -377,27 +406,28 @@ def _q(prefix: str = "q_") -> dict[str, Column]:
     return {name: F.col(prefix + name) for name in _Q}
 
 
-def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame) -> DataFrame:
+def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame, batch: Batch) -> DataFrame:
     """A replaced turn passes its score to the end of its chain, which is fetched when nobody nominated it."""
-    ends = fold.chain_ends(memory.flags, fused.select("id").distinct())
-    old = fused.join(runtime.small_side(ends), "id").where(~F.col("q_past"))
+    n = batch.nominations
+    ends = fold.chain_ends(memory.flags, fused.select("id").distinct(), n)
+    old = fused.join(runtime.small_side(ends, bound=n), "id").where(~F.col("q_past"))
     heirs = old.groupBy("query_id", F.col("latest").alias("heir")).agg(
         F.max("score").alias("_score"), F.max_by("sources", F.struct("score", "ts", F.col("uuid"))).alias("_sources"),
         F.max("anchor").alias("_anchor"),
     )
-    turns = _pages(memory, heirs.select(F.col("heir").alias("id")))
+    turns = _pages(memory, heirs.select(F.col("heir").alias("id")), n)
     seen = (
-        heirs.join(runtime.small_side(turns), F.col("heir") == F.col("id")).drop("heir")
-        .join(runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q])), "query_id")
+        heirs.join(runtime.small_side(turns, bound=n), F.col("heir") == F.col("id")).drop("heir")
+        .join(runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries), "query_id")
         .where(_visible() & (F.col("kind") != "brief"))
     )
-    gone = runtime.small_side(ends.select("id", F.lit(True).alias("_gone")))
+    gone = runtime.small_side(ends.select("id", F.lit(True).alias("_gone")), bound=n)
     halved = fused.join(gone, "id", "left").withColumn(
         "score",
         F.when(F.col("_gone") & ~F.col("q_past"), F.round(F.col("score") * sc.SUPERSEDED_FACTOR, 6)).otherwise(F.col("score")),
     ).drop("_gone")
     got = seen.select("query_id", "id", "_score", "_anchor")
-    raised = halved.join(runtime.small_side(got), ["query_id", "id"], "left").withColumns(
+    raised = halved.join(runtime.small_side(got, bound=n), ["query_id", "id"], "left").withColumns(
         {"score": F.greatest("score", "_score"), "anchor": F.greatest("anchor", "_anchor")}
     ).drop("_score", "_anchor")
     fetched = seen.withColumns(
@@ -412,22 +442,23 @@ def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame) -> DataFrame:
 
 def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Recall:
     """Answer every row of `queries` (`query_id, query`, option columns as in `QUERY_OPTIONS`)."""
-    asked = runtime.checkpoint(profile(queries, memory))
+    batch = Batch.of(queries)
+    asked = runtime.checkpoint(profile(queries, memory, batch))
     plan = view_plan(asked, memory)
-    views = [lexical_view(memory, asked).withColumns({"view": F.lit("lexical"), "_r": F.lit(0)}),
-             entity_view(memory, asked).withColumns({"view": F.lit("entity"), "_r": F.lit(0)}),
+    views = [lexical_view(memory, asked, batch).withColumns({"view": F.lit("lexical"), "_r": F.lit(0)}),
+             entity_view(memory, asked, batch).withColumns({"view": F.lit("entity"), "_r": F.lit(0)}),
              recent_view(memory, asked).withColumn("view", F.lit("recent"))]
     if memory.embed_fn is not None:
         views.append(dense_view(memory, asked).withColumns({"view": F.lit("dense"), "_r": F.lit(0)}))
     cols = ["query_id", "view", "id", "score", "_r"]
     # At most 50 rows per view and question leave here; the cut keeps later plans from holding four views each.
     nominated = runtime.checkpoint(reduce(DataFrame.unionByName, [v.select(*cols) for v in views]))
-    pages = runtime.checkpoint(_pages(memory, nominated))
-    ask_cols = runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]))
-    rows = nominated.join(runtime.small_side(pages), "id").where(F.col("kind") != "brief").join(ask_cols, "query_id")
+    pages = runtime.checkpoint(_pages(memory, nominated, batch.nominations))
+    ask_cols = runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries)
+    rows = nominated.join(runtime.small_side(pages, bound=batch.nominations), "id").where(F.col("kind") != "brief").join(ask_cols, "query_id")
     if memory.flags is not None:
-        until = fold.valid_until(memory.flags, memory.entries, nominated.select("id").distinct())
-        rows = rows.join(runtime.small_side(until), "id", "left")
+        until = fold.valid_until(memory.flags, memory.entries, nominated.select("id").distinct(), batch.nominations)
+        rows = rows.join(runtime.small_side(until, bound=batch.nominations), "id", "left")
     else:
         rows = rows.withColumn("valid_until", F.lit(None).cast("long"))
     q = _q()
@@ -456,7 +487,7 @@ def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Reca
         F.round(clock_score(F.col("part"), F.col("ts"), F.col("valid_until"), q) * anchor_factor(F.col("anchor")), 6),
     ).drop("part")
     if memory.flags is not None:
-        fused = _hand_over(memory, runtime.checkpoint(fused), asked)
+        fused = _hand_over(memory, runtime.checkpoint(fused), asked, batch)
     slim = fused.drop("_words", "_lower", "_stems", "_plain").withColumnsRenamed(
         {"q_top_k": "top_k", "q_names": "names", "q_past": "past"}
     )
@@ -465,11 +496,12 @@ def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Reca
         calibrated = calibrate(slim)
     else:
         ids = slim.select("id").distinct()
-        calibrated = collapse(slim, fold.chains(memory.flags, ids), fold.covering(memory.note_sources, ids))
+        n = 2 * batch.nominations
+        calibrated = collapse(slim, fold.chains(memory.flags, ids, n), fold.covering(memory.note_sources, ids, n), n)
     judged = runtime.checkpoint(abstain(calibrated))
     mine = Window.partitionBy("query_id").orderBy(*fused_order())
     kept = judged.where("reason IS NULL").withColumn("rank", F.row_number().over(mine))
-    evidence = _assemble(memory, kept)
+    evidence = _assemble(memory, kept, batch.hits)
     verdicts = kept.where("abstained IS NOT NULL").groupBy("query_id").agg(F.first("abstained").alias("a")).select(
         "query_id", "a.missing", "a.best"
     )
@@ -478,20 +510,20 @@ def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Reca
         judged.where("reason IS NOT NULL").select("query_id", "id", "score", "reason"), evidence, verdicts,
     )
     if context:
-        out.context = attach_context(memory, evidence, asked)
+        out.context = attach_context(memory, evidence, asked, batch)
     return out
 
 
-def _assemble(memory: Memory, kept: DataFrame) -> DataFrame:
-    ids = runtime.small_side(kept.select("id").distinct())
+def _assemble(memory: Memory, kept: DataFrame, bound: int) -> DataFrame:
+    ids = runtime.small_side(kept.select("id").distinct(), bound=bound)
     keys = memory.mentions().join(ids.withColumnRenamed("id", "turn_id"), "turn_id", "left_semi").groupBy("turn_id").agg(
         F.array_sort(F.collect_set("entity")).alias("entities")
     ).withColumnRenamed("turn_id", "id")
-    out = kept.drop("missing", "names", "past", "top_k", "reason").join(runtime.small_side(keys), "id", "left").withColumn(
+    out = kept.drop("missing", "names", "past", "top_k", "reason").join(runtime.small_side(keys, bound=bound), "id", "left").withColumn(
         "entities", F.coalesce("entities", _empty())
     )
     if memory.flags is not None:
-        out = out.join(runtime.small_side(memory.flags.join(ids, "id", "left_semi").select("id", "superseded_by")), "id", "left")
+        out = out.join(runtime.small_side(memory.flags.join(ids, "id", "left_semi").select("id", "superseded_by"), bound=bound), "id", "left")
     else:
         out = out.withColumn("superseded_by", F.lit(None).cast("long"))
     none = F.array().cast("array<bigint>")
@@ -499,7 +531,7 @@ def _assemble(memory: Memory, kept: DataFrame) -> DataFrame:
         covers = memory.note_sources.join(ids.withColumnRenamed("id", "note_id"), "note_id", "left_semi").groupBy(
             F.col("note_id").alias("id")
         ).agg(F.array_sort(F.collect_list("turn_id")).alias("covers"))
-        out = out.join(runtime.small_side(covers), "id", "left").withColumn("covers", F.coalesce("covers", none))
+        out = out.join(runtime.small_side(covers, bound=bound), "id", "left").withColumn("covers", F.coalesce("covers", none))
     else:
         out = out.withColumn("covers", none)
     return out
@@ -510,12 +542,14 @@ def compact(evidence: DataFrame) -> DataFrame:
     return evidence.drop("sources", "entities", "anchor")
 
 
-def claim_context(near: DataFrame, evidence: DataFrame, budget: int = sc.MAX_CONTEXT_TURNS) -> DataFrame:
+def claim_context(
+    near: DataFrame, evidence: DataFrame, budget: int = sc.MAX_CONTEXT_TURNS, bound: int | None = None
+) -> DataFrame:
     """Each neighbour goes to the best-ranked hit that asks for it, nearest first, `budget` per answer.
 
     `near` holds `query_id, hit_rank, hit_id, id, side, dist` already filtered to what may be shown.
     """
-    free = near.join(runtime.small_side(evidence.select("query_id", "id")), ["query_id", "id"], "left_anti")
+    free = near.join(runtime.small_side(evidence.select("query_id", "id"), bound=bound), ["query_id", "id"], "left_anti")
     first = Window.partitionBy("query_id", "id").orderBy("hit_rank", F.col("side") == "after", "dist")
     turn = Window.partitionBy("query_id").orderBy("hit_rank", F.col("side") == "after", "dist")
     # At most 50 hits with 20 neighbours each reach a question's window.
@@ -525,18 +559,18 @@ def claim_context(near: DataFrame, evidence: DataFrame, budget: int = sc.MAX_CON
     )
 
 
-def attach_context(memory: Memory, evidence: DataFrame, asked: DataFrame) -> DataFrame:
+def attach_context(memory: Memory, evidence: DataFrame, asked: DataFrame, batch: Batch) -> DataFrame:
     """Same-session turns around each hit, as many per side as the question's `context` asks for."""
-    options = runtime.small_side(asked.where("context > 0").select("query_id", "context", "include_hidden"))
+    options = runtime.small_side(asked.where("context > 0").select("query_id", "context", "include_hidden"), bound=batch.queries)
     hits = evidence.join(options, "query_id").select(
         "query_id", F.col("rank").alias("hit_rank"), F.col("id").alias("hit_id"), "context", "include_hidden"
     )
     turns = memory.flagged.select("id", "uuid", "session_id", "speaker", "text", "ts", "hidden")
-    near = sessions.neighbours_of(turns, hits, sc.MAX_CONTEXT, sc.MAX_CONTEXT).where("dist > 0")
-    rows = near.join(runtime.small_side(hits), "hit_id").where(
+    near = sessions.neighbours_of(turns, hits, sc.MAX_CONTEXT, sc.MAX_CONTEXT, bound=batch.hits).where("dist > 0")
+    rows = near.join(runtime.small_side(hits, bound=batch.hits), "hit_id").where(
         (F.col("dist") <= F.col("context")) & (F.col("include_hidden") | ~F.col("hidden"))
     )
-    return claim_context(rows, evidence).select(
+    return claim_context(rows, evidence, bound=batch.hits).select(
         "query_id", "hit_rank", "hit_id", "side", "dist", "id", "uuid", "speaker", "text", "ts"
     )
 

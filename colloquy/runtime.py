@@ -50,9 +50,13 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the side is proven small; otherwise leave a shuffle join to the planner."""
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
+    """Hint a broadcast when the side is proven small; otherwise leave a shuffle join to the planner.
+
+    `bound` is an upper limit on the rows the caller has already derived, so nothing has to be counted.
+    """
+    fits = bound <= rows if bound is not None else fits_broadcast(df, rows)
+    return F.broadcast(df) if fits else df
 
 
 def has_hot_group(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
