@@ -223,21 +223,24 @@ def near_duplicates(
     blocked = placed.join(sizes, "cell").withColumn("_b", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     lefts = blocked.where("native").select("cell", F.col("_b").alias("i"), F.explode(every).alias("j"), "gid", "vec")
-    rights = blocked.select("cell", F.explode(every).alias("i"), F.col("_b").alias("j"), "gid", "vec")
+    # New names, because both sides come from one table.
+    rights = blocked.select(
+        F.col("cell").alias("cell_r"), F.explode(every).alias("i_r"), F.col("_b").alias("j_r"),
+        F.col("gid").alias("gid_r"), F.col("vec").alias("vec_r"),
+    )
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"gid": [], "other": [], "score": []})
         a = np.stack(left["vec"].to_numpy()).astype(np.float64)
-        b = np.stack(right["vec"].to_numpy()).astype(np.float64)
+        b = np.stack(right["vec_r"].to_numpy()).astype(np.float64)
         cos = np.round(a @ b.T, SCORE_DIGITS)
         x, y = np.nonzero(cos >= cosine)
         return pd.DataFrame(
-            {"gid": left["gid"].to_numpy()[x], "other": right["gid"].to_numpy()[y], "score": cos[x, y]}
+            {"gid": left["gid"].to_numpy()[x], "other": right["gid_r"].to_numpy()[y], "score": cos[x, y]}
         )
 
-    key = ["cell", "i", "j"]
-    pairs = lefts.groupBy(*key).cogroup(rights.groupBy(*key)).applyInPandas(
+    pairs = lefts.groupBy("cell", "i", "j").cogroup(rights.groupBy("cell_r", "i_r", "j_r")).applyInPandas(
         match, "gid long, other long, score double"
     )
     member_of = tagged.join(groups.select("_gh", "vec", "gid"), ["_gh", "vec"]).select("id", "gid")

@@ -1,8 +1,8 @@
 """Every query the package registers, by section."""
 
-from colloquy.suite import store  # noqa: F401
+from colloquy.suite import entities, retrieval, store  # noqa: F401
 from colloquy.suite.registry import ORACLES, QUERIES
 
-FLAGSHIP = "session_summaries"
+FLAGSHIP = "recall"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

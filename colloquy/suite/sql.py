@@ -80,10 +80,10 @@ def mentions(turns: str = "turns", out: str = "mentions", text: str = "text", ex
     return rf"""{p}items AS (SELECT id, UNNEST(items) AS item, UNNEST(range(1, len(items)+1)) AS pos FROM
  (SELECT id, regexp_extract_all({text}, '{_WORD}|[^\p{{L}}\p{{N}}''\-.$%#/+’]+') AS items FROM {turns})),
 {p}placed AS (SELECT *, regexp_matches(item, '^{_WORD}$') AS is_word, regexp_replace(item, '[.''\-/#]+$', '') AS bare,
- coalesce(sum(length(item)) OVER w, 0) AS at,
+ coalesce(sum(length(item)) OVER w, 0) AS off,
  coalesce(sum(CASE WHEN regexp_matches(item, '[!?\n]') THEN 1 ELSE 0 END) OVER w, 0) AS bangs FROM {p}items
  WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-{p}tok AS (SELECT id, bare AS w, at, bangs, substr(item, length(bare)+1) AS tail,
+{p}tok AS (SELECT id, bare AS w, off, bangs, substr(item, length(bare)+1) AS tail,
  row_number() OVER (PARTITION BY id ORDER BY pos) AS n,
  lag(bangs) OVER (PARTITION BY id ORDER BY pos) AS pbangs,
  lag(substr(item, length(bare)+1)) OVER (PARTITION BY id ORDER BY pos) AS ptail
@@ -100,7 +100,7 @@ def mentions(turns: str = "turns", out: str = "mentions", text: str = "text", ex
  (SELECT id, regexp_extract_all(s, '[BDFHJLNP](?:[CDGHKLOP]|[EFGHMNOP][I-P])*|.') AS r FROM {p}line)),
 {p}runs AS (SELECT id, run, coalesce(sum(length(run)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
  AND 1 PRECEDING), 0) + 1 AS n FROM {p}cut),
-{p}spans AS (SELECT r.id, a.at AS start_at, z.at + length(z.w) AS end_at FROM {p}runs r
+{p}spans AS (SELECT r.id, a.off AS start_at, z.off + length(z.w) AS end_at FROM {p}runs r
  JOIN {p}bits a ON a.id = r.id AND a.n = r.n JOIN {p}bits z ON z.id = r.id AND z.n = r.n + length(r.run) - 1
  WHERE substr(r.run, 1, 1) IN ('B','D','F','H','J','L','N','P')),
 {out} AS (SELECT t.id AS turn_id, {name_key('substr(t.' + text + ', CAST(s.start_at AS BIGINT)+1, CAST(s.end_at - s.start_at AS BIGINT))')} AS entity,
