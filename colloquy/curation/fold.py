@@ -9,6 +9,8 @@ from colloquy import runtime
 
 #: Rounds of pointer jumping; chains of up to 2^30 links are followed.
 JUMPS = 30
+#: Links followed between two lineage cuts.
+HOPS_PER_JOB = 4
 
 
 def live(actions: DataFrame) -> DataFrame:
@@ -82,9 +84,6 @@ def chain_ends(turn_flags: DataFrame, ids: DataFrame | None = None, bound: int |
     """`id, latest`: the end of every replaced turn's chain, by pointer jumping. Turns on a cycle have no end."""
     step = links(turn_flags)
     ends = step.select("id", F.col("by").alias("latest"))
-    if ids is not None:
-        ends = ends.join(runtime.small_side(ids.select("id"), bound=bound), "id", "left_semi")
-        return _walk_ends(ends, step, bound)
     for _ in range(JUMPS):
         hop = ends.select(F.col("id").alias("_at"), F.col("latest").alias("_next"))
         moved = runtime.checkpoint(
@@ -93,8 +92,10 @@ def chain_ends(turn_flags: DataFrame, ids: DataFrame | None = None, bound: int |
         )
         ends = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
-            return ends
-    return ends.join(step.select(F.col("id").alias("latest")), "latest", "left_anti").select("id", "latest")
+            break
+    else:
+        ends = ends.join(step.select(F.col("id").alias("latest")), "latest", "left_anti").select("id", "latest")
+    return ends if ids is None else ends.join(runtime.small_side(ids.select("id"), bound=bound), "id", "left_semi")
 
 
 def _walk(start: DataFrame, step: DataFrame, bound: int | None = None) -> DataFrame:
@@ -102,25 +103,19 @@ def _walk(start: DataFrame, step: DataFrame, bound: int | None = None) -> DataFr
     at = start.select("id", F.array("by").alias("chain"), F.lit(True).alias("_open"))
     hop = step.select(F.col("id").alias("_at"), F.col("by").alias("_next"))
     while True:
-        last = F.element_at("chain", -1)
-        onward = F.col("_open") & F.col("_next").isNotNull() & ~F.array_contains("chain", F.col("_next")) & (
-            F.col("_next") != F.col("id")
-        )
-        at = runtime.checkpoint(
-            hop.join(runtime.small_side(at, bound=bound), F.col("_at") == last, "right").select(
+        for _ in range(HOPS_PER_JOB):
+            onward = F.col("_open") & F.col("_next").isNotNull() & ~F.array_contains("chain", F.col("_next")) & (
+                F.col("_next") != F.col("id")
+            )
+            at = hop.join(runtime.small_side(at, bound=bound), F.col("_at") == F.element_at("chain", -1), "right").select(
                 "id", F.when(onward, F.concat("chain", F.array("_next"))).otherwise(F.col("chain")).alias("chain"),
                 F.coalesce(onward, F.lit(False)).alias("_open"),
             )
-        )
+        at = runtime.checkpoint(at)
         if at.where("_open").isEmpty():
             return at.drop("_open")
 
 
-def _walk_ends(start: DataFrame, step: DataFrame, bound: int | None = None) -> DataFrame:
-    walked = _walk(start.select("id", F.col("latest").alias("by")), step, bound)
-    return walked.select("id", F.element_at("chain", -1).alias("latest"))
-
-
 def chains(turn_flags: DataFrame | None, ids: DataFrame, bound: int | None = None) -> DataFrame:
     """`id, chain` for the replaced turns among `ids`."""
     if turn_flags is None:
