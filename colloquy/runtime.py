@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,20 +70,29 @@ def has_hot_group(df: DataFrame, keys: list[str], rows: int | None = None) -> bo
     return not df.groupBy(*keys).count().where(F.col("count") > rows).isEmpty()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: `spark.checkpoint.dir`; a local session may make its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return shared
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage on the shared folder named by `spark.checkpoint.dir`."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut lineage on the shared folder. Reliable: it outlives the executor that wrote it."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "")
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run's tables on the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def spread_scan(df: DataFrame) -> DataFrame:
     """Give per-row text work every core when a scan arrives in fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

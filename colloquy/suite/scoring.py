@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy import runtime
 from colloquy.curation.apply import oracle_supersession
 from colloquy.operators import evaluation, health
-from colloquy.operators.ordered import top_n
+from colloquy.operators.ordered import Ordered
 from colloquy.sources import adapters
 from colloquy.suite.registry import query
 
@@ -31,8 +31,9 @@ def _frames(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = adapters.table(spark, sf, "documents").select(
         F.col("source").alias("query_id"), F.col("doc_id").alias("uuid"), "n_chars", "lang"
     )
-    a = top_n(docs, ["query_id"], [F.col("n_chars").desc(), F.col("uuid").asc()], 1_000_000).select("query_id", "uuid", "rank")
-    b = top_n(docs, ["query_id"], [F.floor(F.col("n_chars") / 50).desc(), F.col("uuid").desc()], 1_000_000).select("query_id", "uuid", "rank")
+    a = Ordered.of(docs, ["query_id"], ["-n_chars", "uuid"]).rank("rank").done().select("query_id", "uuid", "rank")
+    coarse = docs.withColumn("size", F.floor(F.col("n_chars") / 50))
+    b = Ordered.of(coarse, ["query_id"], ["-size", "-uuid"]).rank("rank").done().select("query_id", "uuid", "rank")
     labels = adapters.table(spark, sf, "labels").select(F.col("doc_id").alias("uuid"), (F.col("quality") + 1).alias("grade"))
     queries = docs.groupBy("query_id").agg(F.min("lang").alias("kind"))
     return a, b, docs.select("query_id", "uuid").join(labels, "uuid"), queries
