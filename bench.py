@@ -58,7 +58,7 @@ def main() -> None:
 
     def whole_ingest():
         stored = ingest.ingest(spread_scan(inputs), None, 0, first_id=1).turns.persist()
-        found = extract_mentions(stored).persist()
+        found = extract_mentions(spread_scan(stored)).persist()
         done(graph.entity_stats(found, stored))
         done(graph.edges(found))
         done(timeline.segments(timeline.turn_keys(stored, found)))

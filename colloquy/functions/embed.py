@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from typing import Callable, Iterator
+from typing import Callable
 
 import numpy as np
 import pandas as pd
@@ -52,7 +52,7 @@ def light_stem(word: str) -> str:
     return w
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=300_000)
 def _word_features(low: str) -> tuple[np.ndarray, np.ndarray]:
     padded = f" {low} "
     weighted = [(f"w:{low}", WORD_WEIGHT), (f"s:{light_stem(low)}", STEM_WEIGHT)]
@@ -99,14 +99,12 @@ def embed(
 ) -> DataFrame:
     """Append unit vectors. `embed_fn` maps a list of texts to a matrix and is called in small batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts = [prefix + ((t or "")[:chars] if chars else (t or "")) for t in rows.column(text).to_pylist()]
-            out = [np.asarray(embed_fn(texts[i : i + batch]), dtype=np.float32) for i in range(0, len(texts), batch)]
-            flat = np.concatenate(out) if out else np.zeros((0, 1), np.float32)
-            offsets = np.arange(len(flat) + 1, dtype=np.int32) * (flat.shape[1] if len(flat) else 0)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1), pa.float32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, vec])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, f"`{vec}` array<float>"]))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(column: pa.Array) -> pa.Array:
+        texts = [prefix + ((t or "")[:chars] if chars else (t or "")) for t in column.to_pylist()]
+        out = [np.asarray(embed_fn(texts[i : i + batch]), dtype=np.float32) for i in range(0, len(texts), batch)]
+        flat = np.concatenate(out) if out else np.zeros((0, 1), np.float32)
+        ends = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1), pa.float32()))
+
+    return df.withColumn(vec, vectors(F.col(text)))

@@ -9,9 +9,12 @@ cover end whatever run they interrupt.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +70,7 @@ def _technical_name(token: str) -> tuple[str, str] | None:
 
 def technical(text: str) -> Iterator[tuple[str, int, int]]:
     """`(kind, start, end)` in characters of every path, symbol and env var."""
-    for hit in re.finditer(r"\S+", text):
+    for hit in _MARKED.finditer(text):
         start = hit.end() - len(hit[0].lstrip(_OPENERS))
         token = text[start : hit.end()]
         while True:
@@ -81,18 +84,27 @@ def technical(text: str) -> Iterator[tuple[str, int, int]]:
             yield found[0], start, start + len(found[1])
 
 
+#: Only a token with one of these signs inside can be a path, a symbol or an env var.
+_MARKED = re.compile(r"\S*[_/.:(][^\s,;.!?\]}\"'`>*:]\S*|\S*\(\)\S*")
+
+
 # --- words ------------------------------------------------------------------------------------
 def word_spans(text: str) -> list[tuple[int, int, bool]]:
     """`(start, end, opens a sentence)` of every word, in characters."""
     out, opens, at = [], True, 0
     for hit in _WORD.finditer(text):
-        opens = opens or bool(_SENTENCE_GAP.search(text, at, hit.start()))
-        at = hit.end()
-        tail = _TAIL.search(hit[0])
-        end = hit.end() - (len(tail[0]) if tail else 0)
-        if end > hit.start():
-            out.append((hit.start(), end, opens))
-            opens = bool(tail) and "." in tail[0]
+        start, end = hit.span()
+        if not opens and not (start - at == 1 and text[at] == " "):
+            opens = bool(_SENTENCE_GAP.search(text, at, start))
+        at = end
+        if text[end - 1] in ".'-/#":
+            bare = end - len(_TAIL.search(hit[0])[0])
+            if bare > start:
+                out.append((start, bare, opens))
+                opens = "." in text[bare:end]
+        else:
+            out.append((start, end, opens))
+            opens = False
     return out
 
 
@@ -117,6 +129,7 @@ def _quantity_key(word: str) -> str | None:
     return w if _UNIT_QUANTITY.match(w) else None
 
 
+@lru_cache(maxsize=300_000)
 def _letter(word: str, opens: bool) -> str:
     bits, low, first = 0, word.lower(), word[0]
     if first.isdigit() or first in "+$€£-vV":
@@ -201,10 +214,16 @@ def find_mentions(text: str) -> list[tuple[str, str, str, int, int]]:
 MENTION_ARRAY = T.ArrayType(MENTION)
 
 
-@F.pandas_udf(MENTION_ARRAY)
-def mentions_of(texts: pd.Series) -> pd.Series:
-    fields = ("key", "kind", "surface", "start", "end")
-    return texts.map(lambda t: [dict(zip(fields, m)) for m in find_mentions(t or "")])
+@F.arrow_udf(MENTION_ARRAY)
+def mentions_of(texts: pa.Array) -> pa.Array:
+    found = [find_mentions(t or "") for t in texts.to_pylist()]
+    columns = list(zip(*[m for row in found for m in row])) or [()] * 5
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+    items = pa.StructArray.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "kind", "surface", "start", "end"]
+    )
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), items)
 
 
 @F.pandas_udf(T.BooleanType())

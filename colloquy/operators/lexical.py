@@ -2,37 +2,54 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy import runtime
 from colloquy import schema as sc
 from colloquy.functions import lexicon as lx
-from colloquy.functions import text
-from colloquy.functions.porter import porter_terms
+from colloquy.functions import porter, text
+from colloquy.functions.embed import light_stem
 from colloquy.operators.ordered import top_n
 
 _POSTINGS = T.ArrayType(sc.struct(term=T.StringType(), positions=T.ArrayType(T.IntegerType())))
-ANALYZERS = {"porter": porter_terms, "light": text.index_terms}
+ANALYZERS = {"porter": porter.porter_terms, "light": text.index_terms}
 
 
-@F.pandas_udf(_POSTINGS)
-def _positions(terms: pd.Series) -> pd.Series:
-    def grouped(ts) -> list[dict]:
+def _grouped(rows: list[list[str]]) -> pa.Array:
+    """Terms of each turn with the positions they occur at, built column by column."""
+    terms, places, turn_ends, place_ends = [], [], [0], [0]
+    for row in rows:
         at: dict[str, list[int]] = {}
-        for i, t in enumerate(ts if ts is not None else ()):
+        for i, t in enumerate(row):
             at.setdefault(t, []).append(i)
-        return [{"term": t, "positions": p} for t, p in at.items()]
+        terms.extend(at)
+        for p in at.values():
+            places.extend(p)
+            place_ends.append(len(places))
+        turn_ends.append(len(terms))
+    positions = pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32()))
+    items = pa.StructArray.from_arrays([pa.array(terms, pa.string()), positions], names=["term", "positions"])
+    return pa.ListArray.from_arrays(pa.array(turn_ends, pa.int32()), items)
 
-    return terms.map(grouped)
+
+@F.arrow_udf(_POSTINGS)
+def _positions(terms: pa.Array) -> pa.Array:
+    return _grouped([row or [] for row in terms.to_pylist()])
+
+
+@F.arrow_udf(_POSTINGS)
+def _porter_positions(texts: pa.Array) -> pa.Array:
+    return _grouped([porter.terms(t or "") for t in texts.to_pylist()])
 
 
 def with_postings(turns: DataFrame, analyzer: str = "porter", column: str = "text") -> DataFrame:
     """Adds `dl` (terms in the turn) and `postings` (term and its positions). Narrow."""
-    terms = turns.withColumn("_terms", ANALYZERS[analyzer](F.col(column)))
-    return terms.withColumns({"dl": F.size("_terms"), "postings": _positions("_terms")}).drop("_terms")
+    source = F.col(column)
+    rows = turns.withColumn("postings", _porter_positions(source) if analyzer == "porter" else _positions(ANALYZERS[analyzer](source)))
+    return rows.withColumn("dl", F.aggregate("postings", F.lit(0), lambda n, p: n + F.size(p["positions"])))
 
 
 def postings(entries: DataFrame, *carry: str) -> DataFrame:
@@ -48,8 +65,6 @@ def corpus_size(entries: DataFrame) -> DataFrame:
 
 
 def family_stems() -> list[str]:
-    from colloquy.functions.embed import light_stem
-
     return sorted({light_stem(m) for m in lx.PREDICATE_FAMILY if " " not in m})
 
 
@@ -60,24 +75,31 @@ def search_phrases(tokens: Column) -> Column:
     return F.when(opens, F.array_union(tokens, family)).otherwise(F.array_distinct(tokens))
 
 
+def numbered(df: DataFrame, column: str, number: str, bound: int | None) -> DataFrame:
+    """A short number per distinct value, so that the joins that follow move integers. Large sets keep the value."""
+    if bound is None or bound > runtime.BROADCAST_ROWS:
+        return df.withColumn(number, F.col(column))
+    return df.withColumn(number, F.dense_rank().over(Window.orderBy(column)))
+
+
 def phrase_matches(rows: DataFrame, phrases: DataFrame, carry: list[str], bound: int | None = None) -> DataFrame:
-    """`(id, phrase, tf)` of every phrase occurring in a turn; `phrases` holds `phrase, terms`.
+    """`(id, pn, tf)` of every phrase occurring in a turn; `phrases` holds `pn, terms`.
 
     The vocabulary is broadcast when proven small, so the scan keeps only the postings some question asks
     for. Those are placed by turn once; phrase matching and all later per-turn sums stay in that placement.
     """
-    vocabulary = phrases.select("phrase", F.size("terms").alias("m"), F.posexplode("terms").alias("idx", "term"))
-    hits = rows.join(runtime.small_side(vocabulary, bound=bound), "term").repartition("id")
-    one = hits.where("m = 1").select("id", "dl", *carry, "phrase", F.size("positions").alias("tf"))
+    vocabulary = phrases.select("pn", F.size("terms").alias("m"), F.posexplode("terms").alias("idx", "term"))
+    hits = runtime.place(rows.join(runtime.small_side(vocabulary, bound=bound), "term").drop("term"), "id")
+    one = hits.where("m = 1").select("id", "dl", *carry, "pn", F.size("positions").alias("tf"))
     parts = F.array_sort(F.collect_list(F.struct("idx", "positions")))
-    runs = hits.where("m > 1").groupBy("id", "dl", *carry, "phrase", "m").agg(parts.alias("parts")).where(
+    runs = hits.where("m > 1").groupBy("id", "dl", *carry, "pn", "m").agg(parts.alias("parts")).where(
         F.size("parts") == F.col("m")
     )
     starts = F.filter(
         F.col("parts")[0]["positions"],
         lambda p: F.forall("parts", lambda part: F.array_contains(part["positions"], p + part["idx"])),
     )
-    many = runs.select("id", "dl", *carry, "phrase", F.size(starts).alias("tf")).where("tf > 0")
+    many = runs.select("id", "dl", *carry, "pn", F.size(starts).alias("tf")).where("tf > 0")
     return one.unionByName(many)
 
 
@@ -91,30 +113,30 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
 def lexical_top(
     entries: DataFrame, asked: DataFrame, *, analyzer: str = "porter", limit: int = sc.VIEW_LIMIT,
     reach: Column | None = None, carry: list[str] | None = None, options: list[str] | None = None,
-    bound: int | None = None,
+    bound: int | None = None, key: str = "query_id",
 ) -> DataFrame:
-    """BM25 top turns per question: `query_id, id, score, rank`. `asked` holds `query_id, phrases`.
+    """BM25 top turns per question: `key, id, score, rank`. `asked` holds `key, phrases`.
 
     Term and turn counts are over all indexed rows; `reach` then says what a question may see, before
-    the cut. Questions share the work on a phrase: it is matched once per turn, however many ask for it.
-    `bound` limits the phrases of the whole batch, when known.
+    the cut. Questions share the work on a phrase: it is matched and weighed once per turn, however many ask
+    for it. `bound` limits the phrases of the whole batch, when known.
     """
     carry, options = carry or [], options or []
-    wanted = asked.select("query_id", *options, F.explode("phrases").alias("phrase"))
-    phrases = wanted.select("phrase").distinct().withColumn("terms", ANALYZERS[analyzer](F.col("phrase"))).where(
-        F.size("terms") > 0
-    )
-    matched = phrase_matches(postings(entries, *carry), phrases, carry, bound)
-    spread = matched.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.select(key, *options, F.explode("phrases").alias("phrase"))
+    phrases = numbered(wanted.select("phrase").distinct(), "phrase", "pn", bound)
+    analysed = phrases.withColumn("terms", ANALYZERS[analyzer](F.col("phrase"))).where(F.size("terms") > 0)
+    matched = phrase_matches(postings(entries, *carry), analysed, carry, bound)
+    spread = matched.groupBy("pn").agg(F.count(F.lit(1)).alias("df"))
     size = corpus_size(entries)
-    weighed = spread.withColumns({"_n": size.select("n").scalar(), "_avg": size.select("avgdl").scalar()})
-    per_query = wanted.join(runtime.small_side(weighed, bound=bound), "phrase")
-    contribution = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("_n"), F.col("_avg"))
-    pairs = matched.join(runtime.small_side(per_query, bound=bound), "phrase")
+    known = spread.withColumns({"_n": size.select("n").scalar(), "_avg": size.select("avgdl").scalar()})
+    weight = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("_n"), F.col("_avg"))
+    weighed = matched.join(runtime.small_side(known, bound=bound), "pn").select("id", *carry, "pn", weight.alias("w"))
+    per_query = wanted.join(runtime.small_side(phrases, bound=bound), "phrase").drop("phrase")
+    pairs = weighed.join(runtime.small_side(per_query, bound=bound), "pn")
     if reach is not None:
         pairs = pairs.where(reach)
-    scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum(contribution), 9).alias("score"))
-    return top_n(scored, ["query_id"], [F.col("score").desc(), F.col("id").desc()], limit)
+    scored = pairs.groupBy(key, "id").agg(F.round(F.sum("w"), 9).alias("score"))
+    return top_n(scored, [key], [F.col("score").desc(), F.col("id").desc()], limit)
 
 
 def coverage(tokens: Column, stem_line: Column) -> Column:
@@ -122,8 +144,6 @@ def coverage(tokens: Column, stem_line: Column) -> Column:
 
     `stem_line` is the turn's stems joined by blanks, a blank at either end.
     """
-    from colloquy.functions.embed import light_stem
-
     runs = sorted({" ".join(light_stem(w) for w in m.split()) for m in lx.PREDICATE_FAMILY})
     family = F.lit(False)
     for run in runs:

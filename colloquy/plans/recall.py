@@ -24,6 +24,7 @@ from colloquy.plans.memory import ATTRS, Memory
 OPTIONS = {f.name: f.dataType for f in sc.QUERY_OPTIONS.fields}
 VIEWS = ("lexical", "entity", "dense", "recent")
 _NO_KEYS = "array<string>"
+_REACH = ["exclude_session", "session", "since", "until", "scope", "include_hidden"]
 
 
 def _empty() -> Column:
@@ -36,11 +37,17 @@ class Batch:
 
     queries: int
     chars: int
+    #: No question narrows what it may see.
+    open: bool = False
 
     @staticmethod
     def of(queries: DataFrame) -> "Batch":
-        n, chars = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("query")), F.lit(0))).first()
-        return Batch(n, chars)
+        narrowing = [F.col(c).isNotNull() for c in _REACH if c in queries.columns]
+        narrowed = reduce(lambda a, b: a | b, narrowing, F.lit(False))
+        n, chars, some = queries.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.length("query")), F.lit(0)), F.count_if(narrowed)
+        ).first()
+        return Batch(n, chars, some == 0)
 
     @property
     def words(self) -> int:
@@ -156,51 +163,73 @@ def reach(q: str = "", t: str = "") -> Column:
     )
 
 
-_REACH = ["exclude_session", "session", "since", "until", "scope", "include_hidden"]
+def _visible() -> Column:
+    return reach("q_") & (F.col("q_include_hidden") | ~F.col("hidden"))
 
 
-def _options(asked: DataFrame, prefix: str = "q_") -> list[Column]:
-    return [F.col(o).alias(prefix + o) for o in _REACH]
+@dataclass(frozen=True)
+class _Sight:
+    """The turn attributes and option columns a view has to carry to know what each question may see."""
 
+    carry: list[str]
+    options: list[str]
+    cond: Column | None
 
-def _visible() -> Column:
-    return reach("q_") & (F.col("q_include_hidden") | ~F.col("hidden"))
+    @staticmethod
+    def of(memory: Memory, batch: Batch) -> "_Sight":
+        if batch.open and memory.flags is None:
+            return _Sight([], [], None)
+        if batch.open:
+            return _Sight(["hidden"], ["include_hidden"], F.col("q_include_hidden") | ~F.col("hidden"))
+        return _Sight(ATTRS, _REACH, _visible())
+
+    @property
+    def columns(self) -> list[Column]:
+        return [F.col(o).alias(f"q_{o}") for o in self.options]
+
+    def keep(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.cond is None else pairs.where(self.cond)
 
 
 # --- views -------------------------------------------------------------------------------------------
 def lexical_view(memory: Memory, asked: DataFrame, batch: Batch) -> DataFrame:
-    wanted = asked.where(F.size("tokens") > 0).select("query_id", "phrases", *_options(asked))
+    sight = _Sight.of(memory, batch)
+    wanted = asked.where(F.size("tokens") > 0).select("qn", "phrases", *sight.columns)
     return lexical.lexical_top(
-        memory.flagged, wanted, analyzer=memory.analyzer, reach=_visible(), carry=ATTRS,
-        options=[f"q_{o}" for o in _REACH], bound=batch.words,
-    ).select("query_id", "id", "score")
+        memory.flagged, wanted, analyzer=memory.analyzer, reach=sight.cond, carry=sight.carry,
+        options=[f"q_{o}" for o in sight.options], bound=batch.words, key="qn",
+    ).select("qn", "id", "score")
 
 
-def _mentioning(placed: DataFrame, keys: DataFrame, limit: int, bound: int) -> DataFrame:
+def _mentioning(placed: DataFrame, keys: DataFrame, limit: int, bound: int, sight: _Sight) -> DataFrame:
     """Distinct keys a turn shares with a question, best turns first."""
-    pairs = placed.join(runtime.small_side(keys, bound=bound), "entity").where(_visible())
-    counted = pairs.groupBy("query_id", "id").agg(F.countDistinct("entity").alias("n"))
-    return top_n(counted, ["query_id"], [F.col("n").desc(), F.col("id").desc()], limit).select("query_id", "id", "n")
+    pairs = sight.keep(placed.join(runtime.small_side(keys, bound=bound), "en"))
+    counted = pairs.groupBy("qn", "id").agg(F.count(F.lit(1)).alias("n"))
+    return top_n(counted, ["qn"], [F.col("n").desc(), F.col("id").desc()], limit).select("qn", "id", "n")
 
 
 def entity_view(memory: Memory, asked: DataFrame, batch: Batch) -> DataFrame:
     """One point per distinct key, a fraction per key that often occurs beside one of them."""
-    own = asked.select("query_id", *_options(asked), F.explode("entities").alias("entity"))
+    sight = _Sight.of(memory, batch)
+    own = asked.select("qn", *sight.columns, F.explode("entities").alias("entity"))
     near_bound = sc.ENTITY_NEIGHBOURS * batch.words
     near = graph.neighbours(memory.edges(), sc.ENTITY_NEIGHBOURS, own, batch.words).select("entity", "other")
-    beside = (
+    # At most five keys per key asked about; cut here because the vocabulary and the second pass both read it.
+    beside = runtime.checkpoint(
         own.join(runtime.small_side(near, bound=near_bound), "entity").drop("entity").withColumnRenamed("other", "entity").distinct()
-        .join(own.select("query_id", "entity"), ["query_id", "entity"], "left_anti")
-    )
-    keys = own.select("entity").unionAll(beside.select("entity")).distinct()
-    placed = (
-        memory.mentions(*ATTRS, source=memory.flagged).withColumnRenamed("turn_id", "id")
-        .join(runtime.small_side(keys, bound=batch.words + near_bound), "entity", "left_semi").select("id", "entity", *ATTRS).repartition("id")
+        .join(own.select("qn", "entity"), ["qn", "entity"], "left_anti")
     )
-    direct = _mentioning(placed, own, 2 * sc.VIEW_LIMIT, batch.words).withColumn("score", F.col("n").cast("double"))
-    aside = _mentioning(placed, beside, 2 * sc.VIEW_LIMIT, near_bound).withColumn("score", F.col("n") * sc.NEIGHBOUR_WEIGHT)
-    summed = direct.unionByName(aside).groupBy("query_id", "id").agg(F.round(F.sum("score"), 9).alias("score"))
-    return top_n(summed, ["query_id"], [F.col("score").desc(), F.col("id").desc()], sc.VIEW_LIMIT).drop("rank")
+    both = batch.words + near_bound
+    keys = lexical.numbered(own.select("entity").unionAll(beside.select("entity")).distinct(), "entity", "en", both)
+    numbers = runtime.small_side(keys, bound=both)
+    source = memory.flagged if sight.carry else memory.entries
+    said = memory.mentions(*sight.carry, source=source).withColumnRenamed("turn_id", "id").join(numbers, "entity")
+    placed = runtime.place(said.select("id", "en", *sight.carry), "id").dropDuplicates(["id", "en"])
+    own_n, beside_n = own.join(numbers, "entity").drop("entity"), beside.join(numbers, "entity").drop("entity")
+    direct = _mentioning(placed, own_n, 2 * sc.VIEW_LIMIT, batch.words, sight).withColumn("score", F.col("n").cast("double"))
+    aside = _mentioning(placed, beside_n, 2 * sc.VIEW_LIMIT, near_bound, sight).withColumn("score", F.col("n") * sc.NEIGHBOUR_WEIGHT)
+    summed = direct.unionByName(aside).groupBy("qn", "id").agg(F.round(F.sum("score"), 9).alias("score"))
+    return top_n(summed, ["qn"], [F.col("score").desc(), F.col("id").desc()], sc.VIEW_LIMIT).drop("rank")
 
 
 def dense_view(memory: Memory, asked: DataFrame) -> DataFrame:
@@ -258,15 +287,22 @@ def rrf(views: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def missing_names(names: Column, page_words: Column, page_lower: Column) -> Column:
-    """Names a text does not mention: all its words, or the last of several; a technical key verbatim."""
+def word_line(source: Column) -> Column:
+    """A text's normalised words joined by blanks, a blank at either end; words hold no blanks themselves."""
+    return F.concat(F.lit(" "), text.normalised_text(source), F.lit(" "))
+
+
+def missing_names(names: Column, words: Column, page_lower: Column) -> Column:
+    """Names a text (`words` as `word_line`) does not mention: all its words, or the last of several; a technical key verbatim."""
+
+    def held(w: Column) -> Column:
+        return F.contains(words, F.concat(F.lit(" "), w, F.lit(" ")))
 
     def mentioned(n: Column) -> Column:
         parts = F.split(n, " ")
         last = F.element_at(parts, -1)
-        by_last = (F.size(parts) > 1) & (F.length(last) >= 3) & ~last.rlike(r"^[0-9]+$") & F.array_contains(page_words, last)
-        plain = (F.size(F.array_except(parts, page_words)) == 0) | by_last
-        return F.when(n.rlike("[_/:]"), F.contains(page_lower, n)).otherwise(plain)
+        by_last = (F.size(parts) > 1) & (F.length(last) >= 3) & ~last.rlike(r"^[0-9]+$") & held(last)
+        return F.when(n.rlike("[_/:]"), F.contains(page_lower, n)).otherwise(F.forall(parts, held) | by_last)
 
     return F.filter(names, lambda n: ~mentioned(n))
 
@@ -388,18 +424,31 @@ _Q = ["top_k", "names", "tokens", "technical", "temporal", "history", "past", "p
       "exclude_session", "session", "since", "until", "scope", "context"]
 
 
-def _pages(memory: Memory, ids: DataFrame, bound: int) -> DataFrame:
-    """The turns some view nominated, read once, with the word sets the later stages ask about."""
-    rows = memory.flagged.select("id", "uuid", "session_id", "speaker", "text", "ts", "kind", "scope", "hidden").join(
-        runtime.small_side(ids.select("id").distinct(), bound=bound), "id", "left_semi"
+_HEAD = ["id", "uuid", "session_id", "ts", "kind", "scope", "hidden"]
+
+
+def _read_pages(memory: Memory, wanted: DataFrame, bound: int) -> DataFrame:
+    """`wanted` (`id`, `q_tokens`, `q_names`, `q_technical`, ...) beside each turn's head, `covered` and `missing`.
+
+    The turns somebody nominated are read once. Their word sets are wide, so they never move: the questions
+    come to them, and only the two findings and the head leave.
+    """
+    rows = memory.flagged.select(*_HEAD, "text").join(
+        runtime.small_side(wanted.select("id").distinct(), bound=bound), "id", "left_semi"
     )
     t = F.col("text")
-    return rows.withColumns(
+    pages = rows.withColumns(
         {
-            "_words": F.array_distinct(text.normalised_words(t)), "_lower": F.lower(t), "_stems": lexical.stem_line(t),
-            "_plain": lexical.stem_line(without_technical(t)),
+            "_words": word_line(t), "_lower": F.lower(t), "_stems": lexical.stem_line(t), "_bare": without_technical(t),
         }
     )
+    plain = F.when(F.col("_bare") == t, F.col("_stems")).otherwise(lexical.stem_line(F.col("_bare")))
+    pages = pages.withColumn("_plain", plain).drop("text", "_bare")
+    line = F.when(F.col("q_technical"), F.col("_stems")).otherwise(F.col("_plain"))
+    covered = F.when(F.col("view") == "lexical", lexical.coverage(F.col("q_tokens"), line)).otherwise(0)
+    return pages.join(runtime.small_side(wanted, bound=bound), "id").withColumns(
+        {"covered": covered, "missing": missing_names(F.col("q_names"), F.col("_words"), F.col("_lower"))}
+    ).drop("_words", "_lower", "_stems", "_plain")
 
 
 def _q(prefix: str = "q_") -> dict[str, Column]:
@@ -415,12 +464,9 @@ def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame, batch: Batch)
         F.max("score").alias("_score"), F.max_by("sources", F.struct("score", "ts", F.col("uuid"))).alias("_sources"),
         F.max("anchor").alias("_anchor"),
     )
-    turns = _pages(memory, heirs.select(F.col("heir").alias("id")), n)
-    seen = (
-        heirs.join(runtime.small_side(turns, bound=n), F.col("heir") == F.col("id")).drop("heir")
-        .join(runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries), "query_id")
-        .where(_visible() & (F.col("kind") != "brief"))
-    )
+    ask_cols = runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries)
+    wanted = heirs.withColumnRenamed("heir", "id").withColumn("view", F.lit("heir")).join(ask_cols, "query_id")
+    seen = _read_pages(memory, wanted, n).drop("view", "covered").where(_visible() & (F.col("kind") != "brief"))
     gone = runtime.small_side(ends.select("id", F.lit(True).alias("_gone")), bound=n)
     halved = fused.join(gone, "id", "left").withColumn(
         "score",
@@ -434,7 +480,6 @@ def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame, batch: Batch)
         {
             "score": F.col("_score"), "sources": F.col("_sources"), "anchor": F.col("_anchor"),
             "valid_until": F.lit(None).cast("long"),
-            "missing": missing_names(F.col("q_names"), F.col("_words"), F.col("_lower")),
         }
     ).join(halved.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return raised.unionByName(fetched.select(*raised.columns))
@@ -443,29 +488,27 @@ def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame, batch: Batch)
 def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Recall:
     """Answer every row of `queries` (`query_id, query`, option columns as in `QUERY_OPTIONS`)."""
     batch = Batch.of(queries)
-    asked = runtime.checkpoint(profile(queries, memory, batch))
+    # `qn` is a short stand-in for the id; the cut makes it stable.
+    asked = runtime.checkpoint(profile(queries, memory, batch).withColumn("qn", F.monotonically_increasing_id()))
+    ids = runtime.small_side(asked.select("qn", "query_id"), bound=batch.queries)
     plan = view_plan(asked, memory)
-    views = [lexical_view(memory, asked, batch).withColumns({"view": F.lit("lexical"), "_r": F.lit(0)}),
-             entity_view(memory, asked, batch).withColumns({"view": F.lit("entity"), "_r": F.lit(0)}),
+    views = [lexical_view(memory, asked, batch).join(ids, "qn").withColumns({"view": F.lit("lexical"), "_r": F.lit(0)}),
+             entity_view(memory, asked, batch).join(ids, "qn").withColumns({"view": F.lit("entity"), "_r": F.lit(0)}),
              recent_view(memory, asked).withColumn("view", F.lit("recent"))]
     if memory.embed_fn is not None:
         views.append(dense_view(memory, asked).withColumns({"view": F.lit("dense"), "_r": F.lit(0)}))
     cols = ["query_id", "view", "id", "score", "_r"]
     # At most 50 rows per view and question leave here; the cut keeps later plans from holding four views each.
     nominated = runtime.checkpoint(reduce(DataFrame.unionByName, [v.select(*cols) for v in views]))
-    pages = runtime.checkpoint(_pages(memory, nominated, batch.nominations))
     ask_cols = runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries)
-    rows = nominated.join(runtime.small_side(pages, bound=batch.nominations), "id").where(F.col("kind") != "brief").join(ask_cols, "query_id")
+    rows = _read_pages(memory, nominated.join(ask_cols, "query_id"), batch.nominations).where(F.col("kind") != "brief")
     if memory.flags is not None:
         until = fold.valid_until(memory.flags, memory.entries, nominated.select("id").distinct(), batch.nominations)
         rows = rows.join(runtime.small_side(until, bound=batch.nominations), "id", "left")
     else:
         rows = rows.withColumn("valid_until", F.lit(None).cast("long"))
     q = _q()
-    line = F.when(q["technical"], F.col("_stems")).otherwise(F.col("_plain"))
-    rows = rows.withColumn(
-        "covered", F.when(F.col("view") == "lexical", lexical.coverage(q["tokens"], line)).otherwise(0)
-    )
+    rows = runtime.checkpoint(rows)
     held = in_force(F.col("ts"), F.col("valid_until"), q["period"])
     replaced = F.col("valid_until").isNotNull()
     prefers = F.when(F.col("view") != "lexical", False).when(q["period"]["start"].isNotNull(), held).otherwise(
@@ -478,9 +521,7 @@ def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Reca
     views_out = ranked.select("query_id", "view", "rank", "id", "score", "covered")
     parts = rrf(views_out, plan)
     facts = rows.drop("view", "score", "_r", "covered").dropDuplicates(["query_id", "id"])
-    joined = parts.join(facts, ["query_id", "id"]).withColumn(
-        "missing", missing_names(q["names"], F.col("_words"), F.col("_lower"))
-    )
+    joined = parts.join(facts, ["query_id", "id"])
     share = F.when(F.size(q["names"]) == 0, 1.0).otherwise(1 - F.size("missing") / F.size(q["names"]))
     fused = joined.withColumn("anchor", share).withColumn(
         "score",
@@ -488,16 +529,15 @@ def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Reca
     ).drop("part")
     if memory.flags is not None:
         fused = _hand_over(memory, runtime.checkpoint(fused), asked, batch)
-    slim = fused.drop("_words", "_lower", "_stems", "_plain").withColumnsRenamed(
+    slim = fused.withColumnsRenamed(
         {"q_top_k": "top_k", "q_names": "names", "q_past": "past"}
     )
     slim = slim.drop(*[c for c in slim.columns if c.startswith("q_")])
     if memory.flags is None and memory.note_sources is None:
         calibrated = calibrate(slim)
     else:
-        ids = slim.select("id").distinct()
-        n = 2 * batch.nominations
-        calibrated = collapse(slim, fold.chains(memory.flags, ids, n), fold.covering(memory.note_sources, ids, n), n)
+        seen, n = slim.select("id").distinct(), 2 * batch.nominations
+        calibrated = collapse(slim, fold.chains(memory.flags, seen, n), fold.covering(memory.note_sources, seen, n), n)
     judged = runtime.checkpoint(abstain(calibrated))
     mine = Window.partitionBy("query_id").orderBy(*fused_order())
     kept = judged.where("reason IS NULL").withColumn("rank", F.row_number().over(mine))
@@ -526,6 +566,8 @@ def _assemble(memory: Memory, kept: DataFrame, bound: int) -> DataFrame:
         out = out.join(runtime.small_side(memory.flags.join(ids, "id", "left_semi").select("id", "superseded_by"), bound=bound), "id", "left")
     else:
         out = out.withColumn("superseded_by", F.lit(None).cast("long"))
+    # The texts of the turns that made an answer, read last.
+    out = memory.entries.select("id", "speaker", "text").join(runtime.small_side(out, bound=bound), "id")
     none = F.array().cast("array<bigint>")
     if memory.note_sources is not None:
         covers = memory.note_sources.join(ids.withColumnRenamed("id", "note_id"), "note_id", "left_semi").groupBy(

@@ -99,6 +99,11 @@ def spread_scan(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def place(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-place rows that are about to multiply. A fixed count keeps adaptive coalescing from judging by input bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ms_of(column: Column | str) -> Column:
     """Milliseconds since the epoch of a timestamp column, NTZ read as UTC."""
     col = F.col(column) if isinstance(column, str) else column

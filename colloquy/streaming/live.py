@@ -70,7 +70,7 @@ class Store:
         done = ingest.ingest(arrived, self.turns(batch), now_ms)
         self._write(done.turns, "turns", batch)
         fresh = self.spark.read.schema(sc.TURN).parquet(f"{self.root}/turns/batch={batch}")
-        self._write(extract_mentions(fresh), "mentions", batch)
+        self._write(extract_mentions(runtime.spread_scan(fresh)), "mentions", batch)
         found = self.spark.read.schema(sc.MENTIONS).parquet(f"{self.root}/mentions/batch={batch}")
         self._write(graph.entity_stats(found, fresh), "stats", batch)
         self._write(graph.edges(found), "edges", batch)

@@ -284,7 +284,7 @@ def _(spark, sf):
     names = F.lit(firsts.agg(F.array_sort(F.collect_set("w")).alias("n")).first()["n"])
     turns = adapters.conversation_turns(spark, sf)
     t = F.col("text")
-    lacks = rc.missing_names(names, F.array_distinct(text.normalised_words(t)), F.lower(t))
+    lacks = rc.missing_names(names, rc.word_line(t), F.lower(t))
     return turns.select(F.explode(lacks).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("missing"))
 
 
