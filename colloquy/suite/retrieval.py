@@ -142,7 +142,8 @@ def _(spark, sf):
     return docs.select("id", vector_digest(hash_embed("text")).alias("digest"), fnv1a_64("text").alias("fnv"))
 
 
-@query("periods")
+@query("periods", """SELECT DISTINCT strftime(o_orderdate, '%B %-d, %Y') AS day, epoch_us(date_trunc('day', o_orderdate)::TIMESTAMP) // 1000 AS start,
+ epoch_us(date_trunc('day', o_orderdate)::TIMESTAMP) // 1000 + 86400000 AS "end" FROM orders""")
 def _(spark, sf):
     """Every day of the order table asked about in words."""
     days = adapters.table(spark, sf, "orders").select(F.date_format(F.col("o_orderdate"), "MMMM d, yyyy").alias("day")).distinct()
