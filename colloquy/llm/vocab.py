@@ -15,8 +15,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Words remembered in a Python worker before it starts afresh.
-REMEMBERED = 900_000
+#: Words, and cores of words, remembered in a Python worker before it starts afresh.
+REMEMBERED, CORES = 500_000, 1_200_000
 #: A word of letters with marks behind it, in scripts whose case folding is one letter to one letter.
 CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|)*$%&#]*)")
 
@@ -42,8 +42,9 @@ class WordEncoder:
         new = words.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-            self.cores.clear()
             new = words
+        if len(self.cores) > CORES:
+            self.cores.clear()
         lead = "" if self.drops_space else " "
         whole, parts = [], []
         for word in new:

@@ -43,18 +43,18 @@ class WaveletMatrix:
     def build(values: np.ndarray) -> "WaveletMatrix":
         n = len(values)
         levels = max(1, int(values.max()).bit_length()) if n else 1
-        current = values.astype(np.uint32)
+        current = values.astype(np.uint16 if levels <= 16 else np.uint32)
         blocks = -(-n // BLOCK)
         zeros, planes = np.zeros(levels, np.uint32), np.zeros((levels, blocks * BLOCK // 8), np.uint8)
         ranks = np.zeros((levels, blocks + 1), np.uint32)
         for level in range(levels):
-            bit = (current >> np.uint32(levels - 1 - level)) & np.uint32(1) != 0
+            bit = current >> current.dtype.type(levels - 1 - level) & current.dtype.type(1) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[level, : len(packed)] = packed
             ones = np.add.reduceat(bit, np.arange(0, n, BLOCK), dtype=np.uint32) if n else np.zeros(0, np.uint32)
             np.cumsum(ones, out=ranks[level, 1:])
             zeros[level] = n - int(ranks[level, -1])
-            current = np.concatenate([current[~bit], current[bit]])
+            current = np.concatenate([np.compress(~bit, current), np.compress(bit, current)])
         return WaveletMatrix(n, zeros, planes, ranks)
 
     def row(self) -> dict[str, bytes]:
@@ -126,8 +126,8 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=n, bitorder="little").view(bool) if n else np.zeros(0, bool)
             zero, below, values = int(self.zeros[level]), values, np.empty(n, np.uint32)
-            values[~bit] = below[:zero]
-            values[bit] = below[zero:] | np.uint32(1 << (levels - 1 - level))
+            values[np.flatnonzero(~bit)] = below[:zero]
+            values[np.flatnonzero(bit)] = below[zero:] | np.uint32(1 << (levels - 1 - level))
         return values
 
 
