@@ -22,6 +22,8 @@ from colloquy.llm.tables import stored
 SAMPLES = 16
 #: Bits of one half of a hash, and the step of a number drawn from it.
 HALF = 0xFFFFFFFF
+#: Samples drawn by one row.
+LANE = 4
 LOWEST = -(1 << 63)
 
 
@@ -55,11 +57,19 @@ def terms(text: str) -> Column:
 
 
 def _draws(k: int) -> dict[str, Column]:
-    """r, ln c and b of a term, from two hashes cut into halves."""
-    one, two = F.xxhash64("_t", F.lit(2 * k)), F.xxhash64("_t", F.lit(2 * k + 1))
-    unit = lambda h: (h.bitwiseAND(F.lit(HALF)).cast("double") + 0.5) / 4294967296.0
-    high = lambda h: unit(F.shiftrightunsigned(h, 32))
-    return {f"_r{k}": -F.log(unit(one) * high(one)), f"_c{k}": F.log(-F.log(unit(two) * high(two))), f"_b{k}": unit(F.xxhash64("_t", F.lit(-1 - k)))}
+    """r, ln c and b of a term for the k-th sample of its lane, from hashes cut into halves."""
+    hashed = lambda n: F.xxhash64("_t", F.col("_lane") * (3 * LANE) + (3 * k + n))
+    low = lambda h: (h.bitwiseAND(F.lit(HALF)).cast("double") + 0.5) * 2.0**-32
+    high = lambda h: (F.shiftrightunsigned(h, 32).cast("double") + 0.5) * 2.0**-32
+    one, two, three = f"_h{3 * k}", f"_h{3 * k + 1}", f"_h{3 * k + 2}"
+    return {
+        "hashes": {one: hashed(0), two: hashed(1), three: hashed(2)},
+        "draws": {
+            f"_r{k}": -F.log(low(F.col(one)) * high(F.col(one))),
+            f"_c{k}": F.log(-F.log(low(F.col(two)) * high(F.col(two)))),
+            f"_b{k}": low(F.col(three)),
+        },
+    }
 
 
 def _least(weight: str, k: int) -> Column:
@@ -70,14 +80,21 @@ def _least(weight: str, k: int) -> Column:
 
 
 def sampled(weights: DataFrame, keys: list[str], columns: dict[str, str], samples: int = SAMPLES) -> DataFrame:
-    """`weights`: rows of keys, `_t` (a term's hash) and columns of ln weight (null: absent). Gives a fingerprint per named column."""
-    kept = weights
-    for k in range(samples):
-        kept = kept.withColumns(_draws(k))
-    least = [_least(w, k).alias(f"{name}_{k}") for name, w in columns.items() for k in range(samples)]
-    found = kept.groupBy(*keys).agg(*least)
-    text = lambda name: F.concat(*(F.when(F.col(f"{name}_{k}").isNull(), F.lit("00000000")).otherwise(F.lpad(F.lower(F.hex(F.hash(f"{name}_{k}").cast("long").bitwiseAND(F.lit(HALF)))), 8, "0")) for k in range(samples)))
-    return found.select(*keys, *(text(name).alias(name) for name in columns))
+    """`weights`: rows of keys, `_t` (a term's hash) and columns of ln weight (null: absent). Gives a fingerprint per named column.
+
+    A row draws `LANE` samples; further samples are lanes of their own, so that the compiled loop stays short.
+    """
+    lanes = -(-samples // LANE)
+    kept = weights.withColumn("_lane", F.explode(F.array(*map(F.lit, range(lanes)))))
+    draws = [_draws(k) for k in range(LANE)]
+    for step in ("hashes", "draws"):
+        kept = kept.withColumns({name: column for d in draws for name, column in d[step].items()})
+    least = [_least(w, k).alias(f"{name}_{k}") for name, w in columns.items() for k in range(LANE)]
+    found = kept.groupBy(*keys, "_lane").agg(*least)
+    code = lambda c: F.when(F.col(c).isNull(), F.lit("0" * 8)).otherwise(F.lpad(F.lower(F.hex(F.hash(c).cast("long").bitwiseAND(F.lit(HALF)))), 8, "0"))
+    rows = found.select(*keys, "_lane", *(F.concat(*(code(f"{name}_{k}") for k in range(LANE))).alias(name) for name in columns))
+    lane = lambda name, i: F.max(F.when(F.col("_lane") == i, F.col(name)))
+    return rows.groupBy(*keys).agg(*(F.substring(F.concat(*(lane(name, i) for i in range(lanes))), 1, 8 * samples).alias(name) for name in columns))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:

@@ -167,7 +167,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, length
     before = Window.partitionBy(length).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(length, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(length, "_block").orderBy("_in")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(firsts, [length, "_block"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
+    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(firsts.hint("merge"), [length, "_block"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
     table = spark.createDataFrame(plan, f"{length} long, _from long, _ranks long, _k long, _sequence long, _offset long")
     on = [length]
     at = F.col("_rank") - F.col("_from")

@@ -6,10 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing, pieces, wavelet
+from colloquy.llm import fingerprints, langid, packing, pieces, quality, topk, wavelet
 from colloquy.llm.tables import table
 
 
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = langid.held_out("doc_id", 4)
+    found = langid.identify(docs.select("doc_id", "text"), langid.sample(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.learn(docs, table(spark, sf, "labels")))
+    return found.select("doc_id", langid.held_out("doc_id", 4).alias("held_out"), "score", "predicted")
+
+
+def op4_topk(spark: SparkSession, sf: str) -> DataFrame:
+    found = topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
@@ -19,10 +37,26 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf, "documents"))
+
+
 def op10_wavelet(spark: SparkSession, sf: str) -> DataFrame:
     path = wavelet.written(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return wavelet.read(spark, path, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op5_pieces, op6_packing, op10_wavelet)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality, op4_topk, op5_pieces, op6_packing, op9_fingerprints, op10_wavelet)}
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v, len(embedding) AS d FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op4_topk": TOPK_SQL}
