@@ -27,9 +27,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array and the n + 1 places where its texts begin; null: empty."""
+    raw_bytes = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if raw_bytes else "")
+    column = column.cast(pa.large_binary() if raw_bytes else pa.large_string())
     _, offsets, data = column.buffers()
     starts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
