@@ -28,8 +28,11 @@ LOWEST = -(1 << 63)
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, `_k` (its place in the order), `text`, `n_chars`, `next_k` and the start of the next document that is needed."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("_k"), F.coalesce(text, F.lit("")).alias("text"))
+    """`_k` (the key's place in the order), `text`, `next_k`, the needed start of the next document and `n_chars`.
+
+    Texts move once, by `_k`; from there each sends the document before it only the start that one needs.
+    """
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("_k"), F.coalesce(text, F.lit("")).alias("text"))
     narrow = rows.groupBy("_k").agg(F.max(F.length("text")).alias("_n"), F.count("*").alias("_rows"))
     keys = stored(narrow.repartitionByRange(F.desc("_k")).withColumn("_slice", F.spark_partition_id()), "order")
     inside = Window.partitionBy("_slice").orderBy(F.desc("_k"))
@@ -37,13 +40,13 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # one narrow row per slice: what comes after it, and for the last the very first
     after = firsts.select("_slice", F.coalesce(F.lead("_first").over(Window.orderBy("_slice")), F.max("_first").over(Window.partitionBy())).alias("_after"))
     order = keys.withColumn("_lead", F.lead("_k").over(inside)).join(F.broadcast(after), "_slice")
-    order = order.select("_k", F.coalesce("_lead", "_after").alias("next_k"), F.floor(F.col("_n") / 2).cast("int").alias("_need"))
-    texts = rows.select(F.col("_k").alias("next_k"), F.col("text").alias("_next"))
-    if not keys.where("_rows > 1").isEmpty():
-        texts = texts.groupBy("next_k").agg(F.min("_next").alias("_next"))
+    asked = order.select(F.coalesce("_lead", "_after").alias("_k"), F.col("_k").alias("_asker"), F.floor(F.col("_n") / 2).cast("int").alias("_need"))
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pulled = order.join(texts, "next_k").select("_k", "next_k", F.expr("left(_next, _need)").alias("_next"))
-    return rows.repartition(parts, "_k").join(pulled.repartition(parts, "_k"), "_k").withColumn("n_chars", F.length("text").cast("long"))
+    placed = rows.repartition(parts, "_k")
+    sent = placed.join(asked.repartition(parts, "_k"), "_k").select(F.col("_asker").alias("_k"), F.col("_k").alias("next_k"), F.expr("left(text, _need)").alias("_next"))
+    if not keys.where("_rows > 1").isEmpty():
+        sent = sent.groupBy("_k", "next_k").agg(F.min("_next").alias("_next"))
+    return placed.join(sent.repartition(parts, "_k"), "_k").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def edited() -> Column:
@@ -110,17 +113,20 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     """Per document n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     least = Window.partitionBy("_k").orderBy("text")
     joined = with_next(docs, key, text).withColumn("_row", F.row_number().over(least)).withColumn("_edited", edited())
-    hashed = joined.select("_k", "_row", terms("text").alias("_a"), terms("_edited").alias("_b"))
+    # both uses of `joined` read the same columns of its two exchanges, which then run once
+    hashed = joined.select("_k", "_row", "next_k", terms("text").alias("_a"), terms("_edited").alias("_b"))
     pairs = "transform({0}, (x, i) -> struct(xxhash64(x, get({0}, i + 1)) AS t, {1} AS a, {2} AS b))"
     # a document's rows are already in one place: neither the counts nor the minima move
-    rows = hashed.select("_k", "_row", F.explode(F.expr(f"concat({pairs.format('_a', 1, 0)}, {pairs.format('_b', 0, 1)})")).alias("_p"))
-    counts = rows.groupBy("_k", "_row", F.col("_p.t").alias("_t")).agg(F.sum("_p.a").alias("_a"), F.sum("_p.b").alias("_b"))
-    weights = counts.select("_k", "_row", "_t", *(F.when(F.col(c) > 0, F.log(F.col(c).cast("double"))).alias(c) for c in ("_a", "_b")))
-    found = sampled(weights, ["_k", "_row"], {"fingerprint": "_a", "edited_fingerprint": "_b"}, samples)
+    rows = hashed.select("_k", "_row", "next_k", F.explode(F.expr(f"concat({pairs.format('_a', 1, 0)}, {pairs.format('_b', 0, 1)})")).alias("_p"))
+    ids = ["_k", "_row", "next_k"]
+    counts = rows.groupBy(*ids, F.col("_p.t").alias("_t")).agg(F.sum("_p.a").alias("_a"), F.sum("_p.b").alias("_b"))
+    weights = counts.select(*ids, "_t", *(F.when(F.col(c) > 0, F.log(F.col(c).cast("double"))).alias(c) for c in ("_a", "_b")))
+    found = sampled(weights, ids, {"fingerprint": "_a", "edited_fingerprint": "_b"}, samples)
     none = F.lit("0" * 8 * samples)
-    own = joined.select(key, "_k", "_row", "next_k", "n_chars", F.sha2("_edited", 256).alias("edited_sha256")).join(found, ["_k", "_row"], "left")
+    own = joined.select(*ids, "n_chars", F.sha2("_edited", 256).alias("edited_sha256")).join(found, ids, "left")
     own = own.withColumns({c: F.coalesce(c, none) for c in ("fingerprint", "edited_fingerprint")})
     own = stored(own.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint", samples)), "fingerprints")
     following = own.where("_row = 1").select(F.col("_k").alias("next_k"), F.col("fingerprint").alias("_theirs"))
     out = own.join(following, "next_k").withColumn("near_next", likeness("fingerprint", "_theirs", samples))
-    return out.select(key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    shown = F.when(F.col("_k") != LOWEST, F.col("_k")).alias(key)
+    return out.select(shown, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
