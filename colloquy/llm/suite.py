@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, langid, lm, packing, pieces, quality, topk, wavelet
+from colloquy.llm import fingerprints, langid, lm, ngramjoin, packing, pieces, quality, topk, wavelet
 from colloquy.llm.tables import table
 
 
@@ -37,6 +37,10 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
+def op7_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf, "documents"))
+
+
 def op8_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.scores(table(spark, sf, "documents"), langid.held_out("doc_id", 7))
 
@@ -50,7 +54,7 @@ def op10_wavelet(spark: SparkSession, sf: str) -> DataFrame:
     return wavelet.read(spark, path, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality, op4_topk, op5_pieces, op6_packing, op8_lm_scores, op9_fingerprints, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality, op4_topk, op5_pieces, op6_packing, op7_ngram_join, op8_lm_scores, op9_fingerprints, op10_wavelet)}
 TOPK_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v, len(embedding) AS d FROM embeddings
