@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.tables import text_offsets
 
 #: Text of a chunk, about.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 U = np.uint64
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 _STEP = 0x9E3779B97F4A7C15
@@ -76,12 +76,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunked(docs: DataFrame, key: str, text: str, *more: str) -> tuple[DataFrame, int]:
-    """`key`, `text` (never null) and `more` with `_chunk`, and the number of buckets that fits their size."""
+def buckets_for(df: DataFrame) -> int:
+    """A power of two, one bucket per shuffle partition at least; 256 of them complete 40 sent bits to a key of 48."""
+    return max(256, 1 << (partitions(df) - 1).bit_length())
+
+
+def chunked(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """`_key`, `_text` (never null) and `more`, with the `_chunk` of bounded size that each row belongs to."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(4 * partitions(docs), -(-size // CHUNK_BYTES))
+    n = max(3 * partitions(docs), -(-size // CHUNK_BYTES))
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), *more)
-    return rows.withColumn("_chunk", F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(n)).cast("int")), 2 * partitions(docs)
+    return rows.withColumn("_chunk", F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(n)).cast("int"))
 
 
 def whole(table: pa.Table) -> pa.RecordBatch:
@@ -95,21 +100,21 @@ def text_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's share of sorted 64-bit keys begins; buckets are equal ranges of the high bits."""
-    high = (keys >> U(32)) * U(buckets) >> U(32)
-    return np.searchsorted(high, np.arange(buckets + 1, dtype=np.uint64))
+    """Where each bucket's share of sorted 48-bit keys begins; buckets are equal ranges."""
+    return np.searchsorted(keys >> U(49 - buckets.bit_length()), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def packed6(keys: np.ndarray) -> bytes:
-    """The high 48 bits of each key."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def packed5(keys: np.ndarray) -> bytes:
+    """The low 40 bits of each key."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def unpacked6(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def unpacked5(data: bytes, bucket: int = 0, buckets: int = 256) -> np.ndarray:
+    """Keys of 48 bits, the top 8 from the bucket they came to."""
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 2:] = raw
-    return out.view("<u8").ravel()
+    out[:, :5] = raw
+    return out.view("<u8").ravel() | U(bucket >> (buckets.bit_length() - 9)) << U(40)
 
 
 def planes(numbers: np.ndarray) -> bytes:

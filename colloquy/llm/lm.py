@@ -24,21 +24,20 @@ from colloquy.llm import grams
 from colloquy.llm.grams import U
 from colloquy.llm.tables import slices, stored
 
-BEGIN, END = grams.mixed(np.array([11, 12], np.uint64))
+BEGIN, END = grams.mixed(np.array([11, 12], np.uint64)) >> U(16)
 #: Context buckets, steps of the two rounded estimates, rounds of EM, least weight of the uniform estimate.
 BUCKETS, STEPS, ROUNDS, LEAST = 48, 64, 80, 1e-6
-LOW16 = U(0xFFFF)
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words and ends), of the pairs they close, and where each text begins."""
+    """48-bit hashes of all tokens (words and ends), of the pairs they close, and where each text begins."""
     found, at = grams.words(*grams.text_of(batch))
-    ones = np.insert(found, at[1:], END)
+    ones = np.insert(found >> U(16), at[1:], END)
     at = at + np.arange(len(at))
     before = np.empty_like(ones)
     before[1:] = ones[:-1]
     before[at[:-1]] = BEGIN
-    twos = grams.mixed(before * U(0x9E3779B97F4A7C15) + ones) & ~LOW16
+    twos = grams.mixed(before * U(0x9E3779B97F4A7C15) + ones) >> U(16)
     return ones, twos, at
 
 
@@ -66,19 +65,19 @@ def _counter(buckets: int):
         n2 = np.bincount(back2, learnt, len(keys2)).astype(np.uint32)
         cut1, cut2 = grams.cuts(keys1, buckets), grams.cuts(keys2, buckets)
         return _batch([
-            {"_bucket": b, "_chunk": chunk, "ones": keys1[a:z].tobytes(), "n_ones": grams.planes(n1[a:z]), "twos": grams.packed6(keys2[c:y]), "n_twos": grams.planes(n2[c:y])}
+            {"_bucket": b, "_chunk": chunk, "ones": grams.packed5(keys1[a:z]), "n_ones": grams.planes(n1[a:z]), "twos": grams.packed5(keys2[c:y]), "n_twos": grams.planes(n2[c:y])}
             for b, (a, z, c, y) in enumerate(zip(cut1, cut1[1:], cut2, cut2[1:], strict=False)) if z > a or y > c
         ], COUNTS)
 
     return count
 
 
-def _totals(table: pa.Table) -> pa.Table:
+def _totals(table: pa.Table, buckets: int) -> pa.Table:
     """A bucket's sums over all chunks, for each chunk in the order of its keys."""
     rows = table.to_pylist()
     sums = []
-    for keys, n, read in (("ones", "n_ones", lambda d: np.frombuffer(d, np.uint64)), ("twos", "n_twos", grams.unpacked6)):
-        lists = [read(r[keys]) for r in rows]
+    for keys, n in (("ones", "n_ones"), ("twos", "n_twos")):
+        lists = [grams.unpacked5(r[keys], r["_bucket"], buckets) for r in rows]
         found, back = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(back, np.concatenate([grams.unplanes(r[n]) for r in rows]), len(found))
         sums.append((found, total, np.split(total[back], np.cumsum([len(x) for x in lists])[:-1])))
@@ -167,9 +166,10 @@ def mixture(cells: list[tuple[int, float, float, float]], types: int) -> np.ndar
 
 def scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document held_out, n_tokens, n_known, train_tokens, base_score (add-one) and score. `held` marks what is not learnt from."""
-    rows, buckets = grams.chunked(docs.withColumn("_held", held | F.col(key).isNull()), key, text, "_held")
+    buckets = grams.buckets_for(docs)
+    rows = grams.chunked(docs.withColumn("_held", held | F.col(key).isNull()), key, text, "_held")
     counts = rows.groupBy("_chunk").applyInArrow(_counter(buckets), COUNTS)
-    totals = counts.groupBy("_bucket").applyInArrow(_totals, TOTALS)
+    totals = counts.groupBy("_bucket").applyInArrow(lambda t: _totals(t, buckets), TOTALS)
     codes = stored(rows.groupBy("_chunk").cogroup(totals.groupBy("_chunk")).applyInArrow(_codes, CODES), "codes")
     found = codes.where("kind = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "begins"))).first().asDict()
     cells = [tuple(r) for r in held_out_counts(codes, found).collect()]  # at most BUCKETS * STEPS * STEPS

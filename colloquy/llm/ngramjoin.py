@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import grams
 from colloquy.llm.components import components
-from colloquy.llm.grams import U
+from colloquy.llm.grams import U, packed5, unpacked5
 from colloquy.llm.tables import slices, stored, text_offsets
 
 NULL_KEY = (1 << 63) - 1
@@ -58,17 +58,6 @@ def sets(batch: pa.RecordBatch, n: int, text: str) -> tuple[np.ndarray, np.ndarr
     return value[keep], np.searchsorted(owner[keep], np.arange(len(counts) + 1))
 
 
-def packed5(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpacked5(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel()
-
-
 SENT = pa.schema([("_bucket", pa.int32()), ("_chunk", pa.int64()), ("counts", pa.binary()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("marks", pa.binary())])
 SENT_DDL = "_bucket int, _chunk long, counts binary, tokens binary, keys binary, sizes binary, marks binary"
 BACK = pa.schema([("_chunk", pa.int64()), ("_bucket", pa.int32()), ("counts", pa.binary()), ("tokens", pa.binary()), ("often", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("marks", pa.binary())])
@@ -89,7 +78,7 @@ def _sender(n: int, buckets: int, key: str, text: str):
             filled = sizes > 0
             for row, salt in zip(marks, (U(0), U(0x5851F42D4C957F2D)), strict=True):
                 row[filled] = np.add.reduceat(grams.mixed(value ^ salt), at[:-1][filled]) + sizes[filled].astype(np.uint64)
-            bucket = ((value >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            bucket = (value >> U(65 - buckets.bit_length())).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             tokens, owner = (value[order] >> U(16)) & TOKEN, owner[order]
@@ -120,8 +109,6 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _gatherer(buckets: int):
-    shift = buckets.bit_length() - 1 - 8  # buckets are a power of two of at least 256: their top 8 bits complete 48
-
     def gather(table: pa.Table) -> pa.Table:
         """A row per text: its key, size, marks of its set, n-grams of its own and the shared ones in global order."""
         rows = table.to_pylist()
@@ -132,7 +119,7 @@ def _gatherer(buckets: int):
             if r["_bucket"] >= 0:
                 owners.append(np.repeat(np.arange(len(keys)), grams.unplanes(r["counts"])))
                 often = np.minimum(grams.unplanes(r["often"]), 0xFFFF).astype(np.uint64)
-                values.append(often << U(48) | U(r["_bucket"] >> shift) << U(40) | unpacked5(r["tokens"]))
+                values.append(often << U(48) | unpacked5(r["tokens"], r["_bucket"], buckets))
         owner, value = np.concatenate(owners), np.concatenate(values)
         order = np.lexsort((value, owner))
         owner, value = owner[order], value[order]
@@ -345,9 +332,7 @@ def _links(lists: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document n_shingles and component_id, the least key reachable by links of 100 * common >= percent * union."""
-    buckets = 256
-    while buckets < 2 * grams.partitions(docs):
-        buckets *= 2
+    buckets = grams.buckets_for(docs)
     rows = docs.select(F.col(key).cast("long").alias(key), text)
     sent = rows.mapInArrow(_sender(n, buckets, key, text), SENT_DDL)
     back = sent.groupBy("_bucket").applyInArrow(_count, BACK_DDL)

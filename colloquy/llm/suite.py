@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, langid, lm, ngramjoin, packing, pieces, quality, topk, wavelet
+from colloquy.llm import fingerprints, langid, lm, ngramjoin, packing, pieces, quality, suffixdedup, topk, wavelet
 from colloquy.llm.tables import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf, "documents"), digests=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held = langid.held_out("doc_id", 4)
@@ -54,7 +58,7 @@ def op10_wavelet(spark: SparkSession, sf: str) -> DataFrame:
     return wavelet.read(spark, path, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality, op4_topk, op5_pieces, op6_packing, op7_ngram_join, op8_lm_scores, op9_fingerprints, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality, op4_topk, op5_pieces, op6_packing, op7_ngram_join, op8_lm_scores, op9_fingerprints, op10_wavelet)}
 TOPK_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v, len(embedding) AS d FROM embeddings

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: the plan above it never runs twice, whoever is lost."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
