@@ -177,17 +177,17 @@ def _parser(texts: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
 
 def identify(docs: DataFrame, learnt: dict[str, list[str]], key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document lang_pred, score and `phrase_rate` (phrases per symbol in the best language; 1 for `und`)."""
-    kept = docs.select(key, text, *carry)
+    columns = list(dict.fromkeys([key, text, *carry]))
+    kept = docs.select(*columns)
+    out = [c for c in columns if c != text or text in carry]
+    kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in out)
     frozen = tuple((k, tuple(v)) for k, v in sorted(learnt.items()))
-    names = [key, *carry]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(frozen)
         for batch in slices(batches, text):
             lang, score, rate = parser.predict(texts_of(batch, text))
-            own = [batch.column(batch.schema.get_field_index(f)) for f in order]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[*order, "lang_pred", "score", "phrase_rate"])
+            own = [batch.column(columns.index(c)) for c in out]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[*out, "lang_pred", "score", "phrase_rate"])
 
-    order = [f.name for f in kept.schema if f.name in names]
     return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double, phrase_rate double")

@@ -341,7 +341,7 @@ def _finisher(length: int, key: str, carry: list[str], digests: bool, schema: pa
         gone = removed(p, found, length)
         keep = p.raw[np.flatnonzero(~gone)].tobytes()
         total = np.concatenate([[0], np.cumsum(gone)])
-        columns = {"n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept": [], "kept_sha256": []}
+        columns = {"n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept": [], "kept_text": [], "kept_sha256": []}
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[p.starts[:-1][np.diff(p.starts) > 0]] = gone[p.starts[:-1][np.diff(p.starts) > 0]]
@@ -357,6 +357,7 @@ def _finisher(length: int, key: str, carry: list[str], digests: bool, schema: pa
                 part = np.diff(np.concatenate([[0], gone[a:z].astype(np.int8), [0]]))
                 columns["spans"].append([{"begin": b, "end": e} for b, e in zip(np.flatnonzero(part == 1).tolist(), np.flatnonzero(part == -1).tolist(), strict=True)])
                 columns["kept"].append(kept)
+                columns["kept_text"].append(kept.decode("utf-8", "ignore"))
         own = [batch.column(batch.schema.get_field_index(c)) for c in ("_key", *carry)]
         made = [pa.array(columns[f.name], f.type) for f in list(schema)[len(own) :]]
         return pa.Table.from_arrays([*own, *made], schema=schema)
@@ -365,7 +366,8 @@ def _finisher(length: int, key: str, carry: list[str], digests: bool, schema: pa
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
-    """Per document n_bytes, n_removed, n_spans, the removed spans and the bytes kept; with `digests` their SHA-256 instead."""
+    """Per document n_bytes, n_removed, n_spans, the removed spans, the bytes kept and the text they hold (characters cut
+    in two are left out); with `digests` the SHA-256 of the bytes kept instead."""
     names = {c: f"_carry{i}" for i, c in enumerate(carry)}
     rows = grams.chunked(docs.select(key, text, *(F.col(c).alias(n) for c, n in names.items())), key, text, *names.values())
     buckets = grams.buckets_for(docs)
@@ -377,7 +379,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     fields = [T.StructField(key, T.LongType()), *(T.StructField(c, rows.schema[n].dataType) for c, n in names.items())]
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     span = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    fields += [T.StructField("kept_sha256", T.StringType())] if digests else [T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]
+    fields += [T.StructField("kept_sha256", T.StringType())] if digests else [T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
     finish = _finisher(length, key, list(names.values()), digests, to_arrow_schema(T.StructType(fields)))
     return by_chunk.cogroup(found.groupBy("_chunk")).applyInArrow(finish, T.StructType(fields))
 

@@ -1,6 +1,11 @@
+import sys
+from pathlib import Path
+
 import public_tokenizers
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 
 @pytest.fixture(scope="session")
 def vocabulary():
