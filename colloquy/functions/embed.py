@@ -17,7 +17,6 @@ from colloquy.schema import HASH_DIM
 
 HASH_MODEL = "hash-384"
 EMBED_BATCH = 64
-EMBED_CHARS = 8_000
 # Fixed values of the 64-bit FNV-1a hash and of the feature weights.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 WORD_WEIGHT, STEM_WEIGHT, TRIGRAM_WEIGHT = 1.0, 0.5, 0.25
@@ -95,9 +94,12 @@ def hash_embed_fn(texts: list[str]) -> np.ndarray:
 
 def embed(
     df: DataFrame, embed_fn: EmbedFn = hash_embed_fn, *, text: str = "text", prefix: str = "", vec: str = "vec",
-    batch: int = EMBED_BATCH, chars: int | None = EMBED_CHARS,
+    batch: int = EMBED_BATCH, chars: int | None = None,
 ) -> DataFrame:
-    """Append unit vectors. `embed_fn` maps a list of texts to a matrix and is called in small batches."""
+    """Append unit vectors. `embed_fn` maps a list of texts to a matrix and is called in small batches.
+
+    Whole texts are embedded; `chars` cuts them for a model of the caller's that takes no more.
+    """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def vectors(column: pa.Array) -> pa.Array:

@@ -65,18 +65,20 @@ class Batch:
 
 # --- reading the question --------------------------------------------------------------------------
 def names_of(entities: Column, measures: Column) -> Column:
-    """The keys a turn has to mention to be about the question: no measures, no parts of a longer key."""
-    calendar = [*lx.MONTH_NUMBER, *lx.WEEKDAYS]
-    kept = F.filter(
-        entities,
-        lambda k: ~F.array_contains(measures, k) & ~k.isin(calendar) & ~k.rlike(r"^[0-9\-]*$"),
-    )
-
-    def within(short: Column, long: Column) -> Column:
-        a, b = F.split(short, " "), F.split(long, " ")
-        return (F.size(a) < F.size(b)) & (F.size(F.array_except(a, b)) == 0)
+    """The keys a turn has to mention to be about the question: no measures, no parts of a longer key.
 
-    return F.filter(kept, lambda k: ~F.exists(kept, lambda other: within(k, other)))
+    Every pair of keys where one's words are a proper subset of the other's drops the shorter, in two array differences.
+    """
+    plain = F.array_except(F.array_except(entities, measures), F.array(*map(F.lit, [*lx.MONTH_NUMBER, *lx.WEEKDAYS])))
+    worded = F.filter(plain, lambda key: key.rlike("[^0-9-]"))
+    bags = F.transform(worded, lambda key: F.struct(key.alias("key"), F.split(key, " ").alias("words")))
+    covered = F.flatten(
+        F.transform(bags, lambda big: F.transform(
+            F.filter(bags, lambda small: (F.size(small["words"]) < F.size(big["words"])) & (F.size(F.array_except(small["words"], big["words"])) == 0)),
+            lambda small: small["key"],
+        ))
+    )
+    return F.filter(worded, lambda key: ~F.array_contains(covered, key))
 
 
 def profile(queries: DataFrame, memory: Memory, batch: Batch | None = None) -> DataFrame:
@@ -293,16 +295,19 @@ def word_line(source: Column) -> Column:
 
 
 def missing_names(names: Column, words: Column, page_lower: Column) -> Column:
-    """Names a text (`words` as `word_line`) does not mention: all its words, or the last of several; a technical key verbatim."""
+    """Names a text (`words` as `word_line`) does not mention: all its words, or the last of several; a technical key verbatim.
 
-    def held(w: Column) -> Column:
-        return F.contains(words, F.concat(F.lit(" "), w, F.lit(" ")))
+    Each name is turned into the alternatives that would count as a mention, each a list of strings that must all occur.
+    """
+    padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    technical = lambda n: n.rlike("[_/:]")
+    tail = lambda n: F.substring_index(n, " ", -1)
+    surname = lambda n: F.contains(n, F.lit(" ")) & tail(n).rlike(r"^(?=.*[^0-9]).{3,}$")
 
     def mentioned(n: Column) -> Column:
-        parts = F.split(n, " ")
-        last = F.element_at(parts, -1)
-        by_last = (F.size(parts) > 1) & (F.length(last) >= 3) & ~last.rlike(r"^[0-9]+$") & held(last)
-        return F.when(n.rlike("[_/:]"), F.contains(page_lower, n)).otherwise(F.forall(parts, held) | by_last)
+        alternatives = F.array(F.split(n, " "), F.when(surname(n), F.array(tail(n))))
+        spoken = F.exists(alternatives, lambda all_of: F.coalesce(F.forall(all_of, lambda w: F.contains(words, padded(w))), F.lit(False)))
+        return (technical(n) & F.contains(page_lower, n)) | (~technical(n) & spoken)
 
     return F.filter(names, lambda n: ~mentioned(n))
 
@@ -618,55 +623,36 @@ def attach_context(memory: Memory, evidence: DataFrame, asked: DataFrame, batch:
 
 
 def render(evidence: DataFrame, context: DataFrame | None = None, limit: int = 2_000, verdicts: DataFrame | None = None) -> DataFrame:
-    """Each answer as prompt text: primary hits first, a header per hit, its neighbours around it."""
+    """Each answer as prompt text: a paragraph per hit with its neighbours in order of time, primary hits first.
+
+    Every line of a paragraph is a row (query, hit, place, text) until the last step, which joins them.
+    """
     from colloquy.functions.dates import utc_day
 
-    def body(text_col: Column, turn_id: Column) -> Column:
-        return text.clip_marked(text.prompt_text(text_col), F.lit(limit), turn_id)
-
-    scope = F.when(F.col("scope") != "", F.concat(F.lit(", scope "), F.col("scope"))).otherwise("")
-    when = F.coalesce(F.concat(F.lit(" "), utc_day(F.col("valid_until"))), F.lit(""))
-    gone = F.when(
-        F.col("superseded_by").isNotNull(), F.concat(F.lit(", superseded"), when, F.lit(" by turn "), F.col("superseded_by"))
-    ).otherwise("")
-    header = F.concat(
-        F.lit("["), "role", F.lit("] "), utc_day(F.col("ts")), F.lit(" "), "speaker", F.lit(" (session "), "session_id",
-        F.lit(", turn "), "id", scope, gone, F.lit("): "), body(F.col("text"), F.col("id")),
-    )
-    rows = evidence.select("query_id", "id", "rank", "role", header.alias("line"))
-    none = F.array().cast(_NO_KEYS)
+    def said(*head: Column) -> Column:
+        return F.concat(*head, F.lit(" > "), text.clip_marked(text.prompt_text(F.col("text")), F.lit(limit), F.col("id")))
+
+    def noted(label: str, value: Column) -> Column:
+        return F.when(value.isNotNull(), F.concat(F.lit(f"; {label} "), value)).otherwise(F.lit(""))
+
+    own = said(
+        F.format_string("#%s %s, %s, session %s, %s", "id", "speaker", utc_day(F.col("ts")), "session_id", "role"),
+        noted("scope", F.nullif(F.col("scope"), F.lit(""))), noted("replaced by #", F.col("superseded_by").cast("string")), noted("held until", utc_day(F.col("valid_until"))),
+    )
+    order = F.struct((F.col("role") != "primary").alias("later"), F.col("rank").alias("rank"))
+    lines = evidence.select("query_id", F.col("id").alias("hit"), F.struct(F.lit(1).alias("side"), F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("id")).alias("at"), own.alias("line"))
     if context is not None:
-        near = F.concat(
-            F.lit("["), "side", F.lit("] "), "speaker", F.lit(" (turn "), "id", F.lit("): "), body(F.col("text"), F.col("id"))
-        )
-        lines = context.select("query_id", "hit_id", "side", "ts", "id", near.alias("line")).groupBy("query_id", "hit_id").agg(
-            *[
-                F.transform(
-                    F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("ts", "id", "line")))),
-                    lambda x: x["line"],
-                ).alias(side)
-                for side in ("before", "after")
-            ]
-        ).withColumnRenamed("hit_id", "id")
-        rows = rows.join(lines, ["query_id", "id"], "left")
-    else:
-        rows = rows.withColumns({"before": none, "after": none})
-    block = F.array_join(
-        F.concat(F.coalesce("before", none), F.array("line"), F.coalesce("after", none)), "\n"
-    )
-    ordered = F.array_sort(F.collect_list(F.struct((F.col("role") != "primary").alias("o"), "rank", block.alias("b"))))
-    out = rows.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("rendered"))
+        side = F.when(F.col("side") == "before", 0).otherwise(2)
+        near = said(F.format_string("  %s it, #%s %s", "side", "id", "speaker"))
+        lines = lines.unionByName(context.select("query_id", F.col("hit_id").alias("hit"), F.struct(side.alias("side"), "ts", "id").alias("at"), near.alias("line")))
+    joined = lambda rows, name, gap: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x[name]), gap)
+    paragraphs = lines.groupBy("query_id", "hit").agg(joined(F.struct("at", "line"), "line", "\n").alias("paragraph"))
+    ranked = paragraphs.join(evidence.select("query_id", F.col("id").alias("hit"), order.alias("at")), ["query_id", "hit"])
+    out = ranked.groupBy("query_id").agg(joined(F.struct("at", "paragraph"), "paragraph", "\n\n").alias("rendered"))
     if verdicts is None:
         return out
-    quoted = F.array_join(F.transform("missing", lambda n: F.concat(F.lit('"'), n, F.lit('"'))), ", ")
-    why = F.when(F.size("missing") > 0, F.concat(F.lit("no turn in memory mentions "), quoted)).otherwise(
-        F.format_string("nothing in memory matches this closely (best score %.2f)", F.col("best"))
-    )
-    lead = verdicts.select(
-        "query_id",
-        F.concat(
-            F.lit("[abstained] Memory does not hold the answer: "), why,
-            F.lit(". The closest turns follow; they are probably not the answer."),
-        ).alias("lead"),
+    cause = F.when(F.size("missing") > 0, F.concat(F.lit("never mentioned: "), F.array_join("missing", ", "))).otherwise(
+        F.format_string("best score only %.2f", "best")
     )
+    lead = verdicts.select("query_id", F.concat(F.lit("[abstained] No stored turn answers this ("), cause, F.lit("). What comes nearest:")).alias("lead"))
     return out.join(lead, "query_id", "left").select("query_id", F.concat_ws("\n\n", "lead", "rendered").alias("rendered"))

@@ -9,11 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when the optimizer or a bounded count proves it is below this.
-BROADCAST_BYTES = 64 << 20
+#: A side is broadcast only when its derived bound proves it is below this.
 BROADCAST_ROWS = 500_000
-#: Inputs below this cannot hold a group that troubles one task.
-SMALL_INPUT_BYTES = 256 << 20
 #: A group above this many rows is split over several tasks.
 HOT_GROUP_ROWS = 2_000_000
 
@@ -39,35 +36,24 @@ def local_session(cores: str | int = "*", app: str = "colloquy", **conf: str) ->
     return spark
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; enormous when it has nothing to go by."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when `df` is proven small: by its statistics, else by a count that stops at `rows`."""
-    if plan_bytes(df) <= BROADCAST_BYTES:
-        return True
-    return df.limit(rows + 1).count() <= rows
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
-    """Hint a broadcast when the side is proven small; otherwise leave a shuffle join to the planner.
+    """Hint a broadcast when `bound`, a limit on the rows that the caller has derived, proves the side small.
 
-    `bound` is an upper limit on the rows the caller has already derived, so nothing has to be counted.
+    Without a bound the planner decides, and once more at run time by the bytes that were really shuffled. Estimates are of
+    compressed files and prove nothing.
     """
-    fits = bound <= rows if bound is not None else fits_broadcast(df, rows)
-    return F.broadcast(df) if fits else df
+    return F.broadcast(df) if bound is not None and bound <= rows else df
 
 
 def has_hot_group(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
-    """Whether one value of `keys` holds more than `rows` rows. Tiny inputs answer from statistics."""
+    """Whether one value of `keys` holds more than `rows` rows; a table of fewer rows than that holds none."""
     rows = HOT_GROUP_ROWS if rows is None else rows
-    if rows == HOT_GROUP_ROWS and plan_bytes(df) <= SMALL_INPUT_BYTES:
+    narrow = df.select(*keys) if keys else df.select(F.lit(1).alias("_one"))
+    if narrow.limit(rows + 1).count() <= rows:
         return False
     if not keys:
-        return df.limit(rows + 1).count() > rows
-    return not df.groupBy(*keys).count().where(F.col("count") > rows).isEmpty()
+        return True
+    return not narrow.groupBy(*keys).count().where(F.col("count") > rows).isEmpty()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -94,9 +80,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Give per-row text work every core when a scan arrives in fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out to every core before per-row text work; no look at the plan, which could start a job."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def place(df: DataFrame, *keys: str) -> DataFrame:

@@ -25,10 +25,6 @@ ACTION_PAYLOAD = struct(
 ACTION_LOG = struct(
     id=L, run_id=S, actor=S, ts=L, op=S, payload=ACTION_PAYLOAD, reason=S, undone_at=L, undone_by=S
 )
-ACTION_INPUT = struct(
-    index=I, op=S, turn_ids=T.ArrayType(L), by=L, alias=S, canonical=S, entity=S, session_id=S,
-    scope=S, text=S, source_ids=T.ArrayType(L), summary=S, cursor=L, reason=S,
-)
 EVAL_RUN = struct(
     recorded_at=S, commit=S, label=S, profile=S, embedder=S, k=I, queries=I, missed=I,
     recall_at_k=D, mrr=D, ndcg_at_k=D, tokens_per_answer=D, history_ndcg_at_k=D, as_of_ndcg_at_k=D,
@@ -74,7 +70,6 @@ CANDIDATE_CHARS, TARGET_CHARS, POINT_CHARS = 300, 240, 160
 SUPERSEDE_MIN_OVERLAP, SUPERSEDE_EARLIER, SUPERSEDE_REACH = 0.3, 5, 30
 ALIAS_NEIGHBOURS = 20
 
-MAX_PER_CALL, MAX_PER_RUN = 100, 300
 MIN_AGE_MS = DAY_MS
 NOTE_MAX_CHARS, BRIEF_MAX_CHARS = 4_000, 1_500
 SESSION_MAX_TURNS, SESSION_PAGE, SESSION_SIDE = 200, 50, 5

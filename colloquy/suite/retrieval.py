@@ -21,8 +21,7 @@ from colloquy.sources import adapters
 from colloquy.suite import sql
 from colloquy.suite.registry import query
 
-ASKED = """q AS (SELECT 'b'||item_id AS query_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '),
- 1, 12), ' ') AS query FROM benchmark)"""
+ASKED = """q AS (SELECT 'b'||item_id AS query_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS query FROM benchmark)"""
 POSTINGS = f"""tk AS (SELECT doc_id AS id, {sql.terms()} AS ts FROM documents), dl AS (SELECT id, len(ts) AS dl FROM tk),
  sz AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, UNNEST(ts) AS term FROM tk)
  GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1)"""
@@ -278,15 +277,16 @@ def _(spark, sf):
     return claimed.select("query_id", "hit_id", "id", "side", F.col("dist").cast("long").alias("dist"))
 
 
-@query("names_mentioned", f"""WITH k AS (SELECT DISTINCT unnest(list_slice({sql.norms()}, 1, 2)) AS w FROM benchmark), p AS (SELECT id, {sql.norms('text')} AS ws FROM
- (SELECT conv_id*1000+turn AS id, text FROM conversations)) SELECT w AS name, count(*) AS missing FROM p, k WHERE NOT list_contains(ws, w) GROUP BY 1""")
+@query("names_mentioned", f"""WITH k AS (SELECT item_id, list_distinct({sql.norms()}) AS names FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark), p AS (SELECT id, {sql.norms('text')} AS ws FROM
+ (SELECT conv_id*1000+turn AS id, text FROM conversations)) SELECT id, CAST(len(list_filter(names, lambda w: NOT list_contains(ws, w))) AS BIGINT) AS missing FROM p, n JOIN k ON k.item_id = p.id % n.n""")
 def _(spark, sf):
-    firsts = adapters.table(spark, sf, "benchmark").select(F.explode(F.slice(text.normalised_words(F.col("text")), 1, 2)).alias("w")).distinct()
-    names = F.lit(firsts.agg(F.array_sort(F.collect_set("w")).alias("n")).first()["n"])
-    turns = adapters.conversation_turns(spark, sf)
+    """Every turn against all words of the passage its id falls on."""
+    passages = adapters.table(spark, sf, "benchmark")
+    names = passages.select("item_id", F.array_distinct(text.normalised_words(F.col("text"))).alias("names"))
+    turns = adapters.conversation_turns(spark, sf).withColumn("item_id", F.col("id") % passages.count())
     t = F.col("text")
-    lacks = rc.missing_names(names, rc.word_line(t), F.lower(t))
-    return turns.select(F.explode(lacks).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("missing"))
+    lacks = rc.missing_names(F.col("names"), rc.word_line(t), F.lower(t))
+    return turns.join(names, "item_id").select("id", F.size(lacks).cast("long").alias("missing"))
 
 
 # --- whole recalls -----------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import runtime
-from colloquy.curation.apply import oracle_supersession
+from colloquy.curation.log import oracle_supersession
 from colloquy.operators import evaluation, health
 from colloquy.operators.ordered import Ordered
 from colloquy.sources import adapters

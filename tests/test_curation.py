@@ -1,151 +1,131 @@
+"""Finders, folds and the action log on a small invented shipyard."""
+
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy import schema as sc
-from colloquy.curation import apply as ap
 from colloquy.curation import finders, fold, reads
+from colloquy.curation import log as actions
 from colloquy.functions.mentions import extract_mentions
 from colloquy.operators import graph
 
-DAY = sc.DAY_MS
-NOW = 100 * DAY
+HOUR, DAY = 3_600_000, sc.DAY_MS
+LATE = 400 * DAY
+
+LINES = [
+    ("dock", "Today Odile Brandt signed the hull papers of the Marigold in Trieste."),
+    ("dock", "The Marigold refit costs $40k and the refit papers are filed."),
+    ("mess", "mm fine"),
+    ("mess", "The Marigold refit now costs $55k and the refit papers are filed."),
+    ("mess", "Today Odile Brandt signed the hull papers of the Marigold in Trieste!"),
+    ("quay", "Then we met Odile near the Marigold in Trieste."),
+]
 
 
-def store(spark, texts, scope=""):
-    rows = [
-        (i + 1, f"u{i + 1}", s, "user", t, ts, ts, "turn", scope) for i, (s, ts, t) in enumerate(texts)
-    ]
+def yard(spark, lines, gap=10 * DAY):
+    rows = [(i, f"y-{i}", session, "crew", said, i * gap, i * gap, "turn", "") for i, (session, said) in enumerate(lines, 1)]
     return spark.createDataFrame(rows, sc.TURN)
 
 
-TEXTS = [
-    ("a", 1 * DAY, "Maya Okafor is based in Osaka and leads the Heron launch."),
-    ("a", 2 * DAY, "Project Heron launch is planned for March 14 in the main hall."),
-    ("b", 3 * DAY, "Update: the Project Heron launch is now planned for April 2 in the main hall."),
-    ("b", 4 * DAY, "ok sure"),
-    ("b", 5 * DAY, "Maya Okafor is based in Osaka and leads the Heron launch!"),
-    ("b", 6 * DAY, "Maya asked about Heron and the Osaka office."),
-]
+def entry(index, op, **payload):
+    full = {f.name: payload.get(f.name) for f in sc.ACTION_PAYLOAD.fields}
+    return {"index": index, "run_id": payload.get("run", "first"), "actor": "keeper", "ts": 1000 + index, "op": op, "payload": full, "reason": "kept tidy", "undone_at": None, "undone_by": None}
+
+
+def entries(spark, *rows):
+    fields = [f for f in sc.ACTION_LOG.fields if f.name != "id"]
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("index", T.LongType()), *fields])
+    return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in rows], schema)
 
 
 @pytest.fixture(scope="module")
 def turns(spark):
-    return store(spark, TEXTS).persist()
+    return yard(spark, LINES).persist()
 
 
 @pytest.fixture(scope="module")
-def mentions(spark, turns):
+def found(turns):
     return extract_mentions(turns).persist()
 
 
-@pytest.fixture(scope="module")
-def log(spark):
-    return spark.createDataFrame([], sc.ACTION_LOG)
-
-
-def actions(spark, *items):
-    names = [f.name for f in sc.ACTION_INPUT.fields]
-    rows = [tuple({"index": i, "reason": "because", **a}.get(n) for n in names) for i, a in enumerate(items)]
-    return spark.createDataFrame(rows, sc.ACTION_INPUT)
-
-
-def test_duplicates_and_noise(spark, turns, mentions):
-    dup = finders.exact_duplicates(turns, mentions, cutoff=NOW).collect()
-    assert [(r.id, r.first, r.earlier) for r in dup] == [(5, 1, 1)]
-    page = finders.scan_page(finders.exact_duplicates(turns, mentions, cutoff=NOW), finders.eligible_after(turns, None, 0, NOW), 0, budget=500)
-    assert (page.scanned_through, page.more) == (6, False)
-    short = finders.scan_page(page.candidates, finders.eligible_after(turns, None, 0, NOW), 0, budget=3)
-    assert (short.candidates.count(), short.scanned_through, short.more) == (0, 3, True)
-    assert finders.copies_of(page.candidates, turns).collect()[0].turn_id == 1
-    noise = finders.noise(turns, mentions, cutoff=NOW).collect()
-    assert [(r.id, r.score) for r in noise] == [(4, 0.7)]
-    assert noise[0].reason == "2 content words and no entities: chatter"
-
-
-def test_supersession(spark, turns, mentions):
-    for split in ({}, {"hot_rows": 1}):
-        found = finders.supersession(turns, mentions, cutoff=NOW, **split).collect()
-        assert [(r.id, r.turns, r.entities) for r in found] == [(3, [2], ["project heron"])]
-        assert found[0].reason == "about project heron: 03-14 → 04-02, worded as a change"
-        assert found[0].score == 0.867
-
-
-def test_supersession_keeps_to_thirty_earlier_turns(spark):
-    texts = [("s", (i + 1) * DAY, f"Heron budget review costs ${i}k this quarter.") for i in range(40)]
-    rows = store(spark, texts)
-    found = {r.id: r.turns for r in finders.supersession(rows, extract_mentions(rows), cutoff=NOW).collect()}
-    assert found[40] == [35, 36, 37, 38, 39]
-    same = store(spark, [("s", DAY, t) for _, _, t in texts])
-    tied = {r.id: r.turns for r in finders.supersession(same, extract_mentions(same), cutoff=NOW).collect()}
-    # All said at once: each turn sees the thirty with the highest ids besides itself, and keeps the top five.
-    assert tied[1] == [36, 37, 38, 39, 40] and tied[40] == [35, 36, 37, 38, 39]
-
-
-def test_aliases(spark, turns, mentions):
-    stats = graph.entity_stats(mentions, turns)
-    rows = finders.alias_candidates(stats, mentions, turns, graph.edges(mentions))
-    got = {(r.short, r.long): r for r in rows.collect()}
-    assert ("maya", "maya okafor") in got and ("heron", "project heron") in got
-    assert got["maya", "maya okafor"].reason.startswith("maya is a prefix of maya okafor; 1 shared sessions")
-    page, more = finders.ranked_page(rows, finders.alias_order(), 1)
-    assert page.count() == 1 and more
-
-
-def test_apply_fold_and_undo(spark, turns, mentions, log):
-    stats = graph.entity_stats(mentions, turns)
-    batch = actions(
+def test_a_repeated_statement_points_at_the_first(turns, found):
+    doubled = finders.exact_duplicates(turns, found, cutoff=LATE)
+    assert [(r.id, r.first, r.earlier) for r in doubled.collect()] == [(5, 1, 1)]
+    assert [r.turn_id for r in finders.copies_of(doubled, turns).collect()] == [1]
+    young = finders.exact_duplicates(turns, found, cutoff=50 * DAY - HOUR)
+    assert young.isEmpty()
+
+
+def test_pages_stop_at_the_budget(turns, found):
+    doubled, order = finders.exact_duplicates(turns, found, cutoff=LATE), finders.eligible_after(turns, None, 0, LATE)
+    for budget, want in ((4, (0, 4, True)), (6, (1, 6, False)), (50, (1, 6, False))):
+        page = finders.scan_page(doubled, order, 0, budget=budget)
+        assert (page.candidates.count(), page.scanned_through, page.more) == want
+
+
+def test_small_talk_is_noise(turns, found):
+    assert [(r.id, r.suggested) for r in finders.noise(turns, found, cutoff=LATE).collect()] == [(3, "hide")]
+
+
+@pytest.mark.parametrize("split", [{}, {"hot_rows": 1}])
+def test_a_changed_figure_supersedes(turns, found, split):
+    rows = finders.supersession(turns, found, cutoff=LATE, **split).collect()
+    assert [(r.id, r.turns) for r in rows] == [(4, [2])]
+    assert "$40k → $55k" in rows[0].reason and 0 < rows[0].score <= 1
+
+
+def test_supersession_looks_back_thirty_turns(spark):
+    many = yard(spark, [("log", f"Every month the Marigold pays ${i + 1}k for its mooring at the pier.") for i in range(35)], HOUR)
+    got = {r.id: r.turns for r in finders.supersession(many, extract_mentions(many), cutoff=LATE).collect()}
+    assert got[35] == [30, 31, 32, 33, 34] and got[3] == [1, 2]
+
+
+def test_a_first_name_is_proposed_for_the_whole(turns, found):
+    stats = graph.entity_stats(found, turns)
+    pairs = finders.alias_candidates(stats, found, turns, graph.edges(found))
+    assert any((r.short, r.long) == ("odile", "odile brandt") for r in pairs.collect())
+    page, more = finders.ranked_page(pairs, finders.alias_order(), 10_000)
+    assert page.count() == pairs.count() and not more
+
+
+def test_log_rows_fold_into_the_state_and_back(spark, turns, found):
+    empty = spark.createDataFrame([], sc.ACTION_LOG)
+    note = (7, "n-7", "mess", "curator", "Odile signed for the Marigold.", 60 * DAY, 60 * DAY, "note", "")
+    store = turns.unionByName(spark.createDataFrame([note], sc.TURN))
+    rows = entries(
         spark,
-        {"op": "hide", "turn_ids": [4, 4]}, {"op": "hide", "turn_ids": [4]}, {"op": "supersede", "turn_ids": [2], "by": 3},
-        {"op": "supersede", "turn_ids": [3], "by": 2}, {"op": "alias", "alias": "Maya's", "canonical": "Maya Okafor"},
-        {"op": "alias", "alias": "heron", "canonical": "maya"}, {"op": "block", "entity": "Osaka"},
-        {"op": "note", "session_id": "n", "text": "Maya leads Heron.", "source_ids": [1, 5]},
-        {"op": "note", "session_id": "n", "text": "again", "source_ids": [5, 1]},
-        {"op": "brief", "scope": "", "text": "All about Heron.", "source_ids": []},
-        {"op": "brief", "scope": "", "text": "All about Heron.", "source_ids": []},
-        {"op": "hide", "turn_ids": [99]}, {"op": "unhide", "turn_ids": [1]}, {"op": "hide", "turn_ids": [1], "reason": " "},
-        {"op": "run_end", "summary": " done ", "reason": None},
-    )
-    dry = ap.apply_actions(batch, turns, log, run_id="r1", actor="me", now=NOW, stats=stats, dry_run=True)
-    done = ap.apply_actions(batch, turns, log, run_id="r1", actor="me", now=NOW, stats=stats)
-    ok = [True, False, True, False, True, False, True, True, False, True, False, False, False, False, True]
-    assert [r["ok"] for r in done.results] == ok == [r["ok"] for r in dry.results] and not dry.log
-    errors = {r["index"]: r["error"] for r in done.results if not r["ok"]}
-    assert errors[1] == "every turn is already hidden" and "newer than" in errors[3] and "itself an alias" in errors[5]
-    assert errors[8] == "there is already a note for these sources" and "exactly this" in errors[10]
-    assert errors[11] == "no turn 99" and errors[13] == "a reason is required"
-    log2, turns2 = ap.append_log(log, done), ap.append_turns(turns, done)
-    flags = {r.id: (r.hidden, r.superseded_by) for r in fold.turn_flags(log2, turns2).collect()}
-    assert flags == {4: (True, None), 2: (False, 3)}
-    assert [(r.alias, r.canonical) for r in fold.aliases(log2).collect()] == [("maya", "maya okafor")]
-    assert [r.entity for r in fold.blocklist(log2).collect()] == ["osaka"]
-    assert fold.cursor(log2).first().cursor == 7
-    assert sorted((r.note_id, r.turn_id) for r in fold.note_sources(log2, turns2).collect()) == [(7, 1), (7, 5)]
-    assert turns2.where("id = 7").first().ts == 5 * DAY and reads.brief_of(turns2).first().text == "All about Heron."
-    run = reads.runs(log2).first()
-    assert (run.actions, run.undone, run.summary, run.finished, run.ops["note"]) == (7, 0, "done", True, 1)
-    targets = reads.action_targets(log2, turns2).where("id = 2").orderBy("pos").collect()
-    assert [(t.turn_id, t.uuid) for t in targets] == [(2, "u2"), (3, "u3")]
-    ruled = graph.apply_entity_rules(mentions, fold.aliases(log2).select("alias", "canonical"), fold.blocklist(log2).select("entity"))
-    assert not {"maya", "osaka"} & {r.entity for r in ruled.select("entity").distinct().collect()}
-    facts = {r.id: r for r in reads.turn_facts(turns2, fold.turn_flags(log2, turns2), fold.note_sources(log2, turns2)).collect()}
-    assert facts[1].covered_by == [7] and facts[7].sources == [1, 5] and facts[3].supersedes == 1
-    picked = reads.curated_turns(turns2, ruled, reads.turn_facts(turns2, fold.turn_flags(log2, turns2), fold.note_sources(log2, turns2)), entity="Maya", aliases=fold.aliases(log2).select("alias", "canonical"))
-    assert [r.id for r in picked.orderBy("ts", "id").collect()] == [1, 5, 6]
-
-    log3, turns3 = ap.undo(log2, turns2, actor="me", now=NOW + 1, action_id=2)
-    assert {r.id for r in fold.turn_flags(log3, turns3).collect()} == {4}
-    log4, turns4 = ap.undo(log3, turns3, actor="me", now=NOW + 2, run_id="r1")
-    assert fold.flags(log4).isEmpty() and fold.aliases(log4).isEmpty() and reads.same(turns4, turns)
-    for bad in ({"action_id": 2}, {"action_id": 99}, {"run_id": "zz"}):
-        with pytest.raises(ap.CurationError):
-            ap.undo(log4, turns4, actor="me", now=NOW, **bad)
-
-
-def test_limits(spark, turns, log):
-    many = actions(spark, *[{"op": "hide", "turn_ids": [i]} for i in (1, 2, 3)])
-    with pytest.raises(ap.CurationError):
-        ap.apply_actions(many, turns, log, run_id="r", actor="me", now=NOW, config=ap.Config(max_per_call=2))
-    done = ap.apply_actions(many, turns, log, run_id="r", actor="me", now=NOW, config=ap.Config(max_per_run=2))
-    assert [r["ok"] for r in done.results] == [True, True, False] and "limit of 2" in done.results[2]["error"]
-    young = ap.apply_actions(many, turns, log, run_id="r", actor="me", now=2 * DAY)
-    assert [r["ok"] for r in young.results] == [True, False, False] and "too recent" in young.results[1]["error"]
+        entry(0, "hide", turns=["y-3"]), entry(1, "supersede", turns=["y-2"], by="y-4"), entry(2, "alias", alias="odile", canonical="odile brandt"),
+        entry(3, "block", entity="trieste"), entry(4, "note", note="n-7", sources=["y-1", "y-5"]), entry(5, "run_end", summary="over", cursor=6),
+        entry(6, "hide", turns=["y-6"], run="second"),
+    )
+    log = actions.append_log(empty, rows)
+    assert [r.id for r in log.orderBy("id").collect()] == [1, 2, 3, 4, 5, 6, 7]
+    assert [r.id for r in actions.append_log(log, rows.where("index = 3")).where("id > 7").collect()] == [8]
+    flags = fold.turn_flags(log, store)
+    assert {r.id: (r.hidden, r.superseded_by) for r in flags.collect()} == {3: (True, None), 2: (False, 4), 6: (True, None)}
+    assert [r.entity for r in fold.blocklist(log).collect()] == ["trieste"] and fold.cursor(log).first().cursor == 6
+    assert sorted(r.turn_id for r in fold.note_sources(log, store).collect()) == [1, 5]
+    facts = {r.id: r for r in reads.turn_facts(store, flags, fold.note_sources(log, store)).collect()}
+    assert facts[1].covered_by == [7] and facts[7].sources == [1, 5] and facts[2].superseded_by == 4
+    ruled = graph.apply_entity_rules(found, fold.aliases(log).select("alias", "canonical"), fold.blocklist(log).select("entity"))
+    left = {r.entity for r in ruled.select("entity").distinct().collect()}
+    assert "trieste" not in left and "odile" not in left
+
+    one, same = actions.undo(log, store, actor="keeper", now=5, action_id=1)
+    assert {r.id for r in fold.turn_flags(one, same).collect()} == {2, 6} and same.count() == 7
+    run, fewer = actions.undo(one, same, actor="keeper", now=6, run_id="first")
+    assert {r.id for r in fold.turn_flags(run, fewer).collect()} == {6} and fold.aliases(run).isEmpty()
+    assert reads.same(fewer, turns) and run.where("undone_at = 5").count() == 1
+    for wrong in ({"action_id": 1}, {"action_id": 44}, {"run_id": "third"}):
+        with pytest.raises(actions.UnknownAction):
+            actions.undo(run, fewer, actor="keeper", now=7, **wrong)
+
+
+def test_runs_are_summed_up(spark):
+    log = actions.append_log(spark.createDataFrame([], sc.ACTION_LOG), entries(spark, entry(0, "hide", turns=["a"]), entry(1, "hide", turns=["b"]), entry(2, "run_end", summary="two hidden", cursor=2)))
+    run = reads.runs(log).first()
+    assert (run.actions, run.undone, run.summary, run.finished) == (3, 0, "two hidden", True)
+    shut, _ = actions.undo(log, spark.createDataFrame([], sc.TURN), actor="keeper", now=9, action_id=2)
+    assert reads.runs(shut).first().undone == 1 and log.where(F.col("undone_at").isNotNull()).isEmpty()

@@ -1,167 +1,116 @@
-from datetime import datetime, timezone
+"""Whole recalls over an invented harbour: who holds a post when, what is missing, what is hidden."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy import schema as sc
+from colloquy.plans import recall as rc
 from colloquy.plans.memory import Memory
-from colloquy.plans.recall import recall, render
 
+DAY = sc.DAY_MS
+#: 2031-01-01.
+YEAR = 22_280 * DAY
 
-def at(day, hour=9):
-    return int(datetime.fromisoformat(day).replace(tzinfo=timezone.utc, hour=hour).timestamp() * 1000)
 
+def harbour(spark, said, **build):
+    """`said`: (uuid, day of the year, text[, session[, scope]])."""
+    rows = []
+    for i, (uuid, day, words, *rest) in enumerate(said, 1):
+        session, scope = (*rest, "log", "")[:1][0], (rest[1] if len(rest) > 1 else "")
+        rows.append((i, uuid, session, "mate", words, YEAR + day * DAY, YEAR + day * DAY, "turn", scope))
+    return Memory.build(spark.createDataFrame(rows, sc.TURN), **build)
 
-def turns(spark, rows):
-    """`rows`: (session, uuid, ts, text[, scope])."""
-    data = [
-        (i + 1, r[1], r[0], "user", r[3], r[2], r[2], "turn", r[4] if len(r) > 4 else "") for i, r in enumerate(rows)
-    ]
-    return spark.createDataFrame(data, sc.TURN)
 
-
-def flags_of(spark, pairs, hidden=()):
-    rows = [(a, a in hidden, b) for a, b in pairs] + [(h, True, None) for h in hidden if h not in dict(pairs)]
+def replaced(spark, *pairs, hidden=()):
+    rows = [(old, False, new) for old, new in pairs] + [(i, True, None) for i in hidden]
     return spark.createDataFrame(rows, "id long, hidden boolean, superseded_by long")
 
 
-def ask(memory, spark, *questions, **options):
-    qs = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(questions)], "query_id string, query string")
-    for name, value in options.items():
-        qs = qs.withColumn(name, F.lit(value))
-    return recall(memory, qs, context=bool(options.get("context")))
-
-
-def answers(result):
-    out = {}
+def asked(spark, memory, questions, **options):
+    rows = spark.createDataFrame(list(questions.items()), "query_id string, query string")
+    result = rc.recall(memory, rows.withColumns({k: F.lit(v) for k, v in options.items()}), context="context" in options)
+    ranked = {q: [] for q in questions}
     for r in result.evidence.orderBy("query_id", "rank").collect():
-        out.setdefault(r.query_id, []).append(r)
-    return out
+        ranked[r.query_id].append(r)
+    return result, ranked
 
 
-OWNERS = [
-    ("jan", "ines", at("2025-01-10"), "Ines Varga owns the importer on Atlas."),
-    ("jan", "jan-chat", at("2025-01-10"), "The Atlas standup moves to Tuesdays."),
-    ("mar", "tomas", at("2025-03-05"), "Tomas Reed owns the importer on Atlas."),
-    ("mar", "mar-chat", at("2025-03-05"), "Atlas needs a new staging database."),
-    ("jun", "maya", at("2025-06-02"), "Maya Okafor owns the importer on Atlas."),
-    ("jun", "jun-chat", at("2025-06-20"), "The Atlas retro is on Friday."),
+PILOTS = [
+    ("p-odd", 10, "Oddvar Lien steers the harbour pilot boat at Skagen."),
+    ("p-mud", 12, "The harbour at Skagen dredges mud on Mondays."),
+    ("p-eve", 90, "Evelien Smit steers the harbour pilot boat at Skagen."),
+    ("p-net", 91, "Skagen wants new nets for the harbour."),
+    ("p-tor", 200, "Torben Juhl steers the harbour pilot boat at Skagen."),
 ]
+WHO = "the harbour pilot boat at Skagen"
 
 
 @pytest.fixture(scope="module")
-def curated(spark):
-    memory = Memory.build(turns(spark, OWNERS), flags=flags_of(spark, [(1, 3), (3, 5)]))
+def pilots(spark):
+    memory = harbour(spark, PILOTS, flags=replaced(spark, (1, 3), (3, 5)))
     yield memory
     memory.close()
 
 
-def test_present_before_and_period(spark, curated):
-    result = ask(
-        curated, spark,
-        "Who owns the importer on Atlas?", "Who owned the importer on Atlas before?",
-        "Who owned the importer on Atlas in April 2025?", "Who owned the importer on Atlas in February 2025?",
-        "Who owned the importer on Atlas as of 2025-06-10?", "Who currently owns the importer on Atlas?",
-    )
-    got = answers(result)
-    names = {q: [e.uuid for e in rows] for q, rows in got.items()}
-    assert names["q0"][0] == "maya" and "tomas" not in names["q0"]
-    assert all(e.valid_until is None for e in got["q0"])
-    assert names["q1"][:3] == ["tomas", "ines", "maya"]
-    first, second, third = got["q1"][:3]
-    assert (first.superseded_by, first.valid_until) == (5, at("2025-06-02"))
-    assert (second.valid_until, third.valid_until) == (at("2025-03-05"), None)
-    assert names["q2"][0] == "tomas" and got["q2"][0].valid_until == at("2025-06-02")
-    assert names["q3"][0] == "ines" and names["q4"][0] == "maya"
-    assert names["q5"][0] == "maya" and not {"tomas", "ines"} & set(names["q5"])
+def test_now_and_then(spark, pilots):
+    result, got = asked(spark, pilots, {
+        "now": f"Who steers {WHO}?", "was": f"Who steered {WHO} before?", "may": f"Who steered {WHO} in May 2031?", "feb": f"Who steered {WHO} in February 2031?",
+    })
+    first = {q: rows[0].uuid for q, rows in got.items()}
+    assert first == {"now": "p-tor", "was": "p-eve", "may": "p-eve", "feb": "p-odd"}
+    assert not {"p-odd", "p-eve"} & {r.uuid for r in got["now"]}
+    eve = got["was"][0]
+    assert eve.superseded_by == 5 and eve.valid_until == YEAR + 200 * DAY
     profile = {r.query_id: r for r in result.profile.collect()}
-    assert profile["q1"].history and not profile["q0"].history
-    assert profile["q2"].period == (at("2025-04-01", 0), at("2025-05-01", 0))
-
-
-def test_uncurated_store_falls_back_on_time(spark):
-    memory = Memory.build(turns(spark, OWNERS))
-    result = ask(
-        memory, spark, "Who owned the importer on Atlas in April 2025?", "Who owned the importer on Atlas in February 2025?",
-        "Who owned the importer on Atlas before?", "Who owns the importer on Atlas as of today?",
-        "Who owned the importer on Atlas as of March 2025?", "Who changed the importer on Atlas before the latest change?",
-    )
-    got = {q: [e.uuid for e in rows] for q, rows in answers(result).items()}
-    assert got["q0"][0] == "tomas" and got["q1"][0] == "ines"
-    assert {"ines", "tomas", "maya"} <= set(got["q2"])
-    recent = {r.query_id for r in result.plan.where("view = 'recent'").collect()}
-    assert recent == {"q3"}
-    memory.close()
+    assert profile["was"].history and not profile["now"].history and profile["may"].period[1] - profile["may"].period[0] == 31 * DAY
 
 
-LANTERN = [
-    ("s", "l1", 1_000, "Rafael Ortiz owns the search index on Project Lantern."),
-    ("s", "l2", 2_000, "The search index on Lantern is rebuilt every night."),
-    ("s", "l3", 3_000, "Lantern's search index moved to the new cluster."),
-    ("s", "t1", 4_000, "Tidewater standup moved to ten."),
-    ("s", "h1", 5_000, "Maya Okafor owns the billing service on Heron."),
-]
+def test_without_curation_time_alone_decides(spark):
+    memory = harbour(spark, PILOTS)
+    _, got = asked(spark, memory, {"may": f"Who steered {WHO} in May 2031?", "feb": f"Who steered {WHO} in February 2031?"})
+    assert (got["may"][0].uuid, got["feb"][0].uuid) == ("p-eve", "p-odd")
+    memory.close()
 
 
-def test_abstains_with_the_closest_turns(spark):
-    memory = Memory.build(turns(spark, LANTERN))
-    result = ask(
-        memory, spark, "Who owns the search index on Lantern?", "Who owns the search index on Quill?",
-        "What is rebuilt every night on Tidewater?", "who owns the search index?", "zebra crossing paint",
-        "What moved to the new cluster in March?", context=2,
-    )
-    got = answers(result)
-    verdict = {r.query_id: r for r in result.abstained.collect()}
-    assert set(verdict) == {"q1"}
-    assert verdict["q1"].missing == ["quill"] and verdict["q1"].best == got["q1"][0].score
-    assert len(got["q1"]) == 2 and all(e.role == "supporting" for e in got["q1"])
-    assert len(got["q0"]) > 2 and got["q1"][0].score < got["q0"][0].score
-    assert got["q2"][0].uuid == "t1"
-    anchors = {(r.query_id, r.uuid): r.anchor for r in result.fused.collect()}
-    assert (anchors["q2", "t1"], anchors["q2", "l2"]) == (1.0, 0.0)
-    reasons = [r.reason for r in result.dropped.where("query_id = 'q1'").collect()]
-    assert any("abstained" in r for r in reasons)
-    shown = result.context.where("query_id = 'q1'").collect()
-    assert not {r.id for r in shown} & {e.id for e in got["q1"]}
-    text = {r.query_id: r.rendered for r in render(result.evidence, result.context, verdicts=result.abstained).collect()}
-    assert text["q1"].startswith('[abstained] Memory does not hold the answer: no turn in memory mentions "quill".')
-    assert "[primary] 1970-01-01 user (session s, turn 1): Rafael" in text["q0"]
+def test_a_name_nobody_said_is_declined(spark):
+    memory = harbour(spark, [*PILOTS, ("p-kat", 300, "Katla ferries leave for Anholt at six.")])
+    result, got = asked(spark, memory, {"known": f"Who steers {WHO}?", "gone": "Who steers the harbour pilot boat at Grenaa?"}, context=1)
+    verdicts = {r.query_id: r for r in result.abstained.collect()}
+    assert set(verdicts) == {"gone"} and verdicts["gone"].missing == ["grenaa"]
+    assert got["gone"] and {r.role for r in got["gone"]} == {"supporting"}
+    shown = {r.query_id: r.rendered for r in rc.render(result.evidence, result.context, verdicts=result.abstained).collect()}
+    assert shown["gone"].startswith("[abstained]") and "grenaa" in shown["gone"].split("\n")[0]
+    assert "#5 mate, 2031-07-20, session log, primary > Torben Juhl" in shown["known"]
     memory.close()
 
 
-def test_replacement_stands_for_what_it_replaced(spark):
-    rows = [
-        ("s", "old", 1_000, "Feature flags on Heron are served by LaunchDarkly."),
-        ("s", "new", 2_000, "We moved the feature flags to Flagsmith last week."),
-        ("s", "x1", 3_000, "Heron standup moved to ten."),
-    ]
-    memory = Memory.build(turns(spark, rows), flags=flags_of(spark, [(1, 2)]))
-    result = ask(memory, spark, "What serves the feature flags on Heron?")
-    assert answers(result)["q0"][0].uuid == "new" and result.abstained.isEmpty()
+def test_scope_bounds_what_is_nominated(spark):
+    noise = [(f"n-{i}", i, f"Skagen harbour pilot boat note {i}.", "far", "out") for i in range(150)]
+    memory = harbour(spark, [("near", 5, "The harbour pilot boat at Skagen needs Ruth.", "own", "in"), *noise])
+    _, got = asked(spark, memory, {"q": f"Who needs {WHO}?"}, scope="in")
+    assert [r.uuid for r in got["q"]] == ["near"]
+    _, got = asked(spark, memory, {"q": f"Who needs {WHO}?"}, until=YEAR + 2 * DAY, exclude_session="own")
+    assert got["q"] and {r.uuid for r in got["q"]} <= {"n-0", "n-1", "n-2"}
     memory.close()
 
 
-def test_scope_reaches_inside_the_views(spark):
-    crowd = [("c", f"c{i}", 1_000 + i, f"Heron rollout note number {i} about the queue.", "big") for i in range(200)]
-    rows = [("d", "lone", 10, "The Heron rollout queue is owned by Maya.", "small"), *crowd]
-    memory = Memory.build(turns(spark, rows))
-    got = answers(ask(memory, spark, "Who owns the Heron rollout queue?", scope="small"))
-    assert [e.uuid for e in got["q0"]] == ["lone"]
-    got = answers(ask(memory, spark, "Who currently owns the Heron rollout queue?", until=1_003, exclude_session="d"))
-    assert {e.uuid for e in got["q0"]} <= {"c0", "c1", "c2", "c3"} and got["q0"]
+def test_notes_stand_for_their_sources_and_hidden_turns_stay_away(spark):
+    notes = spark.createDataFrame([(6, 3), (6, 5)], "note_id long, turn_id long")
+    memory = harbour(spark, [*PILOTS, ("p-sum", 310, "Harbour pilot boat at Skagen: Evelien Smit, then Torben Juhl.")], flags=replaced(spark, hidden=[1]), note_sources=notes)
+    _, got = asked(spark, memory, {"q": f"Who steers {WHO}?"})
+    uuids = {r.uuid: r for r in got["q"]}
+    assert "p-odd" not in uuids and sorted(uuids["p-sum"].covers) == [3, 5] and not {"p-eve", "p-tor"} & set(uuids)
+    _, got = asked(spark, memory, {"q": f"Who steers {WHO}?"}, include_hidden=True)
+    assert any(r.uuid == "p-odd" and r.hidden for r in got["q"])
     memory.close()
 
 
-def test_hidden_turns_and_notes(spark):
-    rows = [*LANTERN, ("s", "n1", 6_000, "Lantern search index: Rafael Ortiz owns it, rebuilt nightly.")]
-    notes = spark.createDataFrame([(6, 1), (6, 2)], "note_id long, turn_id long")
-    memory = Memory.build(turns(spark, rows), flags=flags_of(spark, [], hidden=[3]), note_sources=notes)
-    result = ask(memory, spark, "Who owns the search index on Lantern?")
-    got = answers(result)["q0"]
-    assert "l3" not in [e.uuid for e in got]
-    kept = {e.uuid: e for e in got}
-    assert "n1" in kept and kept["n1"].covers == [1, 2] and not {"l1", "l2"} & set(kept)
-    assert any(r.reason == "covered by note 6" for r in result.dropped.collect())
-    seen = answers(ask(memory, spark, "Who owns the search index on Lantern?", include_hidden=True))["q0"]
-    assert any(e.uuid == "l3" and e.hidden for e in seen)
-    memory.close()
+def test_names_of_and_missing_names(spark):
+    row = spark.range(1).select(
+        rc.names_of(F.array(*map(F.lit, ["skagen", "harbour skagen", "may", "12%", "2031-05", "ruth lien", "a_b"])), F.array(F.lit("12%"))).alias("names"),
+        rc.missing_names(
+            F.array(*map(F.lit, ["ruth lien", "skagen", "oddvar 77", "tide_gauge", "port varna"])), F.lit(" then lien saw 77 at varna "), F.lit("then lien saw 77 at varna; tide_gauge")
+        ).alias("missing"),
+    ).first()
+    assert row.names == ["harbour skagen", "ruth lien", "a_b"]
+    assert row.missing == ["skagen", "oddvar 77"]
