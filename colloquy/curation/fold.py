@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from colloquy import runtime
 
-#: Rounds of pointer jumping; chains of up to 2^30 links are followed.
-JUMPS = 30
 #: Links followed between two lineage cuts.
 HOPS_PER_JOB = 4
 
@@ -81,10 +79,13 @@ def links(turn_flags: DataFrame) -> DataFrame:
 
 
 def chain_ends(turn_flags: DataFrame, ids: DataFrame | None = None, bound: int | None = None) -> DataFrame:
-    """`id, latest`: the end of every replaced turn's chain, by pointer jumping. Turns on a cycle have no end."""
+    """`id, latest`: the end of every replaced turn's chain, by pointer jumping. Turns on a cycle have no end.
+
+    Each round doubles the stride, and no chain is longer than there are links: what still moves then goes round.
+    """
     step = links(turn_flags)
     ends = step.select("id", F.col("by").alias("latest"))
-    for _ in range(JUMPS):
+    for _ in range(step.count().bit_length() + 1):
         hop = ends.select(F.col("id").alias("_at"), F.col("latest").alias("_next"))
         moved = runtime.checkpoint(
             ends.join(hop, F.col("latest") == F.col("_at"), "left")

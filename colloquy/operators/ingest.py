@@ -79,10 +79,10 @@ def ingest(
     if base is None:
         top = stored.agg(F.max("id")).first()[0] if stored is not None else None
         base = (top or 0) + 1
-    turns = (
-        Ordered.of(fresh, [], [seq]).rank("_n").done()
-        .select((F.col("_n") + F.lit(base - 1)).alias("id"), "uuid", "session_id", "speaker", "text", "ts",
-                "created_at", "kind", "scope")
+    # the order is taken over identities alone: texts stay where their identity has put them
+    numbers = Ordered.of(fresh.select("uuid", F.col(seq).alias("_seq")), [], ["_seq"]).rank("_n").done().select("uuid", "_n")
+    turns = fresh.join(numbers, "uuid").select(
+        (F.col("_n") + F.lit(base - 1)).alias("id"), "uuid", "session_id", "speaker", "text", "ts", "created_at", "kind", "scope"
     )
     landed = F.when(F.col("known").isNull(), 1).otherwise(0)
     counts = firsts.agg(

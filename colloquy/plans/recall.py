@@ -472,7 +472,9 @@ def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame, batch: Batch)
     ask_cols = runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries)
     wanted = heirs.withColumnRenamed("heir", "id").withColumn("view", F.lit("heir")).join(ask_cols, "query_id")
     seen = _read_pages(memory, wanted, n).drop("view", "covered").where(_visible() & (F.col("kind") != "brief"))
-    gone = runtime.small_side(ends.select("id", F.lit(True).alias("_gone")), bound=n)
+    # every replaced turn counts half, those on a cycle too, which hand nothing over
+    replaced = fold.links(memory.flags).join(fused.select("id").distinct(), "id", "left_semi")
+    gone = runtime.small_side(replaced.select("id").distinct().withColumn("_gone", F.lit(True)), bound=n)
     halved = fused.join(gone, "id", "left").withColumn(
         "score",
         F.when(F.col("_gone") & ~F.col("q_past"), F.round(F.col("score") * sc.SUPERSEDED_FACTOR, 6)).otherwise(F.col("score")),

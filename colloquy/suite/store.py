@@ -330,8 +330,8 @@ def _grams(n: int) -> str:
     return f"list_transform({useful}, lambda s: {sql.name_key('array_to_string(s, chr(32))')})"
 
 
-@query("ngram_keys", f"""WITH q AS (SELECT 'b'||item_id AS query_id, array_to_string(list_slice(string_split(trim(regexp_replace(text,
- '\\s+', ' ', 'g')), ' '), 1, 12), ' ') AS query FROM benchmark), k AS (SELECT DISTINCT query_id, key FROM (SELECT query_id,
+@query("ngram_keys", f"""WITH q AS (SELECT 'b'||item_id AS query_id, trim(regexp_replace(text,
+ '\\s+', ' ', 'g')) AS query FROM benchmark), k AS (SELECT DISTINCT query_id, key FROM (SELECT query_id,
  UNNEST(list_concat({_grams(4)}, list_concat({_grams(3)}, list_concat({_grams(2)}, {_grams(1)})))) AS key FROM q) WHERE length(key) >= 2)
  SELECT * FROM k""")
 def _(spark, sf):

@@ -114,3 +114,17 @@ def test_names_of_and_missing_names(spark):
     ).first()
     assert row.names == ["harbour skagen", "ruth lien", "a_b"]
     assert row.missing == ["skagen", "oddvar 77"]
+
+
+def test_turns_on_a_cycle_count_half_and_hand_nothing_over(spark):
+    free = harbour(spark, PILOTS)
+    _, before = asked(spark, free, {"q": f"Who steers {WHO}?"})
+    free.close()
+    bound = harbour(spark, PILOTS, flags=replaced(spark, (1, 3), (3, 1)))
+    _, after = asked(spark, bound, {"q": f"Who steers {WHO}?"})
+    bound.close()
+    half = {r.uuid: r.score for r in after["q"]}
+    assert after["q"][0].uuid == "p-tor"
+    for r in before["q"]:
+        if r.uuid in ("p-odd", "p-eve") and r.uuid in half:
+            assert half[r.uuid] < r.score
