@@ -13,7 +13,6 @@ other than key, text and language are not read.
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.tables import slices, texts_of
+from colloquy.llm.tables import held, slices, texts_of
 
 #: Characters of whole labelled texts learnt per language; texts of over a quarter of it come last.
 SAMPLE_CHARS = 32_000
@@ -170,7 +169,6 @@ class Parser:
         return names, np.where(known, score, 0.0), np.where(known, first, 1.0)
 
 
-@functools.lru_cache(maxsize=2)
 def _parser(texts: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
     return Parser({language: list(x) for language, x in texts})
 
@@ -184,7 +182,7 @@ def identify(docs: DataFrame, learnt: dict[str, list[str]], key: str = "doc_id",
     frozen = tuple((k, tuple(v)) for k, v in sorted(learnt.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(frozen)
+        parser = held(_parser, frozen)
         for batch in slices(batches, text):
             lang, score, rate = parser.predict(texts_of(batch, text))
             own = [batch.column(columns.index(c)) for c in out]

@@ -11,7 +11,6 @@ columns other than the key and the text are not read. An empty table gives an em
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
@@ -23,10 +22,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from colloquy.llm.tables import slices, texts_of
+from colloquy.llm.tables import Remembered, held, slices, texts_of
 
 SPACE = "▁"
-#: Words remembered in a Python worker before it starts afresh.
+#: Words, and runs of joinable symbols, remembered in a Python worker.
 REMEMBERED = 600_000
 
 
@@ -48,8 +47,8 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
             raise ValueError("a piece holds a space mark after other characters: words cannot be encoded one by one")
         self.joins = {pair for p in self.scores for pair in zip(p, p[1:])}
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = Remembered(REMEMBERED)
+        self.runs: dict[str, bytes] = Remembered(REMEMBERED)
         self.differing = 0
 
     def agenda(self, symbols: list[str]) -> list[str]:
@@ -96,19 +95,15 @@ class PieceModel:
         for end in [*ends, len(chars)]:
             run = chars[start:end]
             if (ids := runs.get(run)) is None:
-                runs[run] = ids = self.encode_run(run)
+                runs[run] = ids = runs.older.get(run) or self.encode_run(run)
             out.append(ids)
             start = end
         return b"".join(out)
 
     def learn(self, words: set[str]) -> None:
         """Encode words not seen before, in one batch with the library's answer beside ours."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(words)
-        if len(self.runs) > REMEMBERED:
-            self.runs.clear()
+        new = self.words.missing(words)
+        self.runs.missing(set())
         plain = [w for w in new if w and not w.startswith(SPACE)]
         for word in new:
             self.words[word] = self.encode_word(word)
@@ -136,9 +131,8 @@ class PieceModel:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-@functools.lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
-    return PieceModel(path)
+    return held(PieceModel, path)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.runtime import work_folder
 
+T = TypeVar("T")
 #: Text handled at once in a Python worker. A longer text is handled alone, whole.
 SLICE_BYTES = 4 << 20
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(make: Callable[..., T], *key: object) -> T:
+    """`make(*key)`, kept in a Python worker from task to task until the worker is asked for anything else: one at a time."""
+    if (make, key) not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[make, key] = make(*key)
+    return _HELD[make, key]
+
+
+class Remembered(dict):
+    """A dictionary that forgets what two generations of use have not asked for; at most about `limit` entries."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that are not known; known ones are kept for now."""
+        if len(self) > self.limit // 2:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        found = new.intersection(self.older)
+        self.update((k, self.older[k]) for k in found)
+        return new - found
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -7,7 +7,6 @@ apart gives the ids of the whole text. Texts with other runs of white space are
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -15,8 +14,10 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Words, and cores of words, remembered in a Python worker before it starts afresh.
-REMEMBERED, CORES = 500_000, 1_200_000
+from colloquy.llm.tables import Remembered, held
+
+#: Words, and cores of words, remembered in a Python worker.
+REMEMBERED, CORES = 500_000, 700_000
 #: A word of letters with marks behind it, in scripts whose case folding is one letter to one letter.
 CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|)*$%&#]*)")
 
@@ -29,8 +30,8 @@ class WordEncoder:
         rules = json.dumps(json.load(open(path))["pre_tokenizer"])
         self.drops_space = '"Removed"' in rules and '"invert": true' in rules
         self.keeps_space = json.loads(rules).get("type") == "ByteLevel" and json.loads(rules).get("use_regex", True) and not json.loads(rules).get("add_prefix_space", True)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = Remembered(REMEMBERED)
+        self.cores: dict[str, bytes] = Remembered(CORES)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -39,12 +40,7 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode new words; a word with marks behind it is put together from the two."""
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = words
-        if len(self.cores) > CORES:
-            self.cores.clear()
+        new = self.words.missing(words)
         lead = "" if self.drops_space else " "
         whole, parts = [], []
         for word in new:
@@ -56,7 +52,7 @@ class WordEncoder:
             else:
                 whole.append(word)
         self.words.update(zip(whole, self.ids([lead + w for w in whole]), strict=True))
-        cores = list({c for _, a, b in parts for c in (a, b) if c not in self.cores})
+        cores = list(self.cores.missing({c for _, a, b in parts for c in (a, b)}))
         self.cores.update(zip(cores, self.ids(cores), strict=True))
         cores = self.cores
         self.words.update((w, cores[a] + cores[b]) for w, a, b in parts)
@@ -84,6 +80,5 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(WordEncoder, path)
