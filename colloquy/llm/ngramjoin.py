@@ -215,7 +215,8 @@ class PrefixTree:
     def similar(self, own: np.ndarray, size: int) -> np.ndarray:
         """Row numbers of the sets that are similar enough to an ordered set."""
         has = np.zeros(len(self.tokens), bool)
-        has[np.searchsorted(self.tokens, own[np.isin(own, self.tokens, assume_unique=True)])] = True
+        at = np.minimum(np.searchsorted(self.tokens, own), max(len(self.tokens) - 1, 0))
+        has[at[self.tokens[at] == own] if len(self.tokens) else at[:0]] = True
         overlap = np.full(len(self.parent), -1, np.int64)
         for level, edges in enumerate(self.levels):
             if level:
