@@ -166,9 +166,9 @@ def import_qa(items: DataFrame) -> Corpus:
     return Corpus(turns, queries, probes, report)
 
 
-def read_qa(spark: SparkSession, path: str) -> Corpus:
-    """A JSON array of questions (or one question per line)."""
-    items = spark.read.schema(QA_ITEM).option("multiLine", True).json(path).withColumn("_row", F.monotonically_increasing_id())
+def read_qa(spark: SparkSession, path: str, per_line: bool = False) -> Corpus:
+    """A JSON array of questions, which one task reads; `per_line` takes one question a line instead, split at will."""
+    items = spark.read.schema(QA_ITEM).option("multiLine", not per_line).json(path).withColumn("_row", F.monotonically_increasing_id())
     return import_qa(Ordered.of(items, [], ["_row"]).rank("_n").done().withColumn("n", F.col("_n") - 1).drop("_n", "_row"))
 
 
