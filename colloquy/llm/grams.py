@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.tables import text_offsets
+from colloquy.llm.tables import settle, text_offsets
 
 #: Text of a chunk, about.
 CHUNK_BYTES = 3 << 20
@@ -91,6 +91,7 @@ def chunked(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
 
 def whole(table: pa.Table) -> pa.RecordBatch:
     """A group's rows in one batch, in an order that does not depend on how they arrived."""
+    settle()
     by = [(c, "ascending") for c in ("_key", "_text")]
     return (table.sort_by(by) if table.num_rows > 1 else table).combine_chunks().to_batches(max_chunksize=None)[0]
 

@@ -27,6 +27,8 @@ from colloquy.llm.tables import slices, stored, texts_of
 from colloquy.llm.vocab import encoder
 
 CAPACITY = 2048
+#: Words and cores of words that a Python worker remembers; packing runs behind other stages.
+REMEMBERED = (300_000, 400_000)
 #: Rounds of multiplicative weights.
 ROUNDS = 400
 
@@ -133,8 +135,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: str
     tail = ", ids array<int>" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = encoder(vocabulary), np.asarray([end], "<u4").tobytes()
-        for batch in slices(batches, text):
+        encode, closing = encoder(vocabulary, *REMEMBERED), np.asarray([end], "<u4").tobytes()
+        for batch in slices(batches, text, 4 << 20):
             rows, number, starts, lengths, sums, ids = [], [], [], [], [], []
             for i, packed in enumerate(encode.encode(texts_of(batch, text))):
                 packed += closing

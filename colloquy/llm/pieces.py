@@ -143,7 +143,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 4 << 20):
             packed = pieces.encode(texts_of(batch, text))
             ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
             decoded = pieces.library.decode(ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -14,7 +15,17 @@ from colloquy.runtime import work_folder
 
 T = TypeVar("T")
 #: Text handled at once in a Python worker. A longer text is handled alone, whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def settle() -> None:
+    """Give memory that is free in this Python worker back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 _HELD: dict[tuple, object] = {}
@@ -25,6 +36,7 @@ def held(make: Callable[..., T], *key: object) -> T:
     if (make, key) not in _HELD:
         _HELD.clear()
         gc.collect()
+        settle()
         _HELD[make, key] = make(*key)
     return _HELD[make, key]
 
@@ -79,6 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             end = max(row + 1, int(np.searchsorted(starts, starts[row] + size, "right")) - 1)
             yield batch.slice(row, end - row)
             row = end
+    settle()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -23,15 +23,15 @@ CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|)*$%&#]*)")
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = REMEMBERED, cores: int = CORES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         rules = json.dumps(json.load(open(path))["pre_tokenizer"])
         self.drops_space = '"Removed"' in rules and '"invert": true' in rules
         self.keeps_space = json.loads(rules).get("type") == "ByteLevel" and json.loads(rules).get("use_regex", True) and not json.loads(rules).get("add_prefix_space", True)
-        self.words: dict[str, bytes] = Remembered(REMEMBERED)
-        self.cores: dict[str, bytes] = Remembered(CORES)
+        self.words: dict[str, bytes] = Remembered(words)
+        self.cores: dict[str, bytes] = Remembered(cores)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -80,5 +80,5 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
-    return held(WordEncoder, path)
+def encoder(path: str, words: int = REMEMBERED, cores: int = CORES) -> WordEncoder:
+    return held(WordEncoder, path, words, cores)

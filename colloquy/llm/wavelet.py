@@ -147,7 +147,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
             }
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 4 << 20):
             for k, packed in zip(batch.column(0).to_pylist(), encode.encode(texts_of(batch, text)), strict=True):
                 keys.append(k or 0)
                 nulls.append(k is None)
