@@ -27,8 +27,8 @@ from colloquy.llm.tables import slices, stored, texts_of
 from colloquy.llm.vocab import encoder
 
 CAPACITY = 2048
-#: Words and cores of words that a Python worker remembers; packing runs behind other stages.
-REMEMBERED = (300_000, 400_000)
+#: Words and cores of words that a Python worker remembers, and how many behind other stages.
+REMEMBERED, BEHIND_OTHERS = (1_000_000, 700_000), (300_000, 400_000)
 #: Rounds of multiplicative weights.
 ROUNDS = 400
 
@@ -128,14 +128,14 @@ def assignments(plan: Counter) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end: int = 0, keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end: int = 0, keep_ids: bool = True, remember: tuple[int, int] = REMEMBERED) -> DataFrame:
     """Each document's ids and an end id, cut only where longer than `capacity`."""
     kept = docs.select(key, text)
     kind = kept.schema[key].dataType.simpleString()
     tail = ", ids array<int>" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = encoder(vocabulary, *REMEMBERED), np.asarray([end], "<u4").tobytes()
+        encode, closing = encoder(vocabulary, *remember), np.asarray([end], "<u4").tobytes()
         for batch in slices(batches, text, 4 << 20):
             rows, number, starts, lengths, sums, ids = [], [], [], [], [], []
             for i, packed in enumerate(encode.encode(texts_of(batch, text))):

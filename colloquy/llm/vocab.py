@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from colloquy.llm.tables import Remembered, held
 
 #: Words, and cores of words, remembered in a Python worker.
-REMEMBERED, CORES = 500_000, 700_000
+REMEMBERED, CORES = 1_200_000, 900_000
 #: A word of letters with marks behind it, in scripts whose case folding is one letter to one letter.
 CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|)*$%&#]*)")
 
