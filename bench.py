@@ -25,13 +25,11 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
 def questions(spark, sf, n: int):
-    """The benchmark passages, then the openings of documents, as questions."""
+    """The benchmark passages, then turns of conversations spread by hash, all asked whole."""
     own = adapters.benchmark_queries(spark, sf)
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    docs = adapters.table(spark, sf, "documents").orderBy("doc_id").limit(n).select(
-        F.concat(F.lit("d"), "doc_id").alias("query_id"), F.array_join(F.slice(words, 3, 12), " ").alias("query")
-    )
-    return own.unionByName(docs).limit(n)
+    said = adapters.conversation_turns(spark, sf).where(F.length("text") > 0)
+    turns = said.orderBy(F.xxhash64("uuid")).limit(n).select(F.concat(F.lit("t"), "uuid").alias("query_id"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("query"))
+    return own.unionByName(turns).limit(n)
 
 
 def done(df) -> int:
