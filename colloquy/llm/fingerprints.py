@@ -1,10 +1,12 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
 A text's terms are its pairs of neighbouring words (the last word alone), weighted by how often they occur. For each of
-`SAMPLES` numbers k a term draws r and c from the gamma distribution of shape 2 and b from [0, 1), all from hashes of
+`SAMPLES` numbers k a term draws r and c from the gamma distribution of shape 2 and b from [0, 1), all from two hashes of
 term and k; with t = floor(ln w / r + b) the term of least c exp(-r (t - b + 1)) is the sample. Two texts share a sample with the
 probability of their generalised Jaccard similarity, sum of least weights over sum of greatest. The least value is itself
-a function of term and t, so its hash stands for the sample.
+a function of term and t, so its hash stands for the sample. `samples` and `edited_samples` hold all of them, `like_edited` and
+`like_next` the share that agrees, with a standard error of sqrt(J (1 - J) / SAMPLES): 0.05 at J = 0.8. `fingerprint`,
+`edited_fingerprint`, `near_edited` and `near_next` are the same of the first `SHORT` alone, with twice that error.
 
 `edited` replaces the last half of a text by the start of the next document in descending order of keys (after the last: the
 first). Rows with equal keys stay apart; where the next key has several, its least text counts. A null key comes last.
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.tables import stored
 
-SAMPLES = 16
-#: Bits of one half of a hash, and the step of a number drawn from it.
-HALF = 0xFFFFFFFF
+#: Samples of a document, and those of its short fingerprint.
+SAMPLES, SHORT = 64, 16
+#: Bits of one half and of one third of a hash.
+HALF, THIRD = 0xFFFFFFFF, 0x1FFFFF
 #: Samples drawn by one row.
 LANE = 4
 LOWEST = -(1 << 63)
@@ -60,17 +63,16 @@ def terms(text: str) -> Column:
 
 
 def _draws(k: int) -> dict[str, Column]:
-    """r, ln c and b of a term for the k-th sample of its lane, from hashes cut into halves."""
-    hashed = lambda n: F.xxhash64("_t", F.col("_lane") * (3 * LANE) + (3 * k + n))
-    low = lambda h: (h.bitwiseAND(F.lit(HALF)).cast("double") + 0.5) * 2.0**-32
-    high = lambda h: (F.shiftrightunsigned(h, 32).cast("double") + 0.5) * 2.0**-32
-    one, two, three = f"_h{3 * k}", f"_h{3 * k + 1}", f"_h{3 * k + 2}"
+    """r, ln c and b of a term for the k-th sample of its lane, from two hashes cut into thirds and halves."""
+    hashed = lambda n: F.xxhash64("_t", F.col("_lane") * (2 * LANE) + (2 * k + n))
+    part = lambda h, shift, bits, mask: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask)).cast("double") + 0.5) * 2.0**-bits
+    one, two = f"_h{2 * k}", f"_h{2 * k + 1}"
     return {
-        "hashes": {one: hashed(0), two: hashed(1), three: hashed(2)},
+        "hashes": {one: hashed(0), two: hashed(1)},
         "draws": {
-            f"_r{k}": -F.log(low(F.col(one)) * high(F.col(one))),
-            f"_c{k}": F.log(-F.log(low(F.col(two)) * high(F.col(two)))),
-            f"_b{k}": low(F.col(three)),
+            f"_r{k}": -F.log(part(one, 0, 21, THIRD) * part(one, 21, 21, THIRD)),
+            f"_c{k}": F.log(-F.log(part(two, 0, 32, HALF) * part(two, 32, 32, HALF))),
+            f"_b{k}": part(one, 42, 21, THIRD),
         },
     }
 
@@ -100,17 +102,15 @@ def sampled(weights: DataFrame, keys: list[str], columns: dict[str, str], sample
     return rows.groupBy(*keys).agg(*(F.substring(F.concat(*(lane(name, i) for i in range(lanes))), 1, 8 * samples).alias(name) for name in columns))
 
 
-def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
-    """Share of samples that two fingerprints have in common."""
-    same = [(F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8)).cast("int") for k in range(samples)]
-    total = same[0]
-    for s in same[1:]:
-        total = total + s
-    return total / F.lit(float(samples))
+def likeness(a: str, b: str, samples: int = SAMPLES, width: int = 8) -> Column:
+    """Share of the first `samples` samples, `width` characters or bytes each, that two fingerprints have in common."""
+    same = f"substring({a}, {width} * k + 1, {width}) = substring({b}, {width} * k + 1, {width})"
+    return F.expr(f"aggregate(sequence(0, {samples - 1}), 0, (n, k) -> n + if({same}, 1, 0))") / F.lit(float(samples))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """Per document n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
+    """Per document n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of the first `SHORT` samples;
+    samples, edited_samples, like_edited and like_next of all."""
     least = Window.partitionBy("_k").orderBy("text")
     joined = with_next(docs, key, text).withColumn("_row", F.row_number().over(least)).withColumn("_edited", edited())
     # both uses of `joined` read the same columns of its two exchanges, which then run once
@@ -121,12 +121,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     ids = ["_k", "_row", "next_k"]
     counts = rows.groupBy(*ids, F.col("_p.t").alias("_t")).agg(F.sum("_p.a").alias("_a"), F.sum("_p.b").alias("_b"))
     weights = counts.select(*ids, "_t", *(F.when(F.col(c) > 0, F.log(F.col(c).cast("double"))).alias(c) for c in ("_a", "_b")))
-    found = sampled(weights, ids, {"fingerprint": "_a", "edited_fingerprint": "_b"}, samples)
+    found = sampled(weights, ids, {"_own": "_a", "_theirs": "_b"}, samples)
     none = F.lit("0" * 8 * samples)
-    own = joined.select(*ids, "n_chars", F.sha2("_edited", 256).alias("edited_sha256")).join(found, ids, "left")
-    own = own.withColumns({c: F.coalesce(c, none) for c in ("fingerprint", "edited_fingerprint")})
-    own = stored(own.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint", samples)), "fingerprints")
-    following = own.where("_row = 1").select(F.col("_k").alias("next_k"), F.col("fingerprint").alias("_theirs"))
-    out = own.join(following, "next_k").withColumn("near_next", likeness("fingerprint", "_theirs", samples))
+    # bytes on the way, digits in the result
+    own = joined.select(*ids, "n_chars", F.unhex(F.sha2("_edited", 256)).alias("_sha")).join(found, ids, "left")
+    own = own.withColumns({c: F.unhex(F.coalesce(c, none)) for c in ("_own", "_theirs")})
+    short = min(SHORT, samples)
+    counted = {"near_edited": likeness("_own", "_theirs", short, 4), "like_edited": likeness("_own", "_theirs", samples, 4)}
+    own = stored(own.withColumns(counted), "fingerprints")
+    following = own.where("_row = 1").select(F.col("_k").alias("next_k"), F.col("_own").alias("_following"))
+    out = own.join(following, "next_k").withColumns({"near_next": likeness("_own", "_following", short, 4), "like_next": likeness("_own", "_following", samples, 4)})
     shown = F.when(F.col("_k") != LOWEST, F.col("_k")).alias(key)
-    return out.select(shown, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    digits = lambda c: F.lower(F.hex(c))
+    cut = lambda c: digits(F.substring(c, 1, 4 * short))
+    prints = [cut("_own").alias("fingerprint"), cut("_theirs").alias("edited_fingerprint"), "near_edited", "near_next"]
+    return out.select(shown, "n_chars", digits("_sha").alias("edited_sha256"), *prints, digits("_own").alias("samples"), digits("_theirs").alias("edited_samples"), "like_edited", "like_next")
