@@ -32,6 +32,8 @@ BLOCK, LETTERS = 1024, 61
 SPACE, OTHER, END = LETTERS, LETTERS + 1, LETTERS + 2
 WIDTH = LETTERS + 3
 UNKNOWN = "und"
+#: Standard deviations from the middle from which a rate is none of a language's own, windows that tell of a length, and symbols of the longest.
+SPREAD, WINDOWS, PASSAGE = 8, 16, 64
 
 
 def held_out(key: str, parts: int, part: int = 2) -> Column:
@@ -156,9 +158,13 @@ class Parser:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and phrases per symbol of each text."""
+        return self.judge(texts)[:3]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, phrases per symbol and symbols of each text."""
         total, sizes = self.phrases(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts)), sizes
         rates = total / np.maximum(sizes, 1)
         best = rates.argmin(axis=0)
         first = rates.min(axis=0)
@@ -166,15 +172,53 @@ class Parser:
         score = np.where(np.isinf(second), 1.0, second / np.maximum(first + second, 1e-300)) if len(rates) > 1 else np.ones(len(texts))
         known = sizes > 0
         names = [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-        return names, np.where(known, score, 0.0), np.where(known, first, 1.0)
+        return names, np.where(known, score, 0.0), np.where(known, first, 1.0), sizes
 
 
 def _parser(texts: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
     return Parser({language: list(x) for language, x in texts})
 
 
-def identify(docs: DataFrame, learnt: dict[str, list[str]], key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document lang_pred, score and `phrase_rate` (phrases per symbol in the best language; 1 for `und`)."""
+Bounds = dict[str, list[tuple[int, float]]]
+
+
+def bounds(learnt: dict[str, list[str]]) -> Bounds:
+    """Per language (symbols, phrase rate) in rising order of symbols: the most a text of so many symbols or more has.
+
+    Each half of a language's texts is cut into windows of 8 to `PASSAGE` characters and parsed by the other half; the bound is the median
+    rate of a length and `SPREAD` standard deviations (1.4826 times the median distance from it, one phrase at least), so that a few odd or
+    wrongly labelled texts do not move it. Longer texts keep the bound of `PASSAGE`, as they differ from one another by more than windows of
+    few texts tell. Half a sample makes more phrases than the whole, so the bound errs towards keeping. Lengths with less than `WINDOWS`
+    windows have no bound of their own, and texts shorter than any bound are never foreign.
+    """
+    found: Bounds = {}
+    for language, texts in learnt.items():
+        whole = sorted(set(texts))
+        whole = whole if len(whole) > 1 else [half for t in whole for half in (t[: len(t) // 2], t[len(t) // 2 :])]
+        sides = [(Parser({language: whole[1 - i :: 2]}), whole[i::2]) for i in (0, 1)]
+        found[language], least, size = [], 1.0, 8
+        while size <= PASSAGE:
+            rates = []
+            for parser, other in sides:
+                _, _, rate, n = parser.judge([t[i : i + size] for t in other for i in range(0, len(t) - size + 1, size)])
+                rates.extend(rate[n > 0].tolist())
+            if len(rates) >= WINDOWS:
+                middle = float(np.median(rates))
+                spread = max(1.4826 * float(np.median(np.abs(np.asarray(rates) - middle))), 1 / size)
+                least = min(least, middle + SPREAD * spread)
+                found[language].append((size, least))
+            size *= 2
+    return found
+
+
+def is_foreign(limits: Bounds, language: str, rate: float, symbols: int) -> bool:
+    """Whether a text parses like none of the languages learnt: above the bound of the one it is nearest to."""
+    reached = [bound for size, bound in limits.get(language, ()) if size <= symbols]
+    return bool(reached) and rate > reached[-1]
+
+
+def identify(docs: DataFrame, learnt: dict[str, list[str]], key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), limits: Bounds | None = None) -> DataFrame:
+    """Per document lang_pred, score and `phrase_rate` (phrases per symbol in the best language; 1 for `und`); with `limits` also `is_foreign`."""
     columns = list(dict.fromkeys([key, text, *carry]))
     kept = docs.select(*columns)
     out = [c for c in columns if c != text or text in carry]
@@ -184,8 +228,13 @@ def identify(docs: DataFrame, learnt: dict[str, list[str]], key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = held(_parser, frozen)
         for batch in slices(batches, text):
-            lang, score, rate = parser.predict(texts_of(batch, text))
+            lang, score, rate, symbols = parser.judge(texts_of(batch, text))
             own = [batch.column(columns.index(c)) for c in out]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[*out, "lang_pred", "score", "phrase_rate"])
-
-    return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double, phrase_rate double")
+            made, names = [pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], ["lang_pred", "score", "phrase_rate"]
+            if limits is not None:
+                made.append(pa.array([is_foreign(limits, *x) for x in zip(lang, rate.tolist(), symbols.tolist(), strict=True)], pa.bool_()))
+                names.append("is_foreign")
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*out, *names])
+
+    tail = ", is_foreign boolean" if limits is not None else ""
+    return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double, phrase_rate double{tail}")

@@ -14,15 +14,13 @@ from colloquy.llm import langid, ngramjoin, packing, quality, suffixdedup
 from colloquy.llm.tables import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Phrases per symbol from which a text is in none of the languages learnt.
-FOREIGN = 0.6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts that parse like none of the learnt languages, go."""
+    """Texts without a letter go, and texts with more phrases per symbol than the learnt texts of their length parsed by one another."""
     learnt = langid.sample(docs.where(~langid.held_out("doc_id", 4)))
-    found = langid.identify(docs, learnt, carry=COLUMNS)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("phrase_rate") < FOREIGN)).select(*COLUMNS)
+    found = langid.identify(docs, learnt, carry=COLUMNS, limits=langid.bounds(learnt))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("is_foreign")).select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,24 @@ def test_odd_rows_go_through(spark, odd_docs, tmp_path):
     empty = stored(odd_docs.limit(0), "none")
     for _, stage in cp.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_language_stage_drops_foreign_texts_and_keeps_short_ones(spark):
+    foreign = [
+        "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita e quanto a dir qual era e cosa dura esta selva selvaggia e aspra e forte",
+        "litwo ojczyzno moja ty jestes jak zdrowie ile cie trzeba cenic ten tylko sie dowie kto cie stracil dzis pieknosc twa w calej ozdobie widze i opisuje bo tesknie po tobie",
+        "mieleni minun tekevi aivoni ajattelevi lahteani laulamahan saa ani sanelemahan sukuvirtta suoltamahan lajivirtta laulamahan sanat suussani sulavat puhe et putoelevat",
+        "alle mensen worden vrij en gelijk in waardigheid en rechten geboren zij zijn begiftigd met verstand en geweten en behoren zich jegens elkander in een geest van broederschap te gedragen",
+        "butun insanlar hur haysiyet ve haklar bakimindan esit dogarlar akil ve vicdana sahiptirler ve birbirlerine karsi kardeslik zihniyeti ile hareket etmelidirler",
+        "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+    ]
+    short = ["Hello.", "Yes", "The weather is nice today.", "Guten Morgen", "Bonjour tout le monde"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    plain = [r.text for r in docs.where("crc32(cast(string(doc_id) as binary)) % 4 = 2 AND text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    starts = [s for t in plain for n in (10, 25, 60) if len(s := t[:n]) == n and all(c.isalpha() or c in " .," for c in s)]
+    texts = foreign + short + starts
+    planted = spark.createDataFrame([(10_000_000 + i, t, None, "a", len(t)) for i, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id - 10_000_000 for r in cp.language(spark, docs.union(planted), SF).collect() if r.doc_id >= 10_000_000}
+    assert not kept & set(range(len(foreign)))
+    assert set(range(len(foreign), len(foreign) + len(short))) <= kept
+    assert len(starts) > 30 and len(kept) - len(short) == len(starts)
