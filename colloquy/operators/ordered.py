@@ -1,4 +1,4 @@
-"""Ordered per-group state (rank, lag, running sum and max) that survives a hot group.
+"""Ordered per-group state (rank, lag, running sum, max and exclusive or) that survives a hot group.
 
 A plain window sends a whole group to one task. When a group is too big for that, the rows are
 range-partitioned on (keys, order) into slices of even size, each slice is scanned on its own, and one
@@ -87,6 +87,17 @@ class Ordered:
             df = self._join(df, carried).withColumn(name, F.greatest(name, "_carry")).drop("_carry")
         return Ordered(df, self.keys, self.order, self.sliced)
 
+    def running_xor(self, name: str, value: Column) -> "Ordered":
+        frame = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        df = self.df.withColumn(name, F.bit_xor(value).over(frame))
+        if self.sliced:
+            carried = self._carried(
+                F.bit_xor(value), lambda s, w: F.bit_xor(s).over(w.rowsBetween(Window.unboundedPreceding, -1))
+            )
+            carry = F.coalesce("_carry", F.lit(0).cast("long"))
+            df = self._join(df, carried).withColumn(name, F.col(name).bitwiseXOR(carry)).drop("_carry")
+        return Ordered(df, self.keys, self.order, self.sliced)
+
     def lag(self, name: str, value: str) -> "Ordered":
         """The value one row earlier in the group, null on its first row."""
         window = self._window()
