@@ -6,12 +6,13 @@ distance to the cells, and visits the first `budget` leaves that come out; their
 that finds `AIM` of the true neighbours of `TRIALS` trial vectors, whose neighbours one scan of all rows tells. Largest inner products become
 least distances by one more component, sqrt(1 - (norm / largest norm)^2), of the rows.
 
-Equal vectors are folded into one row first, which keeps the `k + 1` smallest ids: no other id can be among the first `k`. Leaf members and visiting
-queries meet in cells of bounded size: a full leaf or a leaf that many queries visit becomes a grid of cells. At most `k + 1` rows per query leave a cell.
+Equal vectors are folded into one row first, which keeps the `k + 1` smallest ids: no other id can be among the first `k`. Sibling leaves and the
+queries that visit some of them meet in cells of bounded size: full leaves, or leaves that many queries visit, become a grid of cells. A query moves once for
+the leaves of a cell, and at most `k + 1` rows for it leave.
 
 Rows with a null id, a null, empty or zero vector, or a null or non-finite component take no part. Vectors of unequal length do not meet: each length
-has a forest of its own. Equal scores go to the smaller id. Rows with the query's id are the query itself; another id that repeats counts once, by its best
-vector, and a query id given with several vectors is answered for each. Extra columns are ignored; an empty table gives an empty result.
+has a forest of its own. Equal scores go to the smaller id. Rows repeated exactly are one row. An id given with several vectors is a candidate with each, also
+beside the query's own row, and a query for each. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from colloquy.operators.ordered import top_n
 
 #: Trees, rows a leaf is meant to hold, vectors the trees are fitted on, trial vectors, share of their neighbours to be found.
 TREES, LEAF, SAMPLE, TRIALS, AIM = 4, 2_048, 131_072, 256, 0.95
-#: Sampled vectors a leaf has at least, and rows or queries of a cell.
-PER_LEAF, CELL = 16, 8_192
+#: Sampled vectors a leaf has at least, levels that sibling leaves of a cell differ in, rows or queries of a cell.
+PER_LEAF, SIBLINGS, CELL = 16, 3, 16_384
 
 
 @dataclass(frozen=True)
@@ -154,54 +155,77 @@ def search(
     # one list of bounded length for each distinct query vector, then for each of its ids
     best = reduce(DataFrame.union, found)
     mine = asked.distinct().join(wanted, "_v").select(F.col("_id").alias("query_id"), "_q").join(best, "_q")
-    own = F.slice(F.filter("near", lambda x: x["_id"] != F.col("query_id")), 1, k)
+    own = F.slice(F.filter("near", lambda x: ~x["same"] | (x["_id"] != F.col("query_id"))), 1, k)
     out = mine.select("query_id", F.posexplode(own).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x._id").alias(key), F.col("x.score").alias("score"))
 
 
 def _of_length(items: DataFrame, wanted: DataFrame, d: int, n: int, largest: float, k: int, trees: int, leaf: int, aim: float, cell: int) -> DataFrame:
-    """`_q` and `near`, the k + 1 best (score, _id), for the queries of one vector length."""
+    """`_q` and `near`, the k + 1 best (score, _id, whether the vector is the query's), for the queries of one vector length."""
     items, wanted = items.where(F.size("_v") == d), wanted.where(F.size("_v") == d)
     sampled = items.orderBy(F.xxhash64("_v"), "_v").limit(SAMPLE).select("_v").toArrow()
     sample = _matrix(sampled["_v"], d)
     forest = Forest.fit(sample, largest, n, trees, leaf)
     budget = calibrated(items, forest, sample[:TRIALS], k, aim)
 
+    kin = min(SIBLINGS, forest.levels)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaves = forest.members(_matrix(b.column(0), d))
             row = pa.array(np.repeat(np.arange(b.num_rows), leaves.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), b.column(0).take(row), b.column(1).take(row)], names=["leaf", "_v", "ids"])
+            leaf = leaves.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(leaf >> kin), pa.array(leaf), b.column(0).take(row), b.column(1).take(row)], names=["g", "leaf", "_v", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = [forest.visits(p, budget) for p in forest.places(_matrix(b.column(0), d)).tolist()]
-            row = pa.array(np.repeat(np.arange(b.num_rows), [len(s) for s in seen]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for s in seen for x in s], pa.int64()), b.column(0).take(row), b.column(1).take(row)], names=["leaf", "_v", "_q"])
-
-    placed = items.select("_v", "ids").mapInArrow(deal, "leaf long, _v array<double>, ids array<bigint>")
-    coming = stored(wanted.select("_v", "_q").mapInArrow(route, "leaf long, _v array<double>, _q long"), "visits")
-    blocks = lambda rows, name: rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias(name))
+            seen = [np.sort(forest.visits(p, budget)) for p in forest.places(_matrix(b.column(0), d)).tolist()]
+            row, leaf = np.repeat(np.arange(b.num_rows), [len(s) for s in seen]), np.concatenate(seen)
+            begins = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(leaf >> kin) != 0)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(leaf)), pa.int32()), pa.array(leaf, pa.int64()))
+            at = pa.array(row[begins])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[begins] >> kin), lists, b.column(0).take(at), b.column(1).take(at)], names=["g", "leaves", "_v", "_q"])
+
+    placed = items.select("_v", "ids").mapInArrow(deal, "g long, leaf long, _v array<double>, ids array<bigint>")
+    coming = stored(wanted.select("_v", "_q").mapInArrow(route, "g long, leaves array<bigint>, _v array<double>, _q long"), "visits")
+    blocks = lambda rows, name: rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias(name))
     # at most trees x leaves of the fitted forest: bounded by the sample
-    grid = F.broadcast(blocks(placed.select("leaf"), "ni").join(blocks(coming.select("leaf"), "nj"), "leaf"))
+    grid = F.broadcast(blocks(placed.select("g"), "ni").join(blocks(coming.select("g"), "nj"), "g"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(grid, "leaf").select("leaf", F.pmod(F.xxhash64("_v"), F.col("ni")).cast("int").alias("i"), every("nj").alias("j"), "_v", "ids")
-    right = coming.join(grid, "leaf").select("leaf", every("ni").alias("i"), F.pmod(F.xxhash64("_q"), F.col("nj")).cast("int").alias("j"), "_v", "_q")
+    left = placed.join(grid, "g").select("g", F.pmod(F.xxhash64("_v"), F.col("ni")).cast("int").alias("i"), every("nj").alias("j"), "leaf", "_v", "ids")
+    right = coming.join(grid, "g").select("g", every("ni").alias("i"), F.pmod(F.xxhash64("_q"), F.col("nj")).cast("int").alias("j"), "leaves", "_v", "_q")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"_q": pa.array([], pa.int64()), "_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return nearest(_matrix(b["_v"], d), b["_q"].to_numpy(), _matrix(a["_v"], d), a["ids"].combine_chunks(), k + 1)
+        return visited(a, b, d, k + 1)
 
-    met = left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(meet, "_q long, _id long, score double")
-    once = met.repartition("_q").groupBy("_q", "_id").agg(F.max("score").alias("score"))
+    met = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(meet, "_q long, _id long, score double, same boolean")
+    # a row that several trees have shown
+    once = met.repartition("_q").groupBy("_q", "_id", "score").agg(F.max("same").alias("same"))
     cut = top_n(once, ["_q"], [F.desc("score"), F.asc("_id")], k + 1)
-    near = F.array_sort(F.collect_list(F.struct("rank", "_id", "score")))
+    near = F.array_sort(F.collect_list(F.struct("rank", "_id", "score", "same")))
     return cut.groupBy("_q").agg(near.alias("near"))
 
 
-def nearest(queries: np.ndarray, names: np.ndarray, rows: np.ndarray, ids: pa.ListArray, k: int) -> pa.Table:
-    """The `k` best (score, id) of each query; ids of one row share its score. Scores are summed alike whatever stands beside them."""
+def visited(rows: pa.Table, queries: pa.Table, d: int, k: int) -> pa.Table:
+    """The `k` best of a cell for each query, out of the leaves it visits."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
+    if rows.num_rows and queries.num_rows:
+        vectors, ids, leaf = _matrix(rows["_v"], d), rows["ids"].combine_chunks(), rows["leaf"].to_numpy()
+        asked, names = _matrix(queries["_v"], d), queries["_q"].to_numpy()
+        lists = queries["leaves"].combine_chunks()
+        who, where = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+        for number in np.unique(leaf):
+            own, some = np.flatnonzero(leaf == number), who[where == number]
+            if len(some):
+                found.append(nearest(asked[some], names[some], vectors[own], ids.take(pa.array(own)), k))
+    name, own, score, same = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((own, -score, name))
+    order = order[np.arange(len(order)) - np.searchsorted(name[order], name[order]) < k]
+    return pa.table({"_q": pa.array(name[order]), "_id": pa.array(own[order]), "score": pa.array(score[order]), "same": pa.array(same[order])})
+
+
+def nearest(queries: np.ndarray, names: np.ndarray, rows: np.ndarray, ids: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The `k` best (query, id, score, same vector) of each query; ids of one row share its score. Scores are summed alike whatever stands beside them."""
     counts, flat = ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
     starts = np.cumsum(counts) - counts
     out = []
@@ -212,16 +236,14 @@ def nearest(queries: np.ndarray, names: np.ndarray, rows: np.ndarray, ids: pa.Li
         if rough.shape[1] > k:
             blur = 1e-9 * np.linalg.norm(some, axis=1) * np.sqrt((rows * rows).sum(axis=1).max())
             q, r = np.nonzero(rough >= (np.partition(rough, -k, axis=1)[:, -k] - blur)[:, None])
-        exact = (some[q] * rows[r]).sum(axis=1)
+        exact, same = (some[q] * rows[r]).sum(axis=1), (some[q] == rows[r]).all(axis=1)
         many = counts[r]
         own = flat[np.repeat(starts[r], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        q, score = np.repeat(q, many), np.repeat(exact, many)
+        q, score, same = np.repeat(q, many), np.repeat(exact, many), np.repeat(same, many)
         order = np.lexsort((own, -score, q))
-        q, score, own = q[order], score[order], own[order]
-        first = np.arange(len(q)) - np.searchsorted(q, q) < k
-        out.append((names[at + q[first]], own[first], score[first]))
-    name, own, score = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table({"_q": pa.array(name, pa.int64()), "_id": pa.array(own, pa.int64()), "score": pa.array(score, pa.float64())})
+        order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+        out.append((names[at + q[order]], own[order], score[order], same[order]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def calibrated(items: DataFrame, forest: Forest, trials: np.ndarray, k: int, aim: float) -> int:
