@@ -1,9 +1,16 @@
-"""The inverted index and BM25 over batches of questions."""
+"""The inverted index and BM25 over batches of questions.
+
+The index is a table on disk: postings dealt to buckets by the hash of their term, one folder per bucket, files sorted by term; beside it the document
+frequency of every term and one row with the number of turns and their mean length. A batch of questions reads the buckets of its own vocabulary: the
+join with the vocabulary prunes the other folders at run time, before a file is opened.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,10 +19,14 @@ from colloquy import schema as sc
 from colloquy.functions import lexicon as lx
 from colloquy.functions import porter, text
 from colloquy.functions.embed import light_stem
+from colloquy.functions.mentions import without_technical
 from colloquy.operators.ordered import top_n
 
 _POSTINGS = T.ArrayType(sc.struct(term=T.StringType(), positions=T.ArrayType(T.IntegerType())))
 ANALYZERS = {"porter": porter.porter_terms, "light": text.index_terms}
+#: Postings a bucket is meant to hold, and the most buckets; what a question may see is decided by these columns of a turn.
+BUCKET_POSTINGS, MAX_BUCKETS = 250_000, 4_096
+SEEN_BY = ("session_id", "ts", "scope")
 
 
 def _grouped(rows: list[list[str]]) -> pa.Array:
@@ -59,9 +70,57 @@ def postings(entries: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def corpus_size(entries: DataFrame) -> DataFrame:
-    """Rows and mean length over everything indexed."""
-    return entries.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+@dataclass(frozen=True)
+class Index:
+    """`rows`: bucket, term, id, dl, positions and the columns of `SEEN_BY` there are; `terms`: bucket, term, df."""
+
+    rows: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+    buckets: int
+    analyzer: str
+
+    def with_bucket(self, terms: DataFrame) -> DataFrame:
+        return terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _clustered(rows: DataFrame, path: str, *order: str) -> None:
+    """One folder per bucket, files sorted; a bucket that a frequent term fills becomes several files."""
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _postings_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([f for f in rows.schema.fields if f.name != "bucket"] + [T.StructField("bucket", T.IntegerType())])
+
+
+def write_index(entries: DataFrame, path: str, analyzer: str = "porter", bucket_postings: int = BUCKET_POSTINGS) -> Index:
+    """Write the postings of `entries` (as `with_postings` leaves them) under `path`."""
+    spark = entries.sparkSession
+    n, length, count = entries.agg(F.count(F.lit(1)), F.sum("dl"), F.sum(F.size("postings"))).first()
+    buckets = max(1, min(MAX_BUCKETS, -(-(count or 0) // bucket_postings)))
+    carry = [c for c in SEEN_BY if c in entries.columns]
+    rows = postings(entries, *carry).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    _clustered(rows, f"{path}/postings", "term", "id")
+    stored = spark.read.schema(_postings_schema(rows)).parquet(f"{path}/postings")
+    _clustered(stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")), f"{path}/terms", "term")
+    size = spark.range(1).select(*[F.lit(v).cast(t).alias(k) for k, v, t in (
+        ("n", n, "long"), ("avgdl", (length or 0) / n if n else 0.0, "double"), ("buckets", buckets, "int"), ("analyzer", analyzer, "string"), ("carry", ",".join(carry), "string"))])
+    size.write.mode("overwrite").parquet(f"{path}/size")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    size = spark.read.parquet(f"{path}/size").first()
+    kinds = {"session_id": "string", "ts": "long", "scope": "string"}
+    carry = "".join(f", {c} {kinds[c]}" for c in size["carry"].split(",") if c)
+    rows = spark.read.schema(f"id long, dl int{carry}, term string, positions array<int>, bucket int").parquet(f"{path}/postings")
+    terms = spark.read.schema("term string, df long, bucket int").parquet(f"{path}/terms")
+    return Index(rows, terms, size["n"], size["avgdl"], size["buckets"], size["analyzer"])
 
 
 def family_stems() -> list[str]:
@@ -82,25 +141,15 @@ def numbered(df: DataFrame, column: str, number: str, bound: int | None) -> Data
     return df.withColumn(number, F.dense_rank().over(Window.orderBy(column)))
 
 
-def phrase_matches(rows: DataFrame, phrases: DataFrame, carry: list[str], bound: int | None = None) -> DataFrame:
-    """`(id, pn, tf)` of every phrase occurring in a turn; `phrases` holds `pn, terms`.
-
-    The vocabulary is broadcast when proven small, so the scan keeps only the postings some question asks
-    for. Those are placed by turn once; phrase matching and all later per-turn sums stay in that placement.
-    """
-    vocabulary = phrases.select("pn", F.size("terms").alias("m"), F.posexplode("terms").alias("idx", "term"))
-    hits = runtime.place(rows.join(runtime.small_side(vocabulary, bound=bound), "term").drop("term"), "id")
-    one = hits.where("m = 1").select("id", "dl", *carry, "pn", F.size("positions").alias("tf"))
+def _phrase_runs(hits: DataFrame, carry: list[str]) -> DataFrame:
+    """`(id, pn, tf)` of every phrase of several terms that occurs in a turn: its terms' postings meet by turn and phrase."""
     parts = F.array_sort(F.collect_list(F.struct("idx", "positions")))
-    runs = hits.where("m > 1").groupBy("id", "dl", *carry, "pn", "m").agg(parts.alias("parts")).where(
-        F.size("parts") == F.col("m")
-    )
+    runs = hits.groupBy("id", "dl", *carry, "pn", "m").agg(parts.alias("parts")).where(F.size("parts") == F.col("m"))
     starts = F.filter(
         F.col("parts")[0]["positions"],
         lambda p: F.forall("parts", lambda part: F.array_contains(part["positions"], p + part["idx"])),
     )
-    many = runs.select("id", "dl", *carry, "pn", F.size(starts).alias("tf")).where("tf > 0")
-    return one.unionByName(many)
+    return runs.select("id", "dl", *carry, "pn", F.size(starts).alias("tf")).where("tf > 0")
 
 
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
@@ -111,51 +160,81 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
 
 
 def lexical_top(
-    entries: DataFrame, asked: DataFrame, *, analyzer: str = "porter", limit: int = sc.VIEW_LIMIT,
-    reach: Column | None = None, carry: list[str] | None = None, options: list[str] | None = None,
-    bound: int | None = None, key: str = "query_id",
+    index: Index, asked: DataFrame, *, limit: int = sc.VIEW_LIMIT, reach: Column | None = None, carry: list[str] | None = None,
+    options: list[str] | None = None, marks: DataFrame | None = None, bound: int | None = None, key: str = "query_id",
 ) -> DataFrame:
     """BM25 top turns per question: `key, id, score, rank`. `asked` holds `key, phrases`.
 
-    Term and turn counts are over all indexed rows; `reach` then says what a question may see, before
-    the cut. Questions share the work on a phrase: it is matched and weighed once per turn, however many ask
-    for it. `bound` limits the phrases of the whole batch, when known.
+    Term and turn counts are over all indexed rows; `reach` over the `carry` columns (and `hidden`, where `marks` tells the hidden turns) then
+    says what a question may see, before the cut. A phrase of one term is weighed as its posting is read, with the stored document frequency. Questions share
+    the work on a phrase: it is matched and weighed once per turn, however many ask for it. `bound` limits the phrases of the whole batch, when known.
     """
     carry, options = carry or [], options or []
+    small = lambda df: runtime.small_side(df, bound=bound)
     wanted = asked.select(key, *options, F.explode("phrases").alias("phrase"))
     phrases = numbered(wanted.select("phrase").distinct(), "phrase", "pn", bound)
-    analysed = phrases.withColumn("terms", ANALYZERS[analyzer](F.col("phrase"))).where(F.size("terms") > 0)
-    matched = phrase_matches(postings(entries, *carry), analysed, carry, bound)
-    spread = matched.groupBy("pn").agg(F.count(F.lit(1)).alias("df"))
-    size = corpus_size(entries)
-    known = spread.withColumns({"_n": size.select("n").scalar(), "_avg": size.select("avgdl").scalar()})
-    weight = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("_n"), F.col("_avg"))
-    weighed = matched.join(runtime.small_side(known, bound=bound), "pn").select("id", *carry, "pn", weight.alias("w"))
-    per_query = wanted.join(runtime.small_side(phrases, bound=bound), "phrase").drop("phrase")
-    pairs = weighed.join(runtime.small_side(per_query, bound=bound), "pn")
+    analysed = phrases.withColumn("terms", ANALYZERS[index.analyzer](F.col("phrase")))
+    vocabulary = index.with_bucket(analysed.select("pn", F.size("terms").alias("m"), F.posexplode("terms").alias("idx", "term")))
+    known = index.terms.join(small(vocabulary.where("m > 0")), ["bucket", "term"])
+
+    def read(some: str) -> DataFrame:
+        return index.rows.join(small(known.where(some)), ["bucket", "term"]).drop("bucket", "term")
+
+    weight = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.lit(index.n), F.lit(index.avgdl))
+    one = read("m = 1").withColumn("tf", F.size("positions")).select("id", *carry, "pn", weight.alias("w"))
+    many = _phrase_runs(runtime.place(read("m > 1"), "id"), carry)
+    spread = many.groupBy("pn").agg(F.count(F.lit(1)).alias("df"))
+    weighed = one.unionByName(many.join(small(spread), "pn").select("id", *carry, "pn", weight.alias("w")))
+    if marks is not None:
+        weighed = weighed.join(runtime.small_side(marks), "id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
+    per_query = wanted.join(small(phrases), "phrase").drop("phrase")
+    pairs = weighed.join(small(per_query), "pn")
     if reach is not None:
         pairs = pairs.where(reach)
     scored = pairs.groupBy(key, "id").agg(F.round(F.sum("w"), 9).alias("score"))
     return top_n(scored, [key], [F.col("score").desc(), F.col("id").desc()], limit)
 
 
-def coverage(tokens: Column, stem_line: Column) -> Column:
-    """How many of a question's words a turn holds; a relation word counts by any member of its family.
+# --- words a turn holds ----------------------------------------------------------------------------------
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    `stem_line` is the turn's stems joined by blanks, a blank at either end.
-    """
+
+def _related(stems: Column) -> Column:
+    """Whether a run of stems is one of the relation words."""
     runs = sorted({" ".join(light_stem(w) for w in m.split()) for m in lx.PREDICATE_FAMILY})
-    family = F.lit(False)
+    line = F.concat(F.lit(" "), F.array_join(stems, " "), F.lit(" "))
+    found = F.arrays_overlap(stems, F.array(*[F.lit(r) for r in runs if " " not in r]))
     for run in runs:
-        family = family | F.contains(stem_line, F.lit(f" {run} "))
-    held = F.filter(
-        tokens,
-        lambda t: F.when(text.stem_normalised(t).isin(family_stems()), family).otherwise(
-            F.contains(stem_line, F.concat(F.lit(" "), text.stem_normalised(t), F.lit(" ")))
-        ),
-    )
-    return F.size(held)
+        if " " in run:
+            found = found | F.contains(line, F.lit(f" {run} "))
+    return F.coalesce(found, F.lit(False))
+
+
+def _said(source: Column) -> Column:
+    stems = F.transform(text.normalised_words(source), text.stem_normalised)
+    return F.transform(F.array(stems), lambda s: F.struct(F.array_distinct(_hashes(s)).alias("stems"), _related(s).alias("family")))[0]
+
+
+def with_words(turns: DataFrame) -> DataFrame:
+    """Adds what questions look for in a turn, read once: `words` (hashes of its distinct words), `said` (hashes of its stems, and whether a relation word
+    occurs), and `plain`, the same outside paths, symbols and env vars where `m` holds any of these. Narrow."""
+    technical = F.exists("m", lambda x: x["kind"].isin("env", "path", "symbol"))
+    rows = turns.withColumns({"_t": technical, "_bare": without_technical(F.when(technical, F.col("text")))})
+    words = F.array_distinct(_hashes(F.array_distinct(text.normalised_words(F.col("text")))))
+    return rows.withColumns({"words": words, "said": _said(F.col("text")), "plain": F.when(F.col("_t"), _said(F.col("_bare")))}).drop("_t", "_bare")
+
+
+def asked_stems(tokens: Column) -> Column:
+    """A question's tokens as `coverage` counts them: hashes of their stems, those of tokens that share one, the number of relation words."""
+    stems = F.transform(tokens, text.stem_normalised)
+    related = lambda s: s.isin(family_stems())
+    plain = F.transform(F.array(_hashes(F.filter(stems, lambda s: ~related(s)))), lambda h: F.struct(
+        F.array_distinct(h).alias("stems"), F.filter(h, lambda x, i: F.array_position(h, x) <= i).alias("again")))[0]
+    return F.struct(plain["stems"].alias("stems"), plain["again"].alias("again"), F.size(F.filter(stems, related)).alias("related"))
 
 
-def stem_line(source: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(text.stems(source), " "), F.lit(" "))
+def coverage(asks: Column, said: Column) -> Column:
+    """How many of a question's words (`asked_stems`) a turn holds; a relation word counts by any member of its family."""
+    again = F.filter(asks["again"], lambda x: F.array_contains(said["stems"], x))
+    return F.size(F.array_intersect(said["stems"], asks["stems"])) + F.size(again) + F.when(said["family"], asks["related"]).otherwise(0)

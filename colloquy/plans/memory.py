@@ -28,6 +28,8 @@ class Memory:
     note_sources: DataFrame | None = None
     aliases: DataFrame | None = None
     blocklist: DataFrame | None = None
+    #: The postings on disk, clustered by term.
+    index: lexical.Index | None = None
     _kept: list[DataFrame] = field(default_factory=list)
 
     @staticmethod
@@ -36,22 +38,26 @@ class Memory:
         flags: DataFrame | None = None, note_sources: DataFrame | None = None, aliases: DataFrame | None = None,
         blocklist: DataFrame | None = None, path: str | None = None,
     ) -> "Memory":
-        """Derive the index. With `path` it is written as a table and read back; else it is kept in memory.
+        """Derive the index. Turns with what was read from them are written under `path` and read back, or else kept in memory; postings
+        are always written, under `path` or a new work folder.
 
         `flags` holds `id, hidden, superseded_by`; `note_sources` holds `note_id, turn_id`.
         """
         seen = runtime.spread_scan(turns).withColumn("m", mentions_of("text"))
-        entries = lexical.with_postings(seen, analyzer)
+        entries = lexical.with_words(lexical.with_postings(seen, analyzer))
         if embed_fn is not None:
             entries = embed(entries, embed_fn)
         kept: list[DataFrame] = []
+        spark = turns.sparkSession
         if path is not None:
-            entries.write.mode("overwrite").parquet(path)
-            entries = turns.sparkSession.read.parquet(path)
+            entries.write.mode("overwrite").parquet(f"{path}/entries")
+            entries = spark.read.parquet(f"{path}/entries")
         else:
+            path = runtime.work_folder(spark, "index")
             entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(entries)
-        return Memory(entries, analyzer, embed_fn, dense_fallback, flags, note_sources, aliases, blocklist, kept)
+        index = lexical.write_index(entries, path, analyzer)
+        return Memory(entries.drop("postings"), analyzer, embed_fn, dense_fallback, flags, note_sources, aliases, blocklist, index, kept)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -68,9 +74,13 @@ class Memory:
         """Entries with `hidden`. Only entries are read; the flags are few and broadcast when proven small."""
         if self.flags is None:
             return self.entries.withColumn("hidden", F.lit(False))
-        marks = runtime.small_side(self.flags.where("hidden").select("id", F.lit(True).alias("hidden")))
+        marks = runtime.small_side(self.marks())
         return self.entries.join(marks, "id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
 
+    def marks(self) -> DataFrame | None:
+        """`id, hidden` of the hidden turns."""
+        return None if self.flags is None else self.flags.where("hidden").select("id", F.lit(True).alias("hidden"))
+
     def mentions(self, *carry: str, source: DataFrame | None = None) -> DataFrame:
         rows = (self.entries if source is None else source).select(
             F.col("id").alias("turn_id"), *carry, F.explode("m").alias("x")
@@ -83,7 +93,7 @@ class Memory:
         return graph.apply_entity_rules(rows, aliases, blocked)
 
     def turns(self) -> DataFrame:
-        return self.entries.drop("m", "postings", "dl", "vec")
+        return self.entries.drop("m", "words", "said", "plain", "dl", "vec")
 
     def stats(self) -> DataFrame:
         if not hasattr(self, "_stats"):

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy import runtime
 from colloquy import schema as sc
@@ -15,7 +17,7 @@ from colloquy.curation import fold
 from colloquy.functions import lexicon as lx
 from colloquy.functions import text
 from colloquy.functions.embed import embed
-from colloquy.functions.mentions import has_technical, mentions_of, without_technical
+from colloquy.functions.mentions import has_technical, mentions_of
 from colloquy.functions.period import period
 from colloquy.operators import graph, lexical, sessions, vectors
 from colloquy.operators.ordered import top_n
@@ -64,21 +66,29 @@ class Batch:
 
 
 # --- reading the question --------------------------------------------------------------------------
-def names_of(entities: Column, measures: Column) -> Column:
-    """The keys a turn has to mention to be about the question: no measures, no parts of a longer key.
+def _unpart(keys: list[str]) -> list[str]:
+    """Keys without those whose words all belong to one longer key; sets of keys are bits of a number."""
+    words = [k.split(" ") for k in keys]
+    holding: dict[str, int] = {}
+    longer: dict[int, int] = {}
+    for i, ws in enumerate(words):
+        for w in ws:
+            holding[w] = holding.get(w, 0) | 1 << i
+    sizes = sorted({len(ws) for ws in words})
+    for n in sizes:
+        longer[n] = sum(1 << i for i, ws in enumerate(words) if len(ws) > n)
+    return [k for k, ws in zip(keys, words) if not reduce(lambda held, w: held & holding[w], ws, longer[len(ws)])]
 
-    Every pair of keys where one's words are a proper subset of the other's drops the shorter, in two array differences.
-    """
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _longest(keys: pa.Array) -> pa.Array:
+    return pa.array([_unpart(row or []) for row in keys.to_pylist()], pa.list_(pa.string()))
+
+
+def names_of(entities: Column, measures: Column) -> Column:
+    """The keys a turn has to mention to be about the question: no measures, no parts of a longer key."""
     plain = F.array_except(F.array_except(entities, measures), F.array(*map(F.lit, [*lx.MONTH_NUMBER, *lx.WEEKDAYS])))
-    worded = F.filter(plain, lambda key: key.rlike("[^0-9-]"))
-    bags = F.transform(worded, lambda key: F.struct(key.alias("key"), F.split(key, " ").alias("words")))
-    covered = F.flatten(
-        F.transform(bags, lambda big: F.transform(
-            F.filter(bags, lambda small: (F.size(small["words"]) < F.size(big["words"])) & (F.size(F.array_except(small["words"], big["words"])) == 0)),
-            lambda small: small["key"],
-        ))
-    )
-    return F.filter(worded, lambda key: ~F.array_contains(covered, key))
+    return _longest(F.filter(plain, lambda key: key.rlike("[^0-9-]")))
 
 
 def profile(queries: DataFrame, memory: Memory, batch: Batch | None = None) -> DataFrame:
@@ -87,7 +97,8 @@ def profile(queries: DataFrame, memory: Memory, batch: Batch | None = None) -> D
     missing = {name: F.lit(None).cast(kind) for name, kind in OPTIONS.items() if name not in queries.columns}
     now = memory.entries.where(F.col("kind") != "brief").agg(F.max("ts").alias("t")).scalar()
     lower = F.lower("text")
-    read = queries.withColumns(missing).withColumns(
+    spread = queries if batch.queries < 2 else queries.repartition(min(batch.queries, queries.sparkSession.sparkContext.defaultParallelism))
+    read = spread.withColumns(missing).withColumns(
         {"text": text.collapse_blanks(F.col("query")), "latest_ts": F.coalesce(now, F.lit(0))}
     )
     read = read.withColumns(
@@ -110,7 +121,7 @@ def profile(queries: DataFrame, memory: Memory, batch: Batch | None = None) -> D
     read = read.withColumns(
         {
             "shaped": shaped, "measures": measures, "past": F.col("history") | F.col("period.start").isNotNull(),
-            "phrases": lexical.search_phrases(F.col("tokens")),
+            "phrases": lexical.search_phrases(F.col("tokens")), "asks": lexical.asked_stems(F.col("tokens")),
         }
     )
     # Keys the store already knows, so that a lower-case question still finds its names.
@@ -189,6 +200,13 @@ class _Sight:
     def columns(self) -> list[Column]:
         return [F.col(o).alias(f"q_{o}") for o in self.options]
 
+    def marks(self, memory: Memory) -> DataFrame | None:
+        """The hidden turns, where they matter: an empty table when none is flagged."""
+        if "hidden" not in self.carry:
+            return None
+        none = memory.entries.select("id", F.lit(True).alias("hidden")).where(F.lit(False))
+        return none if memory.flags is None else memory.marks()
+
     def keep(self, pairs: DataFrame) -> DataFrame:
         return pairs if self.cond is None else pairs.where(self.cond)
 
@@ -198,8 +216,8 @@ def lexical_view(memory: Memory, asked: DataFrame, batch: Batch) -> DataFrame:
     sight = _Sight.of(memory, batch)
     wanted = asked.where(F.size("tokens") > 0).select("qn", "phrases", *sight.columns)
     return lexical.lexical_top(
-        memory.flagged, wanted, analyzer=memory.analyzer, reach=sight.cond, carry=sight.carry,
-        options=[f"q_{o}" for o in sight.options], bound=batch.words, key="qn",
+        memory.index, wanted, reach=sight.cond, carry=[c for c in sight.carry if c != "hidden"], options=[f"q_{o}" for o in sight.options],
+        marks=sight.marks(memory), bound=batch.words, key="qn",
     ).select("qn", "id", "score")
 
 
@@ -289,27 +307,30 @@ def rrf(views: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def word_line(source: Column) -> Column:
-    """A text's normalised words joined by blanks, a blank at either end; words hold no blanks themselves."""
-    return F.concat(F.lit(" "), text.normalised_text(source), F.lit(" "))
+_TECHNICAL = "[_/:]"
+
 
+def name_words(names: Column) -> Column:
+    """Hashes of all words of some names."""
+    return F.array_distinct(F.flatten(F.transform(names, lambda n: F.transform(F.split(n, " "), lambda w: F.xxhash64(w)))))
 
-def missing_names(names: Column, words: Column, page_lower: Column) -> Column:
-    """Names a text (`words` as `word_line`) does not mention: all its words, or the last of several; a technical key verbatim.
 
-    Each name is turned into the alternatives that would count as a mention, each a list of strings that must all occur.
+def missing_names(names: Column, asked: Column, words: Column, page_lower: Column | None = None) -> Column:
+    """Names a turn does not mention: all of a name's words, or the last of several; a technical key verbatim in `page_lower`.
+
+    `asked` holds the hashes of all the names' words, `words` those of the turn's. The two sets meet once; each name is looked up in what they share.
     """
-    padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    technical = lambda n: n.rlike("[_/:]")
     tail = lambda n: F.substring_index(n, " ", -1)
     surname = lambda n: F.contains(n, F.lit(" ")) & tail(n).rlike(r"^(?=.*[^0-9]).{3,}$")
 
-    def mentioned(n: Column) -> Column:
-        alternatives = F.array(F.split(n, " "), F.when(surname(n), F.array(tail(n))))
-        spoken = F.exists(alternatives, lambda all_of: F.coalesce(F.forall(all_of, lambda w: F.contains(words, padded(w))), F.lit(False)))
-        return (technical(n) & F.contains(page_lower, n)) | (~technical(n) & spoken)
+    def mentioned(n: Column, shared: Column) -> Column:
+        whole = F.forall(F.split(n, " "), lambda w: F.array_contains(shared, F.xxhash64(w)))
+        spoken = whole | (surname(n) & F.array_contains(shared, F.xxhash64(tail(n))))
+        verbatim = F.lit(False) if page_lower is None else F.contains(page_lower, n)
+        return F.when(n.rlike(_TECHNICAL), verbatim).otherwise(spoken)
 
-    return F.filter(names, lambda n: ~mentioned(n))
+    both = F.array(F.array_intersect(words, asked))
+    return F.transform(both, lambda shared: F.filter(names, lambda n: ~mentioned(n, shared)))[0]
 
 
 def anchor_factor(share: Column) -> Column:
@@ -425,35 +446,28 @@ class Recall:
     context: DataFrame | None = None
 
 
-_Q = ["top_k", "names", "tokens", "technical", "temporal", "history", "past", "period", "latest_ts", "include_hidden",
+_Q = ["top_k", "names", "technical", "temporal", "history", "past", "period", "latest_ts", "include_hidden",
       "exclude_session", "session", "since", "until", "scope", "context"]
 
 
 _HEAD = ["id", "uuid", "session_id", "ts", "kind", "scope", "hidden"]
 
 
-def _read_pages(memory: Memory, wanted: DataFrame, bound: int) -> DataFrame:
-    """`wanted` (`id`, `q_tokens`, `q_names`, `q_technical`, ...) beside each turn's head, `covered` and `missing`.
+def _read_pages(memory: Memory, wanted: DataFrame, asked: DataFrame, batch: Batch) -> DataFrame:
+    """`wanted` (`query_id`, `id`, ...) beside each turn's head, the question's options (`q_`), `covered` and `missing`.
 
-    The turns somebody nominated are read once. Their word sets are wide, so they never move: the questions
-    come to them, and only the two findings and the head leave.
+    The turns somebody nominated are read once and never move: the narrow pairs come to them, then the questions. No text is looked at, unless
+    a question names a path, symbol or env var.
     """
-    rows = memory.flagged.select(*_HEAD, "text").join(
-        runtime.small_side(wanted.select("id").distinct(), bound=bound), "id", "left_semi"
-    )
-    t = F.col("text")
-    pages = rows.withColumns(
-        {
-            "_words": word_line(t), "_lower": F.lower(t), "_stems": lexical.stem_line(t), "_bare": without_technical(t),
-        }
-    )
-    plain = F.when(F.col("_bare") == t, F.col("_stems")).otherwise(lexical.stem_line(F.col("_bare")))
-    pages = pages.withColumn("_plain", plain).drop("text", "_bare")
-    line = F.when(F.col("q_technical"), F.col("_stems")).otherwise(F.col("_plain"))
-    covered = F.when(F.col("view") == "lexical", lexical.coverage(F.col("q_tokens"), line)).otherwise(0)
-    return pages.join(runtime.small_side(wanted, bound=bound), "id").withColumns(
-        {"covered": covered, "missing": missing_names(F.col("q_names"), F.col("_words"), F.col("_lower"))}
-    ).drop("_words", "_lower", "_stems", "_plain")
+    verbatim = not asked.where(F.exists("names", lambda n: n.rlike(_TECHNICAL))).isEmpty()
+    pages = memory.flagged.select(*_HEAD, "words", "said", "plain", *([F.lower("text").alias("_lower")] if verbatim else []))
+    options = asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q], "asks", name_words(F.col("names")).alias("_asked"))
+    rows = pages.join(runtime.small_side(wanted, bound=batch.nominations), "id").join(runtime.small_side(options, bound=batch.queries), "query_id")
+    heard = F.when(F.col("q_technical"), F.col("said")).otherwise(F.coalesce("plain", "said"))
+    covered = F.when(F.col("view") == "lexical", lexical.coverage(F.col("asks"), heard)).otherwise(0)
+    missing = missing_names(F.col("q_names"), F.col("_asked"), F.col("words"), F.col("_lower") if verbatim else None)
+    kept = [*dict.fromkeys([*_HEAD, *wanted.columns, *[f"q_{c}" for c in _Q]])]
+    return rows.select(*kept, covered.alias("covered"), missing.alias("missing"))
 
 
 def _q(prefix: str = "q_") -> dict[str, Column]:
@@ -469,9 +483,8 @@ def _hand_over(memory: Memory, fused: DataFrame, asked: DataFrame, batch: Batch)
         F.max("score").alias("_score"), F.max_by("sources", F.struct("score", "ts", F.col("uuid"))).alias("_sources"),
         F.max("anchor").alias("_anchor"),
     )
-    ask_cols = runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries)
-    wanted = heirs.withColumnRenamed("heir", "id").withColumn("view", F.lit("heir")).join(ask_cols, "query_id")
-    seen = _read_pages(memory, wanted, n).drop("view", "covered").where(_visible() & (F.col("kind") != "brief"))
+    wanted = heirs.withColumnRenamed("heir", "id").withColumn("view", F.lit("heir"))
+    seen = _read_pages(memory, wanted, asked, batch).drop("view", "covered").where(_visible() & (F.col("kind") != "brief"))
     # every replaced turn counts half, those on a cycle too, which hand nothing over
     replaced = fold.links(memory.flags).join(fused.select("id").distinct(), "id", "left_semi")
     gone = runtime.small_side(replaced.select("id").distinct().withColumn("_gone", F.lit(True)), bound=n)
@@ -507,8 +520,7 @@ def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Reca
     cols = ["query_id", "view", "id", "score", "_r"]
     # At most 50 rows per view and question leave here; the cut keeps later plans from holding four views each.
     nominated = runtime.checkpoint(reduce(DataFrame.unionByName, [v.select(*cols) for v in views]))
-    ask_cols = runtime.small_side(asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in _Q]), bound=batch.queries)
-    rows = _read_pages(memory, nominated.join(ask_cols, "query_id"), batch.nominations).where(F.col("kind") != "brief")
+    rows = _read_pages(memory, nominated, asked, batch).where(F.col("kind") != "brief")
     if memory.flags is not None:
         until = fold.valid_until(memory.flags, memory.entries, nominated.select("id").distinct(), batch.nominations)
         rows = rows.join(runtime.small_side(until, bound=batch.nominations), "id", "left")

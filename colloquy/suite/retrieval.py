@@ -10,6 +10,7 @@ from colloquy.curation import fold
 from colloquy.functions import text
 from colloquy.functions.embed import embed, fnv1a_64, hash_embed
 from colloquy.functions.hashing import vector_digest
+from colloquy.functions.mentions import mentions_of
 from colloquy.functions.period import period
 from colloquy.functions.porter import porter_terms
 from colloquy.operators import lexical, vectors
@@ -35,6 +36,14 @@ def _light(spark, sf) -> DataFrame:
     return lexical.with_postings(runtime.spread_scan(adapters.document_turns(spark, sf)), "light").persist()
 
 
+def _index(spark, sf) -> lexical.Index:
+    return lexical.write_index(_light(spark, sf), runtime.work_folder(spark, "light-index"), "light")
+
+
+def _words(spark, sf) -> int:
+    return rc.Batch.of(adapters.benchmark_queries(spark, sf)).words
+
+
 def _asked(spark, sf) -> DataFrame:
     return adapters.benchmark_queries(spark, sf).withColumn(
         "phrases", lexical.search_phrases(text.question_tokens(F.col("query")))
@@ -60,7 +69,7 @@ def _(spark, sf):
 
 @query("bm25_topk", f"WITH {ASKED}, {POSTINGS}, {QT}, {SCORED} SELECT query_id, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 50")
 def _(spark, sf):
-    top = lexical.lexical_top(_light(spark, sf), _asked(spark, sf), analyzer="light")
+    top = lexical.lexical_top(_index(spark, sf), _asked(spark, sf), bound=_words(spark, sf))
     return top.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -68,12 +77,10 @@ def _(spark, sf):
  SELECT l.query_id, l.id, count(*) FILTER (WHERE list_contains(st, term)) AS covered FROM lex l JOIN st USING (id)
  JOIN qterm t ON t.query_id = l.query_id WHERE rank <= 50 GROUP BY 1, 2""")
 def _(spark, sf):
-    top = lexical.lexical_top(_light(spark, sf), _asked(spark, sf), analyzer="light")
-    pages = adapters.document_turns(spark, sf).select("id", lexical.stem_line(F.col("text")).alias("line"))
-    asked = adapters.benchmark_queries(spark, sf).withColumn("tokens", text.question_tokens(F.col("query")))
-    return top.join(pages, "id").join(asked, "query_id").select(
-        "query_id", "id", lexical.coverage(F.col("tokens"), F.col("line")).cast("long").alias("covered")
-    )
+    top = lexical.lexical_top(_index(spark, sf), _asked(spark, sf), bound=_words(spark, sf))
+    pages = lexical.with_words(adapters.document_turns(spark, sf).withColumn("m", mentions_of("text"))).select("id", "said")
+    asked = adapters.benchmark_queries(spark, sf).select("query_id", lexical.asked_stems(text.question_tokens(F.col("query"))).alias("asks"))
+    return top.join(pages, "id").join(asked, "query_id").select("query_id", "id", lexical.coverage(F.col("asks"), F.col("said")).cast("long").alias("covered"))
 
 
 @query("knn_cosine", """WITH r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)
@@ -277,16 +284,18 @@ def _(spark, sf):
     return claimed.select("query_id", "hit_id", "id", "side", F.col("dist").cast("long").alias("dist"))
 
 
-@query("names_mentioned", f"""WITH k AS (SELECT item_id, list_distinct({sql.norms()}) AS names FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark), p AS (SELECT id, {sql.norms('text')} AS ws FROM
- (SELECT conv_id*1000+turn AS id, text FROM conversations)) SELECT id, CAST(len(list_filter(names, lambda w: NOT list_contains(ws, w))) AS BIGINT) AS missing FROM p, n JOIN k ON k.item_id = p.id % n.n""")
+@query("names_mentioned", f"""WITH k AS (SELECT item_id, list_distinct({sql.norms()}) AS names FROM benchmark), kw AS (SELECT item_id, UNNEST(names) AS w FROM k),
+ p AS (SELECT id, UNNEST(list_distinct({sql.norms('text')})) AS w FROM (SELECT conv_id*1000+turn AS id, text FROM conversations)),
+ s AS (SELECT id, item_id, count(*) AS shared FROM p JOIN kw USING (w) GROUP BY 1, 2) SELECT id, item_id, len(names) - shared AS missing FROM s JOIN k USING (item_id)""")
 def _(spark, sf):
-    """Every turn against all words of the passage its id falls on."""
-    passages = adapters.table(spark, sf, "benchmark")
-    names = passages.select("item_id", F.array_distinct(text.normalised_words(F.col("text"))).alias("names"))
-    turns = adapters.conversation_turns(spark, sf).withColumn("item_id", F.col("id") % passages.count())
-    t = F.col("text")
-    lacks = rc.missing_names(F.col("names"), rc.word_line(t), F.lower(t))
-    return turns.join(names, "item_id").select("id", F.size(lacks).cast("long").alias("missing"))
+    """Every turn against the words of every passage that it shares a word with."""
+    passages = adapters.table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.normalised_words(F.col("text"))).alias("names"))
+    asked = passages.withColumn("asked", rc.name_words(F.col("names")))
+    turns = lexical.with_words(adapters.conversation_turns(spark, sf).withColumn("m", mentions_of("text"))).select("id", "words")
+    said = turns.select("id", F.explode("words").alias("w")).join(asked.select("item_id", F.explode("asked").alias("w")), "w")
+    shared = said.groupBy("id", "item_id").agg(F.collect_list("w").alias("words")).join(asked, "item_id")
+    lacks = rc.missing_names(F.col("names"), F.col("asked"), F.col("words"))
+    return shared.select("id", "item_id", F.size(lacks).cast("long").alias("missing"))
 
 
 # --- whole recalls -----------------------------------------------------------------------------------
