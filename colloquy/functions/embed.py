@@ -94,19 +94,31 @@ def hash_embed_fn(texts: list[str]) -> np.ndarray:
 
 def embed(
     df: DataFrame, embed_fn: EmbedFn = hash_embed_fn, *, text: str = "text", prefix: str = "", vec: str = "vec",
-    batch: int = EMBED_BATCH, chars: int | None = None,
+    batch: int = EMBED_BATCH, chars: int | None = None, lenient: bool = False,
 ) -> DataFrame:
     """Append unit vectors. `embed_fn` maps a list of texts to a matrix and is called in small batches.
 
-    Whole texts are embedded; `chars` cuts them for a model of the caller's that takes no more.
+    Whole texts are embedded; `chars` cuts them for a model of the caller's that takes no more. When lenient, a batch that `embed_fn` fails on
+    has null vectors instead of failing the job.
     """
 
+    def tried(texts: list[str]) -> np.ndarray | None:
+        try:
+            return np.asarray(embed_fn(texts), dtype=np.float32)
+        except Exception:
+            if not lenient:
+                raise
+            return None
+
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def vectors(column: pa.Array) -> pa.Array:
         texts = [prefix + ((t or "")[:chars] if chars else (t or "")) for t in column.to_pylist()]
-        out = [np.asarray(embed_fn(texts[i : i + batch]), dtype=np.float32) for i in range(0, len(texts), batch)]
-        flat = np.concatenate(out) if out else np.zeros((0, 1), np.float32)
-        ends = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1), pa.float32()))
+        parts = [texts[i : i + batch] for i in range(0, len(texts), batch)]
+        out = [(part, tried(part)) for part in parts]
+        found = [m for _, m in out if m is not None]
+        flat = np.concatenate(found) if found else np.zeros((0, 1), np.float32)
+        failed = np.concatenate([np.full(len(part), m is None) for part, m in out]) if out else np.zeros(0, bool)
+        ends = np.append(0, np.cumsum(~failed)).astype(np.int32) * flat.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1), pa.float32()), mask=pa.array(failed))
 
     return df.withColumn(vec, vectors(F.col(text)))

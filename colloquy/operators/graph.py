@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy import runtime
 from colloquy import schema as sc
+from colloquy.operators import clustered
 from colloquy.operators.ordered import top_n
 from colloquy.operators.pairs import key_sets, pair_counts
 
@@ -40,6 +41,42 @@ def apply_entity_rules(mentions: DataFrame, aliases: DataFrame, blocklist: DataF
     )
 
 
+@dataclass(frozen=True)
+class KeyIndex:
+    """Which turns mention a key: `rows` hold bucket, entity, id, session_id, ts, scope, one row per key and turn, clustered by key."""
+
+    rows: DataFrame
+    buckets: int
+
+
+def write_keys(entries: DataFrame, path: str, bucket_rows: int = clustered.BUCKET_ROWS) -> KeyIndex:
+    """Write the distinct keys of the entries' mentions (`m`) under `path`."""
+    keys = F.array_distinct(F.transform("m", lambda m: m["key"]))
+    buckets = clustered.buckets_for(entries.agg(F.sum(F.size(keys))).first()[0] or 0, bucket_rows)
+    said = entries.select(F.explode(keys).alias("entity"), "id", "session_id", "ts", "scope")
+    clustered.write(said.withColumn("bucket", clustered.bucket_of(F.col("entity"), buckets)), path, "entity", "id")
+    schema = "entity string, id long, session_id string, ts long, scope string, bucket int"
+    return KeyIndex(entries.sparkSession.read.schema(schema).parquet(path), buckets)
+
+
+def turns_of_keys(
+    index: KeyIndex, keys: DataFrame, aliases: DataFrame | None = None, blocklist: DataFrame | None = None, bound: int | None = None
+) -> DataFrame:
+    """The turns of `keys` (`entity, ...`), as `apply_entity_rules` would rewrite what was said: keys are turned back into the surfaces that mean them."""
+    if aliases is None and blocklist is None:
+        return clustered.lookup(index.rows, keys, "entity", index.buckets, bound)
+    if blocklist is not None:
+        keys = keys.join(runtime.small_side(blocklist.select("entity")), "entity", "left_anti")
+    said = keys
+    if aliases is not None:
+        closed = runtime.small_side(alias_closure(aliases).select(F.col("alias").alias("_said"), F.col("canonical").alias("entity")))
+        kept = keys.join(closed.select(F.col("_said").alias("entity")), "entity", "left_anti")
+        said = kept.unionByName(closed.join(keys, "entity").drop("entity").withColumnRenamed("_said", "entity"))
+    if blocklist is not None:
+        said = said.join(runtime.small_side(blocklist.select("entity")), "entity", "left_anti")
+    return clustered.lookup(index.rows, said, "entity", index.buckets).drop("entity").distinct()
+
+
 def entity_stats(mentions: DataFrame, turns: DataFrame) -> DataFrame:
     """Per key: distinct turns, kind, first and last mention. Hot keys shrink in the partial aggregate."""
     return (

@@ -20,12 +20,12 @@ from colloquy.functions import lexicon as lx
 from colloquy.functions import porter, text
 from colloquy.functions.embed import light_stem
 from colloquy.functions.mentions import without_technical
+from colloquy.operators import clustered
 from colloquy.operators.ordered import top_n
 
 _POSTINGS = T.ArrayType(sc.struct(term=T.StringType(), positions=T.ArrayType(T.IntegerType())))
 ANALYZERS = {"porter": porter.porter_terms, "light": text.index_terms}
-#: Postings a bucket is meant to hold, and the most buckets; what a question may see is decided by these columns of a turn.
-BUCKET_POSTINGS, MAX_BUCKETS = 250_000, 4_096
+#: What a question may see is decided by these columns of a turn.
 SEEN_BY = ("session_id", "ts", "scope")
 
 
@@ -81,33 +81,21 @@ class Index:
     buckets: int
     analyzer: str
 
-    def with_bucket(self, terms: DataFrame) -> DataFrame:
-        return terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-
-
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def _clustered(rows: DataFrame, path: str, *order: str) -> None:
-    """One folder per bucket, files sorted; a bucket that a frequent term fills becomes several files."""
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
-
 
 def _postings_schema(rows: DataFrame) -> T.StructType:
     return T.StructType([f for f in rows.schema.fields if f.name != "bucket"] + [T.StructField("bucket", T.IntegerType())])
 
 
-def write_index(entries: DataFrame, path: str, analyzer: str = "porter", bucket_postings: int = BUCKET_POSTINGS) -> Index:
+def write_index(entries: DataFrame, path: str, analyzer: str = "porter", bucket_postings: int = clustered.BUCKET_ROWS) -> Index:
     """Write the postings of `entries` (as `with_postings` leaves them) under `path`."""
     spark = entries.sparkSession
     n, length, count = entries.agg(F.count(F.lit(1)), F.sum("dl"), F.sum(F.size("postings"))).first()
-    buckets = max(1, min(MAX_BUCKETS, -(-(count or 0) // bucket_postings)))
+    buckets = clustered.buckets_for(count or 0, bucket_postings)
     carry = [c for c in SEEN_BY if c in entries.columns]
-    rows = postings(entries, *carry).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    _clustered(rows, f"{path}/postings", "term", "id")
+    rows = postings(entries, *carry).withColumn("bucket", clustered.bucket_of(F.col("term"), buckets))
+    clustered.write(rows, f"{path}/postings", "term", "id")
     stored = spark.read.schema(_postings_schema(rows)).parquet(f"{path}/postings")
-    _clustered(stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")), f"{path}/terms", "term")
+    clustered.write(stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")), f"{path}/terms", "term")
     size = spark.range(1).select(*[F.lit(v).cast(t).alias(k) for k, v, t in (
         ("n", n, "long"), ("avgdl", (length or 0) / n if n else 0.0, "double"), ("buckets", buckets, "int"), ("analyzer", analyzer, "string"), ("carry", ",".join(carry), "string"))])
     size.write.mode("overwrite").parquet(f"{path}/size")
@@ -174,11 +162,11 @@ def lexical_top(
     wanted = asked.select(key, *options, F.explode("phrases").alias("phrase"))
     phrases = numbered(wanted.select("phrase").distinct(), "phrase", "pn", bound)
     analysed = phrases.withColumn("terms", ANALYZERS[index.analyzer](F.col("phrase")))
-    vocabulary = index.with_bucket(analysed.select("pn", F.size("terms").alias("m"), F.posexplode("terms").alias("idx", "term")))
-    known = index.terms.join(small(vocabulary.where("m > 0")), ["bucket", "term"])
+    vocabulary = analysed.select("pn", F.size("terms").alias("m"), F.posexplode("terms").alias("idx", "term"))
+    known = clustered.lookup(index.terms, vocabulary, "term", index.buckets, bound)
 
     def read(some: str) -> DataFrame:
-        return index.rows.join(small(known.where(some)), ["bucket", "term"]).drop("bucket", "term")
+        return clustered.lookup(index.rows, known.where(some), "term", index.buckets, bound).drop("term")
 
     weight = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.lit(index.n), F.lit(index.avgdl))
     one = read("m = 1").withColumn("tf", F.size("positions")).select("id", *carry, "pn", weight.alias("w"))
@@ -188,7 +176,8 @@ def lexical_top(
     if marks is not None:
         weighed = weighed.join(runtime.small_side(marks), "id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
     per_query = wanted.join(small(phrases), "phrase").drop("phrase")
-    pairs = weighed.join(small(per_query), "pn")
+    # placed by turn before questions multiply the rows; sums per question and turn stay in that placement
+    pairs = runtime.place(weighed, "id").join(small(per_query), "pn")
     if reach is not None:
         pairs = pairs.where(reach)
     scored = pairs.groupBy(key, "id").agg(F.round(F.sum("w"), 9).alias("score"))
@@ -221,8 +210,9 @@ def with_words(turns: DataFrame) -> DataFrame:
     occurs), and `plain`, the same outside paths, symbols and env vars where `m` holds any of these. Narrow."""
     technical = F.exists("m", lambda x: x["kind"].isin("env", "path", "symbol"))
     rows = turns.withColumns({"_t": technical, "_bare": without_technical(F.when(technical, F.col("text")))})
-    words = F.array_distinct(_hashes(F.array_distinct(text.normalised_words(F.col("text")))))
-    return rows.withColumns({"words": words, "said": _said(F.col("text")), "plain": F.when(F.col("_t"), _said(F.col("_bare")))}).drop("_t", "_bare")
+    whole = F.coalesce("text", F.lit(""))
+    words = F.array_distinct(_hashes(F.array_distinct(text.normalised_words(whole))))
+    return rows.withColumns({"words": words, "said": _said(whole), "plain": F.when(F.col("_t"), _said(F.col("_bare")))}).drop("_t", "_bare")
 
 
 def asked_stems(tokens: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from colloquy.operators.ordered import top_n
 from colloquy.operators.sessions import stride_sample
 
 SCORE_DIGITS = 6
-#: Questions sent to every task in one go; a larger batch takes the shuffled path.
-MAX_BROADCAST_QUERIES = 4_096
+#: Questions sent to every task at once, and the questions and rows that are scored at once in a task.
+QUERY_BLOCK, QUERY_CELL, ROW_CELL = 4_096, 256, 4_096
 REACH = ("exclude_session", "session", "since", "until", "scope", "include_hidden")
 
 
@@ -41,125 +42,104 @@ def l2_normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
 
 
-def _reach_mask(rows: pd.DataFrame, q: dict) -> np.ndarray | None:
-    """Which rows a question may see; None when it may see all of them."""
-    tests = []
-    if q.get("exclude_session"):
-        tests.append(rows["session_id"] != q["exclude_session"])
-    if q.get("session"):
-        tests.append(rows["session_id"] == q["session"])
-    if q.get("since") is not None:
-        tests.append(rows["ts"] >= q["since"])
-    if q.get("until") is not None:
-        tests.append(rows["ts"] <= q["until"])
-    if (q.get("scope") or "").strip():
-        tests.append(rows["scope"] == q["scope"].strip())
-    if "hidden" in rows and not q.get("include_hidden"):
-        tests.append(~rows["hidden"].to_numpy(dtype=bool))
-    return np.logical_and.reduce([np.asarray(t) for t in tests]) if tests else None
-
-
-def _cut(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best `k` by score, ties to the higher id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= floor
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((-ids, -scores))[:k]
-    return scores[order], ids[order]
-
-
-class _Best:
-    """Running top-k per question over the batches of one task."""
-
-    def __init__(self, queries: list[dict], k: int, vec: bool) -> None:
-        self.queries, self.k = queries, k
-        self.best = [(np.empty(0), np.empty(0, np.int64)) for _ in queries]
-        self.matrix = (
-            np.stack([np.asarray(q["vec"], np.float64) for q in queries]).T if vec and queries else None
-        )
-
-    def add(self, ids: np.ndarray, scores: np.ndarray, rows: pd.DataFrame | None) -> None:
-        """`scores` is one column shared by all questions, or one column per question."""
-        for i, q in enumerate(self.queries):
-            column = scores if scores.ndim == 1 else scores[:, i]
-            mask = None if rows is None else _reach_mask(rows, q)
-            mine = (column, ids) if mask is None else (column[mask], ids[mask])
-            old = self.best[i]
-            found = _cut(*mine, self.k)
-            self.best[i] = _cut(np.concatenate([old[0], found[0]]), np.concatenate([old[1], found[1]]), self.k)
-
-    def rows(self) -> pd.DataFrame:
-        sizes = [len(b[0]) for b in self.best]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat([q["query_id"] for q in self.queries], sizes).astype(object),
-                "id": np.concatenate([b[1] for b in self.best]) if self.best else np.empty(0, np.int64),
-                "score": np.concatenate([b[0] for b in self.best]) if self.best else np.empty(0),
-            }
-        )
-
-
-def _scores(rows: pd.DataFrame, best: _Best, score_col: str) -> np.ndarray:
-    if best.matrix is None:
-        return rows[score_col].to_numpy(dtype=np.float64)
-    return np.round(np.stack(rows[score_col].to_numpy()).astype(np.float64) @ best.matrix, SCORE_DIGITS)
+_FOUND = pa.schema([("query_id", pa.string()), ("id", pa.int64()), ("score", pa.float64())])
+RESULT = "query_id string, id long, score double"
 
 
-RESULT = "query_id string, id long, score double"
+class _Block:
+    """A block of questions and the best `k` rows of each so far: greater scores first, then greater ids."""
+
+    def __init__(self, asked: pa.Table, k: int, by_vector: bool) -> None:
+        n = asked.num_rows
+        self.names, self.k = asked["query_id"], k
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+        self.matrix = np.stack(asked["vec"].to_pylist()).astype(np.float64) if by_vector and n else None
+        option = lambda c: asked[c].to_pylist() if c in asked.column_names else [None] * n
+        text = lambda c, bare=False: [v.strip() if bare and v else v for v in option(c)]
+        self.equal = {"session_id": (text("session"), True), "scope": (text("scope", True), True), "session_id ": (text("exclude_session"), False)}
+        bound = lambda c, none: np.asarray([none if v is None else v for v in option(c)], float)
+        self.since, self.until = bound("since", -np.inf), bound("until", np.inf)
+        self.all_seen = np.asarray([bool(v) for v in option("include_hidden")], bool)
+
+    def mask(self, rows: dict[str, np.ndarray], q: slice) -> np.ndarray | None:
+        """Which rows the questions `q` may see; None when all see all."""
+        tests = []
+        for column, (wanted, equal) in self.equal.items():
+            some, name = wanted[q], column.strip()
+            if name in rows and any(some):
+                same = np.stack([rows[name] == w if w else np.full(len(rows[name]), equal) for w in some])
+                tests.append(same if equal else ~same)
+        if "ts" in rows and (np.isfinite(self.since[q]).any() or np.isfinite(self.until[q]).any()):
+            tests.append((rows["ts"] >= self.since[q, None]) & (rows["ts"] <= self.until[q, None]))
+        if "hidden" in rows and rows["hidden"].any():
+            tests.append(~rows["hidden"] | self.all_seen[q, None])
+        return np.logical_and.reduce(tests) if tests else None
+
+    def add(self, ids: np.ndarray, values: np.ndarray, rows: dict[str, np.ndarray]) -> None:
+        """`values`: vectors, or one number per row that all questions share."""
+        for at in range(0, len(self.score), QUERY_CELL):
+            q = slice(at, min(at + QUERY_CELL, len(self.score)))
+            found = np.round(self.matrix[q] @ values.T, SCORE_DIGITS) if values.ndim == 2 else np.broadcast_to(values, (q.stop - q.start, len(values)))
+            seen = self.mask(rows, q)
+            if seen is not None:
+                found = np.where(seen, found, -np.inf)
+            floor = self.score[q, -1]
+            if found.shape[1] > self.k:
+                floor = np.maximum(floor, np.partition(found, -self.k, axis=1)[:, -self.k])
+            row, col = np.nonzero((found >= floor[:, None]) & (found > -np.inf))
+            if not len(row):
+                continue
+            old, place = np.nonzero(self.score[q] > -np.inf)
+            who = np.concatenate([row, old])
+            score, best = np.concatenate([found[row, col], self.score[q][old, place]]), np.concatenate([ids[col], self.id[q][old, place]])
+            order = np.lexsort((-best, -score, who))
+            rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+            order, rank = order[rank < self.k], rank[rank < self.k]
+            fresh_score, fresh_id = np.full(self.score[q].shape, -np.inf), np.full(self.id[q].shape, -1, np.int64)
+            fresh_score[who[order], rank], fresh_id[who[order], rank] = score[order], best[order]
+            self.score[q], self.id[q] = fresh_score, fresh_id
+
+    def rows(self) -> pa.RecordBatch:
+        row, place = np.nonzero(self.score > -np.inf)
+        names = self.names.combine_chunks() if isinstance(self.names, pa.ChunkedArray) else self.names
+        return pa.RecordBatch.from_arrays([names.take(pa.array(row)).cast(pa.string()), pa.array(self.id[row, place]), pa.array(self.score[row, place])], schema=_FOUND)
 
 
 def local_top_k(
-    items: DataFrame, queries: DataFrame, k: int, score: str, *, by_vector: bool,
-    max_queries: int = MAX_BROADCAST_QUERIES, slices: int | None = None,
+    items: DataFrame, queries: DataFrame, k: int, score: str, *, by_vector: bool, block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Top `k` items per question by (score desc, id desc), each question inside its own reach.
 
     `items`: `id`, `score` (a vector or a number), and whichever of `session_id, ts, scope, hidden` the reach
-    needs. Every task keeps a running best per question, so only k rows per task and question are shuffled.
-    A question batch that is too big to send to every task is cut into blocks, and items and blocks meet in a
-    cogroup keyed by item slice.
+    needs. Questions are cut into blocks by hash; each block is sent to the tasks of one scan of the items, which never move. A task scores cells of
+    `QUERY_CELL` x `ROW_CELL` by one product and keeps a running best per question, so only k rows per task and question are shuffled.
     """
     attrs = [c for c in ("session_id", "ts", "scope", "hidden") if c in items.columns and c != score]
     cols = list(dict.fromkeys(["id", score, *attrs]))
-    options = [c for c in REACH if c in queries.columns]
-    asked = queries.select("query_id", *(["vec"] if by_vector else []), *options)
-    head = asked.limit(max_queries + 1).toArrow().to_pylist()
-    if len(head) <= max_queries:
+    asked = queries.select("query_id", *(["vec"] if by_vector else []), *[F.col(c) for c in REACH if c in queries.columns])
+    if by_vector:
+        asked = asked.where(F.col("vec").isNotNull())
+    parts = max(1, -(-asked.count() // block))
+    dealt = lambda i: asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
 
+    def scan(head: pa.Table) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(head, k, by_vector)
+            best = _Block(head, k, by_vector)
             for batch in batches:
-                if not batch.num_rows or not head:
-                    continue
-                rows = batch.select([c for c in cols if c != score or not by_vector]).to_pandas()
-                ids = rows["id"].to_numpy(dtype=np.int64)
-                if by_vector:
-                    vectors = matrix_of(batch.column(batch.schema.get_field_index(score)), best.matrix.shape[0])
-                    scores = np.round(vectors.astype(np.float64) @ best.matrix, SCORE_DIGITS)
-                else:
-                    scores = rows[score].to_numpy(dtype=np.float64)
-                best.add(ids, scores, rows)
-            yield pa.RecordBatch.from_pandas(
-                best.rows(), schema=pa.schema([("query_id", pa.string()), ("id", pa.int64()), ("score", pa.float64())]),
-                preserve_index=False,
-            )
-
-        found = items.select(*cols).mapInArrow(run, RESULT)
-    else:
-        n = slices or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = items.select(*cols).withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(n)))
-        right = asked.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-
-        def meet(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-            block = block.astype(object).where(block.notna(), None).drop(columns="_slice")
-            best = _Best(block.to_dict("records"), k, by_vector)
-            if len(rows) and len(block):
-                best.add(rows["id"].to_numpy(dtype=np.int64), _scores(rows, best, score), rows)
-            return best.rows()
-
-        found = left.groupBy("_slice").cogroup(right.groupBy("_slice")).applyInPandas(meet, RESULT)
-    return top_n(found, ["query_id"], [F.col("score").desc(), F.col("id").desc()], k)
+                for at in range(0, batch.num_rows if head.num_rows else 0, ROW_CELL):
+                    part = batch.slice(at, ROW_CELL)
+                    column = lambda c, part=part: part.column(part.schema.get_field_index(c))
+                    rows = {c: column(c).to_numpy(zero_copy_only=False) for c in attrs}
+                    if "hidden" in rows:
+                        rows["hidden"] = rows["hidden"].astype(bool)
+                    values = matrix_of(column(score), best.matrix.shape[1]).astype(np.float64) if by_vector else column(score).to_numpy(zero_copy_only=False).astype(np.float64)
+                    best.add(column("id").to_numpy(), values, rows)
+            yield best.rows()
+
+        return items.select(*cols).mapInArrow(run, RESULT)
+
+    found = [scan(dealt(i).toArrow()) for i in range(parts)]
+    return top_n(reduce(DataFrame.union, found), ["query_id"], [F.col("score").desc(), F.col("id").desc()], k)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec", **kw: int) -> DataFrame:

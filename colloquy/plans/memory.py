@@ -28,25 +28,28 @@ class Memory:
     note_sources: DataFrame | None = None
     aliases: DataFrame | None = None
     blocklist: DataFrame | None = None
-    #: The postings on disk, clustered by term.
+    #: On disk: the postings clustered by term, and the turns of every key clustered by key.
     index: lexical.Index | None = None
+    keys: graph.KeyIndex | None = None
+    document_prefix: str = ""
+    query_prefix: str = ""
     _kept: list[DataFrame] = field(default_factory=list)
 
     @staticmethod
     def build(
         turns: DataFrame, *, analyzer: str = "porter", embed_fn: EmbedFn | None = hash_embed_fn, dense_fallback: bool = True,
         flags: DataFrame | None = None, note_sources: DataFrame | None = None, aliases: DataFrame | None = None,
-        blocklist: DataFrame | None = None, path: str | None = None,
+        blocklist: DataFrame | None = None, path: str | None = None, document_prefix: str = "", query_prefix: str = "",
     ) -> "Memory":
         """Derive the index. Turns with what was read from them are written under `path` and read back, or else kept in memory; postings
-        are always written, under `path` or a new work folder.
+        are always written, under `path` or a new work folder. The prefixes go before every text, or question, that is embedded.
 
         `flags` holds `id, hidden, superseded_by`; `note_sources` holds `note_id, turn_id`.
         """
         seen = runtime.spread_scan(turns).withColumn("m", mentions_of("text"))
         entries = lexical.with_words(lexical.with_postings(seen, analyzer))
         if embed_fn is not None:
-            entries = embed(entries, embed_fn)
+            entries = embed(entries, embed_fn, prefix=document_prefix)
         kept: list[DataFrame] = []
         spark = turns.sparkSession
         if path is not None:
@@ -56,8 +59,10 @@ class Memory:
             path = runtime.work_folder(spark, "index")
             entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(entries)
-        index = lexical.write_index(entries, path, analyzer)
-        return Memory(entries.drop("postings"), analyzer, embed_fn, dense_fallback, flags, note_sources, aliases, blocklist, index, kept)
+        index, keys = lexical.write_index(entries, path, analyzer), graph.write_keys(entries, f"{path}/keys")
+        return Memory(
+            entries.drop("postings"), analyzer, embed_fn, dense_fallback, flags, note_sources, aliases, blocklist, index, keys, document_prefix, query_prefix, kept
+        )
 
     def _keep(self, df: DataFrame) -> DataFrame:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -140,7 +140,7 @@ def profile(queries: DataFrame, memory: Memory, batch: Batch | None = None) -> D
     ).withColumn("names", names_of(F.col("entities"), F.col("measures")))
     out = full.drop("m", "shaped", "known", "measures")
     if memory.embed_fn is not None:
-        out = embed(out, memory.embed_fn)
+        out = embed(out, memory.embed_fn, prefix=memory.query_prefix, lenient=True)
     return out
 
 
@@ -151,7 +151,7 @@ def view_plan(asked: DataFrame, memory: Memory) -> DataFrame:
     runs = {
         "lexical": (F.size("tokens") > 0, w["lexical"]),
         "entity": (F.size("entities") > 0, w["entity"]),
-        "dense": (F.lit(memory.embed_fn is not None) & (F.col("text") != ""), dense),
+        "dense": ((F.col("text") != "") & F.col("vec").isNotNull() if memory.embed_fn is not None else F.lit(False), dense),
         "recent": (F.col("temporal") & ~F.col("past"), w["recent"]),
     }
     plans = F.array(*[F.when(on, F.struct(F.lit(v).alias("view"), F.lit(x).alias("weight"))) for v, (on, x) in runs.items()])
@@ -242,9 +242,11 @@ def entity_view(memory: Memory, asked: DataFrame, batch: Batch) -> DataFrame:
     both = batch.words + near_bound
     keys = lexical.numbered(own.select("entity").unionAll(beside.select("entity")).distinct(), "entity", "en", both)
     numbers = runtime.small_side(keys, bound=both)
-    source = memory.flagged if sight.carry else memory.entries
-    said = memory.mentions(*sight.carry, source=source).withColumnRenamed("turn_id", "id").join(numbers, "entity")
-    placed = runtime.place(said.select("id", "en", *sight.carry), "id").dropDuplicates(["id", "en"])
+    said = graph.turns_of_keys(memory.keys, keys, memory.aliases, memory.blocklist, both)
+    marks = sight.marks(memory)
+    if marks is not None:
+        said = said.join(runtime.small_side(marks), "id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
+    placed = runtime.place(said.select("id", "en", *sight.carry), "id")
     own_n, beside_n = own.join(numbers, "entity").drop("entity"), beside.join(numbers, "entity").drop("entity")
     direct = _mentioning(placed, own_n, 2 * sc.VIEW_LIMIT, batch.words, sight).withColumn("score", F.col("n").cast("double"))
     aside = _mentioning(placed, beside_n, 2 * sc.VIEW_LIMIT, near_bound, sight).withColumn("score", F.col("n") * sc.NEIGHBOUR_WEIGHT)
@@ -253,7 +255,8 @@ def entity_view(memory: Memory, asked: DataFrame, batch: Batch) -> DataFrame:
 
 
 def dense_view(memory: Memory, asked: DataFrame) -> DataFrame:
-    return vectors.knn(memory.flagged, asked, sc.VIEW_LIMIT).select("query_id", "id", "score")
+    """Nearest turns; questions that could not be embedded have none."""
+    return vectors.knn(memory.flagged, asked.where((F.col("text") != "") & F.col("vec").isNotNull()), sc.VIEW_LIMIT).select("query_id", "id", "score")
 
 
 def recent_view(memory: Memory, asked: DataFrame) -> DataFrame:
@@ -575,7 +578,7 @@ def recall(memory: Memory, queries: DataFrame, *, context: bool = False) -> Reca
 
 def _assemble(memory: Memory, kept: DataFrame, bound: int) -> DataFrame:
     ids = runtime.small_side(kept.select("id").distinct(), bound=bound)
-    keys = memory.mentions().join(ids.withColumnRenamed("id", "turn_id"), "turn_id", "left_semi").groupBy("turn_id").agg(
+    keys = memory.mentions(source=memory.entries.join(ids, "id", "left_semi")).groupBy("turn_id").agg(
         F.array_sort(F.collect_set("entity")).alias("entities")
     ).withColumnRenamed("turn_id", "id")
     out = kept.drop("missing", "names", "past", "top_k", "reason").join(runtime.small_side(keys, bound=bound), "id", "left").withColumn(

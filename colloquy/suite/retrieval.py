@@ -83,13 +83,36 @@ def _(spark, sf):
     return top.join(pages, "id").join(asked, "query_id").select("query_id", "id", lexical.coverage(F.col("asks"), F.col("said")).cast("long").alias("covered"))
 
 
+_M = f"{sql.TURNS}, {sql.mentions()}"
+
+
+@query("entity_view", f"""WITH {_M}, pairs AS (SELECT DISTINCT turn_id, entity FROM mentions),
+ edges AS (SELECT x.entity AS a, y.entity AS b, count(*) AS turns FROM pairs x JOIN pairs y ON x.turn_id = y.turn_id AND x.entity < y.entity GROUP BY 1, 2),
+ adj AS (SELECT a AS entity, b AS other, turns FROM edges UNION ALL SELECT b, a, turns FROM edges),
+ near AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY turns DESC, other) AS r FROM adj),
+ own AS (SELECT turn_id AS qn, entity FROM pairs WHERE turn_id % 20 = 0),
+ beside AS (SELECT qn, other AS entity FROM own JOIN near USING (entity) WHERE r <= 5 EXCEPT SELECT qn, entity FROM own),
+ d AS (SELECT qn, turn_id AS id, count(*) AS n FROM own JOIN pairs USING (entity) GROUP BY 1, 2),
+ a AS (SELECT qn, turn_id AS id, count(*) AS n FROM beside JOIN pairs USING (entity) GROUP BY 1, 2),
+ best AS (SELECT qn, id, CAST(n AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY n DESC, id DESC) AS r FROM d) WHERE r <= 100
+  UNION ALL SELECT qn, id, n * 0.3 FROM (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY n DESC, id DESC) AS r FROM a) WHERE r <= 100),
+ s AS (SELECT qn, id, round(sum(score), 9) AS score FROM best GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, id DESC) AS rank FROM s)
+ SELECT qn, id, round(score, 6) AS score FROM r WHERE rank <= 50""")
+def _(spark, sf):
+    """Every twentieth turn asked by the keys it mentions."""
+    memory = Memory.build(adapters.conversation_turns(spark, sf), analyzer="light", embed_fn=None)
+    asked = memory.entries.where("id % 20 = 0").select(F.col("id").alias("qn"), F.array_distinct(F.transform("m", lambda m: m["key"])).alias("entities"), "text")
+    batch = rc.Batch.of(asked.withColumnRenamed("text", "query"))
+    return rc.entity_view(memory, asked, batch).select("qn", "id", F.round("score", 6).alias("score"))
+
+
 @query("knn_cosine", """WITH r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)
  AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id DESC)
- AS rank FROM embeddings q JOIN embeddings v ON q.label = 3) SELECT 'v'||query_id AS query_id, id, round(score, 4) AS score, rank FROM r WHERE rank <= 10""")
+ AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0) SELECT 'v'||query_id AS query_id, id, round(score, 4) AS score, rank FROM r WHERE rank <= 10""")
 def _(spark, sf):
-    """Every vector of one label asked against all vectors."""
+    """Every twentieth vector asked against all vectors."""
     items = adapters.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    asked = items.where("label = 3").select(F.concat(F.lit("v"), "id").alias("query_id"), "vec")
+    asked = items.where("id % 20 = 0").select(F.concat(F.lit("v"), "id").alias("query_id"), "vec")
     return vectors.knn(items, asked, 10).withColumn("score", F.round("score", 4))
 
 

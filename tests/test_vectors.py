@@ -19,7 +19,7 @@ def test_blocks_of_questions_give_the_same_neighbours(spark):
         F.lit(None).cast("string").alias("exclude_session"), F.when(F.col("id") % 5 == 0, F.lit(40)).cast("long").alias("until"),
     )
     one = vectors.knn(rows, asked, 5)
-    many = vectors.knn(rows, asked, 5, max_queries=3, slices=4)
+    many = vectors.knn(rows, asked, 5, block=3)
     assert same(one, many) and one.count() > 0
     mine = one.where("query_id = 'q0'").join(rows.select("id", "session_id"), "id").collect()
     assert all(r.session_id == "s1" and r.id <= 40 for r in mine)
