@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy import runtime
 from colloquy.curation import fold
+from colloquy.functions import lexicon as lx
 from colloquy.functions import text
 from colloquy.functions.embed import embed, fnv1a_64, hash_embed
 from colloquy.functions.hashing import vector_digest
@@ -322,6 +323,78 @@ def _(spark, sf):
 
 
 # --- whole recalls -----------------------------------------------------------------------------------
+_NOT_NAMES = sql.quoted([*lx.MONTH_NUMBER, *lx.WEEKDAYS])
+_NOW = r"(^|[^\p{L}\p{N}])(?:" + "|".join(lx.TEMPORAL_CUES) + r")($|[^\p{L}\p{N}])"
+_TAIL = "string_split(n.entity, ' ')[-1]"
+#: Questions that hold no digit, path, symbol or historical cue, over turns of the same kind, with the light analyser and no vectors.
+_ASKED_TURNS = rf"""{sql.TURNS}, {sql.mentions()}, asked AS (SELECT id, 't'||id AS query_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS query FROM turns WHERE id % 20 = 0),
+ {sql.mentions('asked', 'qm', 'query')}, q AS (SELECT query_id, query, regexp_matches(lower(query), '{_NOW}') AS temporal FROM asked), latest AS (SELECT max(ts) AS t FROM turns)"""
+_ASKED_KEYS = f"""stats AS (SELECT entity, count(DISTINCT turn_id) AS n FROM mentions GROUP BY 1),
+ grams AS (SELECT DISTINCT query_id, key FROM (SELECT query_id, UNNEST(list_concat({sql.grams(4)}, list_concat({sql.grams(3)}, list_concat({sql.grams(2)}, {sql.grams(1)})))) AS key FROM q) WHERE length(key) >= 2),
+ ent AS (SELECT 't'||turn_id AS query_id, entity FROM qm UNION SELECT query_id, key FROM grams JOIN stats ON entity = key WHERE n <= greatest(1, floor(0.4 * (SELECT count(*) FROM turns)))),
+ named AS (SELECT * FROM ent WHERE entity NOT IN {_NOT_NAMES} AND regexp_matches(entity, '[^0-9-]')),
+ names AS (SELECT * FROM named a WHERE NOT EXISTS (SELECT 1 FROM named b WHERE b.query_id = a.query_id AND len(string_split(b.entity, ' ')) > len(string_split(a.entity, ' '))
+  AND list_has_all(string_split(b.entity, ' '), string_split(a.entity, ' '))))"""
+_VIEWS = f"""st AS (SELECT id, {sql.stems()} AS st FROM turns),
+ lexv AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY covered DESC, score DESC, id DESC) AS rank FROM (SELECT l.query_id, l.id, l.score,
+  count(*) FILTER (list_contains(st, term)) AS covered FROM lex l JOIN st USING (id) JOIN qterm t ON t.query_id = l.query_id WHERE rank <= 50 GROUP BY 1, 2, 3)),
+ pairs AS (SELECT DISTINCT turn_id, entity FROM mentions),
+ edges AS (SELECT x.entity AS a, y.entity AS b, count(*) AS turns FROM pairs x JOIN pairs y ON x.turn_id = y.turn_id AND x.entity < y.entity GROUP BY 1, 2),
+ adj AS (SELECT a AS entity, b AS other, turns FROM edges UNION ALL SELECT b, a, turns FROM edges),
+ near AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY turns DESC, other) AS r FROM adj),
+ beside AS (SELECT query_id, other AS entity FROM ent JOIN near USING (entity) WHERE r <= 5 EXCEPT SELECT query_id, entity FROM ent),
+ held AS (SELECT query_id, turn_id AS id, count(*) AS n, 1.0::DOUBLE AS w FROM ent JOIN pairs USING (entity) GROUP BY 1, 2 UNION ALL SELECT query_id, turn_id, count(*), 0.3 FROM beside JOIN pairs USING (entity) GROUP BY 1, 2),
+ most AS (SELECT *, row_number() OVER (PARTITION BY query_id, w ORDER BY n DESC, id DESC) AS r FROM held),
+ entv AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM (SELECT query_id, id, round(sum(n * w), 9) AS score FROM most WHERE r <= 100 GROUP BY 1, 2)),
+ recv AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, id DESC) AS rank FROM q JOIN turns ON temporal),
+ views AS (SELECT query_id, 1 AS place, 'lexical' AS view, 1.0 AS w, id, rank FROM lexv UNION ALL SELECT query_id, 2, 'entity', 0.5, id, rank FROM entv UNION ALL SELECT query_id, 4, 'recent', 0.2, id, rank FROM recv),
+ plan AS (SELECT query_id, sum(w) / 11 AS most FROM (SELECT DISTINCT query_id, 1.0 AS w FROM qterm UNION ALL SELECT DISTINCT query_id, 0.5 FROM ent UNION ALL SELECT query_id, 0.2 FROM q WHERE temporal) GROUP BY 1),
+ parts AS (SELECT query_id, id, sum(w / (10.0 + rank)) / max(most) AS part, string_agg(view, '+' ORDER BY place) AS sources FROM views JOIN plan USING (query_id) WHERE rank <= 50 GROUP BY 1, 2)"""
+_JUDGED = f"""tw AS (SELECT id, list_distinct({sql.norms()}) AS ws FROM turns),
+ lacks AS (SELECT p.query_id, p.id, count(*) AS names, count(*) FILTER (NOT (list_has_all(ws, string_split(n.entity, ' ')) OR (contains(n.entity, ' ') AND length({_TAIL}) >= 3
+  AND regexp_matches({_TAIL}, '[^0-9]') AND list_contains(ws, {_TAIL})))) AS missing FROM parts p JOIN names n USING (query_id) JOIN tw ON tw.id = p.id GROUP BY 1, 2),
+ fused AS (SELECT p.query_id, p.id, ts, uuid, sources, coalesce(names, 0) AS names, coalesce(missing, 0) AS missing,
+  round((part + CASE WHEN temporal THEN 0.3 ELSE 0.02 END * pow(0.5, greatest(t - ts, 0) / 2592000000.0)) * (1 - 0.3 * (CASE WHEN coalesce(names, 0) = 0 THEN 0 ELSE missing / names END)), 6) AS score
+  FROM parts p JOIN q ON q.query_id = p.query_id JOIN turns ON turns.id = p.id LEFT JOIN lacks l ON l.query_id = p.query_id AND l.id = p.id, latest),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, uuid) AS rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS confidence FROM fused),
+ head AS (SELECT query_id, names > 0 AND (missing > 0 OR score < 0.5) AS declined FROM ranked WHERE rank = 1)"""
+RECALL_SQL = f"""WITH {_ASKED_TURNS}, {_ASKED_KEYS}, {POSTINGS.replace('doc_id AS id', 'id').replace('documents', 'turns')}, {QT}, {SCORED}, {_VIEWS}, {_JUDGED}"""
+
+
+def _asked_turns(spark, sf) -> tuple[Memory, DataFrame]:
+    turns = adapters.conversation_turns(spark, sf)
+    memory = Memory.build(turns, analyzer="light", embed_fn=None)
+    return memory, turns.where("id % 20 = 0").select(F.concat(F.lit("t"), "id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("recall_turns", f"""{RECALL_SQL} SELECT query_id, rank, id, score, confidence, CASE WHEN confidence >= 0.7 AND NOT declined THEN 'primary' ELSE 'supporting' END AS role, sources
+ FROM ranked JOIN head USING (query_id) WHERE score > 0 AND rank <= 5 AND confidence >= 0.35 AND (NOT declined OR rank <= 2)""")
+def _(spark, sf):
+    """Every twentieth turn asked of all turns: profile, views, fusion, clock, names, calibration and abstention, end to end."""
+    evidence = rc.recall(*_asked_turns(spark, sf)).evidence
+    return evidence.select("query_id", "rank", "id", "score", "confidence", "role", F.array_join("sources", "+").alias("sources"))
+
+
+@query("recall_turns_profile", f"""WITH {_ASKED_TURNS}, {_ASKED_KEYS}, {QT} SELECT query_id, temporal, (SELECT count(*) FROM qterm t WHERE t.query_id = q.query_id) AS tokens,
+ coalesce((SELECT string_agg(entity, '|' ORDER BY entity) FROM ent e WHERE e.query_id = q.query_id), '') AS entities,
+ coalesce((SELECT string_agg(entity, '|' ORDER BY entity) FROM names n WHERE n.query_id = q.query_id), '') AS names FROM q""")
+def _(spark, sf):
+    """What is read from the same questions."""
+    memory, asked = _asked_turns(spark, sf)
+    read = rc.profile(asked, memory)
+    line = lambda c: F.array_join(F.array_sort(c), "|").alias(c)
+    return read.select("query_id", "temporal", F.size("tokens").cast("long").alias("tokens"), line("entities"), line("names"))
+
+
+@query("recall_turns_fused", f"{RECALL_SQL} SELECT query_id, id, score, sources, names - missing AS mentioned FROM fused")
+def _(spark, sf):
+    """Every candidate of the same questions before the cut, with the names its turn mentions."""
+    answer = rc.recall(*_asked_turns(spark, sf))
+    named = answer.profile.select("query_id", F.size("names").alias("n"))
+    rows = answer.fused.join(named, "query_id")
+    return rows.select("query_id", "id", "score", F.array_join("sources", "+").alias("sources"), F.round(F.when(F.col("n") > 0, F.col("anchor") * F.col("n")).otherwise(0)).cast("long").alias("mentioned"))
+
+
 @query("recall")
 def _(spark, sf):
     """Every benchmark passage asked of the documents, all views on."""

@@ -72,6 +72,14 @@ def name_key(surface: str) -> str:
     return f"array_to_string(list_filter({bare}, lambda w: w <> ''), ' ')"
 
 
+def grams(n: int, text: str = "query") -> str:
+    """Keys of the runs of `n` words that are not all stopwords."""
+    w = words(text)
+    spans = f"list_transform(range(1, len({w})-{n}+2), lambda i: list_slice({w}, i, i+{n}-1))"
+    useful = f"list_filter({spans}, lambda s: len(list_filter(s, lambda x: {norm('x')} NOT IN {STOP})) > 0)"
+    return f"list_transform({useful}, lambda s: {name_key('array_to_string(s, chr(32))')})"
+
+
 def mentions(turns: str = "turns", out: str = "mentions", text: str = "text", extra: str = "") -> str:
     """Name mentions of texts without digits or technical tokens, as CTEs ending in `out(turn_id, entity, kind)`."""
     not_name = quoted([*lx.MONTH_NUMBER, *lx.WEEKDAYS])

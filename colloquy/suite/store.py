@@ -323,16 +323,9 @@ def _(spark, sf):
     )
 
 
-def _grams(n: int) -> str:
-    w = sql.words("query")
-    spans = f"list_transform(range(1, len({w})-{n}+2), lambda i: list_slice({w}, i, i+{n}-1))"
-    useful = f"list_filter({spans}, lambda s: len(list_filter(s, lambda x: {sql.norm('x')} NOT IN {sql.STOP})) > 0)"
-    return f"list_transform({useful}, lambda s: {sql.name_key('array_to_string(s, chr(32))')})"
-
-
 @query("ngram_keys", f"""WITH q AS (SELECT 'b'||item_id AS query_id, trim(regexp_replace(text,
  '\\s+', ' ', 'g')) AS query FROM benchmark), k AS (SELECT DISTINCT query_id, key FROM (SELECT query_id,
- UNNEST(list_concat({_grams(4)}, list_concat({_grams(3)}, list_concat({_grams(2)}, {_grams(1)})))) AS key FROM q) WHERE length(key) >= 2)
+ UNNEST(list_concat({sql.grams(4)}, list_concat({sql.grams(3)}, list_concat({sql.grams(2)}, {sql.grams(1)})))) AS key FROM q) WHERE length(key) >= 2)
  SELECT * FROM k""")
 def _(spark, sf):
     asked = adapters.benchmark_queries(spark, sf)
