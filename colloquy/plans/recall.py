@@ -351,7 +351,7 @@ def calibrate(fused: DataFrame) -> DataFrame:
     ranked = fused.withColumns({"rank": F.row_number().over(mine), "_best": F.first("score").over(mine)}).where("_best > 0")
     confidence = F.round(F.col("score") / F.col("_best"), 6)
     reason = F.when(
-        F.col("rank") > F.col("top_k"), F.concat(F.lit("beyond top_k="), F.col("top_k"))
+        F.col("rank") > F.col("top_k"), F.concat(F.lit("more than asked for: "), F.col("top_k"))
     ).when(
         F.col("confidence") < sc.DROP_BELOW, F.format_string(f"confidence %.3f below {sc.DROP_BELOW}", F.col("confidence"))
     )
@@ -388,7 +388,7 @@ def _collapse_one(rows: pd.DataFrame) -> pd.DataFrame:
         if r.id in folded:
             return folded[r.id]
         if r.rank > top_k:
-            return f"beyond top_k={top_k}"
+            return f"more than asked for: {top_k}"
         return f"confidence {r.confidence:.3f} below {sc.DROP_BELOW}" if r.confidence < sc.DROP_BELOW else None
 
     out["reason"] = [why(r) for r in out.itertuples()]
@@ -429,7 +429,7 @@ def abstain(calibrated: DataFrame) -> DataFrame:
     return (
         rows.withColumn("abstained", verdict)
         .withColumn("role", F.when(F.col("abstained").isNotNull(), "supporting").otherwise(F.col("role")))
-        .withColumn("reason", F.when(cut, f"abstained: beyond the closest {sc.CLOSEST}").otherwise(F.col("reason")))
+        .withColumn("reason", F.when(cut, f"declined, only the nearest {sc.CLOSEST} stay").otherwise(F.col("reason")))
         .drop("_kept", "_head")
     )
 

@@ -102,7 +102,7 @@ def _named(turns: DataFrame) -> DataFrame:
 
 @query("exact_duplicates", f"""WITH {sql.DOC_TURNS}, n AS (SELECT id, md5(array_to_string({sql.norms()}, ' ')) AS digest, len({sql.content()}) AS c, {_NAMED_SQL} AS named FROM turns),
  r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY id) AS nth, min(id) OVER (PARTITION BY digest) AS first FROM n)
- SELECT id, nth - 1 AS earlier, first, 'same text as turn ' || first AS reason FROM r WHERE nth > 1 AND (c >= 4 OR named)""")
+ SELECT id, nth - 1 AS earlier, first, 'a copy; first said in turn ' || first AS reason FROM r WHERE nth > 1 AND (c >= 4 OR named)""")
 def _(spark, sf):
     turns = runtime.spread_scan(adapters.document_turns(spark, sf))
     return finders.exact_duplicates(turns, _named(turns), cutoff=CUT).select("id", "earlier", "first", "reason")
@@ -154,7 +154,7 @@ def _(spark, sf):
 
 @query("alias_candidates", f"""WITH {M}, {STATS}, {EDGES}, t AS (SELECT entity AS long, string_split(entity, ' ') AS t FROM stats WHERE contains(entity, ' ')),
  f AS (SELECT long, array_to_string(t[1:n], ' ') AS short, 'a prefix' AS how, 2*n AS o FROM t, UNNEST(range(1, len(t))) u(n) UNION ALL SELECT long, array_to_string(t[len(t)-n+1:], ' '), 'a suffix', 2*n+1 FROM t, UNNEST(range(1, len(t))) u(n)
-  UNION ALL SELECT long, array_to_string(list_transform(t, lambda w: left(w, 1)), ''), 'the initials', 1000000 FROM t),
+  UNION ALL SELECT long, array_to_string(list_transform(t, lambda w: left(w, 1)), ''), 'an acronym', 1000000 FROM t),
  p AS (SELECT short, long, arg_min(how, o) AS how FROM f WHERE length(short) >= 2 AND short IN (SELECT entity FROM stats) GROUP BY 1, 2),
  ss AS (SELECT DISTINCT entity, session_id FROM mentions JOIN turns ON id = turn_id), sn AS (SELECT entity, count(*) AS n FROM ss GROUP BY 1),
  sh AS (SELECT short, long, count(*) AS shared FROM p JOIN ss a ON a.entity = short JOIN ss b ON b.entity = long AND b.session_id = a.session_id GROUP BY 1, 2),

@@ -277,7 +277,7 @@ def _fused(spark, sf, names: bool = False) -> DataFrame:
 
 
 @query("calibrate", f"""WITH {_CAL} SELECT query_id, id, rank, round(score / best, 6) AS confidence, CASE WHEN round(score / best, 6) >= 0.7 THEN 'primary'
- ELSE 'supporting' END AS role, CASE WHEN rank > 20 THEN 'beyond top_k=20' WHEN round(score / best, 6) < 0.35
+ ELSE 'supporting' END AS role, CASE WHEN rank > 20 THEN 'more than asked for: 20' WHEN round(score / best, 6) < 0.35
  THEN 'confidence ' || printf('%.3f', round(score / best, 6)) || ' below 0.35' END AS reason FROM c""")
 def _(spark, sf):
     return rc.calibrate(_fused(spark, sf)).select("query_id", "id", "rank", "confidence", "role", "reason")
