@@ -98,7 +98,8 @@ def brief_of(turns: DataFrame, scope: str = "") -> DataFrame:
 
 
 def snapshot(
-    turns: DataFrame, mentions: DataFrame, stats: DataFrame, edges: DataFrame, segments: DataFrame, actions: DataFrame | None = None
+    turns: DataFrame, mentions: DataFrame, stats: DataFrame, edges: DataFrame, segments: DataFrame, actions: DataFrame | None = None,
+    vectors: DataFrame | None = None, note_sources: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Every table keyed by uuid instead of id, so that two stores can be compared row for row."""
     ids = turns.select("id", "uuid")
@@ -113,6 +114,11 @@ def snapshot(
             "session_id", "level", "start_ts", "end_ts", "first_uuid", "last_uuid", "turns", "entities"
         ),
     }
+    if vectors is not None:
+        out["vectors"] = vectors.join(ids, "id").drop("id")
+    if note_sources is not None:
+        notes = ids.withColumnsRenamed({"id": "note_id", "uuid": "note_uuid"})
+        out["note_sources"] = note_sources.join(notes, "note_id").join(ids.withColumnRenamed("id", "turn_id"), "turn_id").select("note_uuid", "uuid")
     if actions is not None:
         out["flags"] = fold.flags(actions)
         out["aliases"] = fold.aliases(actions).select("alias", "canonical")

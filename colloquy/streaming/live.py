@@ -31,7 +31,9 @@ class Store:
     def _read(self, name: str, before: int | None = None) -> DataFrame | None:
         try:
             df = self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as missing:  # a table that no batch has written yet; anything else is a fault of the store
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return None
         return df if before is None else df.where(F.col("batch") < before)
 

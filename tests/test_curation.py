@@ -123,6 +123,21 @@ def test_log_rows_fold_into_the_state_and_back(spark, turns, found):
             actions.undo(run, fewer, actor="keeper", now=7, **wrong)
 
 
+def test_snapshot_of_vectors_and_notes_goes_by_uuid(spark):
+    rows = [(i, f"w-{i}", "mess", "cook", "x", i, i, "turn", "") for i in (1, 2, 3)]
+    moved = [(i + 10, *r[1:]) for i, r in zip((1, 2, 3), rows)]
+    none = lambda spec: spark.createDataFrame([], spec)
+    empty = [none("turn_id long, start int, end int, entity string, kind string, surface string"), none("entity string, kind string, turns long, first_ts long, last_ts long"), none("a string, b string, turns long"),
+             none("session_id string, level string, start_ts long, end_ts long, first_turn_id long, last_turn_id long, turns long, entities array<string>")]
+    shots = []
+    for said, shift in ((rows, 0), (moved, 10)):
+        vectors = spark.createDataFrame([(1 + shift, "hash", [0.5, 0.5]), (3 + shift, "hash", [1.0, 0.0])], "id long, model string, vec array<double>")
+        notes = spark.createDataFrame([(3 + shift, 1 + shift), (3 + shift, 2 + shift)], "note_id long, turn_id long")
+        shots.append(reads.snapshot(spark.createDataFrame(said, sc.TURN), *empty, vectors=vectors, note_sources=notes))
+    assert {tuple(r) for r in shots[0]["note_sources"].collect()} == {("w-3", "w-1"), ("w-3", "w-2")} and shots[0]["vectors"].count() == 2
+    assert all(reads.same(shots[0][t], shots[1][t]) for t in ("turns", "vectors", "note_sources"))
+
+
 def test_runs_are_summed_up(spark):
     log = actions.append_log(spark.createDataFrame([], sc.ACTION_LOG), entries(spark, entry(0, "hide", turns=["a"]), entry(1, "hide", turns=["b"]), entry(2, "run_end", summary="two hidden", cursor=2)))
     run = reads.runs(log).first()
