@@ -4,9 +4,8 @@ A text's terms are its pairs of neighbouring words (the last word alone), weight
 `SAMPLES` numbers k a term draws r and c from the gamma distribution of shape 2 and b from [0, 1), all from two hashes of
 term and k; with t = floor(ln w / r + b) the term of least c exp(-r (t - b + 1)) is the sample. Two texts share a sample with the
 probability of their generalised Jaccard similarity, sum of least weights over sum of greatest. The least value is itself
-a function of term and t, so its hash stands for the sample. `samples` and `edited_samples` hold all of them, `like_edited` and
-`like_next` the share that agrees, with a standard error of sqrt(J (1 - J) / SAMPLES): 0.05 at J = 0.8. `fingerprint`,
-`edited_fingerprint`, `near_edited` and `near_next` are the same of the first `SHORT` alone, with twice that error.
+a function of term and t, so its hash stands for the sample. `near_edited` and `near_next` are the share of samples that agree, with a
+standard error of sqrt(J (1 - J) / SAMPLES): 0.05 at J = 0.8.
 
 `edited` replaces the last half of a text by the start of the next document in descending order of keys (after the last: the
 first). Rows with equal keys stay apart; where the next key has several, its least text counts. A null key comes last.
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.tables import stored
 
-#: Samples of a document, and those of its short fingerprint.
-SAMPLES, SHORT = 64, 16
+#: Samples of a document.
+SAMPLES = 64
 #: Bits of one half and of one third of a hash.
 HALF, THIRD = 0xFFFFFFFF, 0x1FFFFF
 #: Samples drawn by one row.
@@ -109,8 +108,7 @@ def likeness(a: str, b: str, samples: int = SAMPLES, width: int = 8) -> Column:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """Per document n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of the first `SHORT` samples;
-    samples, edited_samples, like_edited and like_next of all."""
+    """Per document n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     least = Window.partitionBy("_k").orderBy("text")
     joined = with_next(docs, key, text).withColumn("_row", F.row_number().over(least)).withColumn("_edited", edited())
     # both uses of `joined` read the same columns of its two exchanges, which then run once
@@ -122,17 +120,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     counts = rows.groupBy(*ids, F.col("_p.t").alias("_t")).agg(F.sum("_p.a").alias("_a"), F.sum("_p.b").alias("_b"))
     weights = counts.select(*ids, "_t", *(F.when(F.col(c) > 0, F.log(F.col(c).cast("double"))).alias(c) for c in ("_a", "_b")))
     found = sampled(weights, ids, {"_own": "_a", "_theirs": "_b"}, samples)
-    none = F.lit("0" * 8 * samples)
     # bytes on the way, digits in the result
+    found = found.select(*ids, *(F.unhex(c).alias(c) for c in ("_own", "_theirs")))
+    none = F.unhex(F.lit("0" * 8 * samples))
     own = joined.select(*ids, "n_chars", F.unhex(F.sha2("_edited", 256)).alias("_sha")).join(found, ids, "left")
-    own = own.withColumns({c: F.unhex(F.coalesce(c, none)) for c in ("_own", "_theirs")})
-    short = min(SHORT, samples)
-    counted = {"near_edited": likeness("_own", "_theirs", short, 4), "like_edited": likeness("_own", "_theirs", samples, 4)}
-    own = stored(own.withColumns(counted), "fingerprints")
+    own = own.withColumns({c: F.coalesce(c, none) for c in ("_own", "_theirs")})
+    own = stored(own.withColumn("near_edited", likeness("_own", "_theirs", samples, 4)), "fingerprints")
     following = own.where("_row = 1").select(F.col("_k").alias("next_k"), F.col("_own").alias("_following"))
-    out = own.join(following, "next_k").withColumns({"near_next": likeness("_own", "_following", short, 4), "like_next": likeness("_own", "_following", samples, 4)})
+    out = own.join(following, "next_k").withColumn("near_next", likeness("_own", "_following", samples, 4))
     shown = F.when(F.col("_k") != LOWEST, F.col("_k")).alias(key)
     digits = lambda c: F.lower(F.hex(c))
-    cut = lambda c: digits(F.substring(c, 1, 4 * short))
-    prints = [cut("_own").alias("fingerprint"), cut("_theirs").alias("edited_fingerprint"), "near_edited", "near_next"]
-    return out.select(shown, "n_chars", digits("_sha").alias("edited_sha256"), *prints, digits("_own").alias("samples"), digits("_theirs").alias("edited_samples"), "like_edited", "like_next")
+    prints = [digits("_own").alias("fingerprint"), digits("_theirs").alias("edited_fingerprint"), "near_edited", "near_next"]
+    return out.select(shown, "n_chars", digits("_sha").alias("edited_sha256"), *prints)

@@ -70,11 +70,11 @@ def test_fingerprint_query(spark):
         text, edited = want[r.doc_id]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint
-        alike = np.mean([r.fingerprint[i : i + 8] == r.edited_fingerprint[i : i + 8] for i in range(0, 128, 8)])
+        alike = np.mean([r.fingerprint[i : i + 8] == r.edited_fingerprint[i : i + 8] for i in range(0, 512, 8)])
         assert r.near_edited == alike
     order = sorted(rows, key=lambda r: -r.doc_id)
     for a, b in zip(order, order[1:] + order[:1]):
-        assert a.near_next == np.mean([a.fingerprint[i : i + 8] == b.fingerprint[i : i + 8] for i in range(0, 128, 8)])
+        assert a.near_next == np.mean([a.fingerprint[i : i + 8] == b.fingerprint[i : i + 8] for i in range(0, 512, 8)])
 
 
 def test_collision_rate_is_generalised_jaccard(spark):
@@ -91,7 +91,7 @@ def test_collision_rate_is_generalised_jaccard(spark):
 
 
 def test_production_samples_against_brute_force(spark):
-    """like_edited and like_next beside generalised Jaccard on documents: each within 4.5 standard errors of 64 draws, all together within 1.2."""
+    """near_edited and near_next beside generalised Jaccard on documents: each within 4.5 standard errors of 64 draws, all together within 1.2."""
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     texts = _edited(docs)
     order = sorted(texts, reverse=True)
@@ -107,8 +107,8 @@ def test_production_samples_against_brute_force(spark):
     off, expected = [], []
     for k, following in zip(order, order[1:] + order[:1]):
         own, r = terms(texts[k][0]), rows[k]
-        assert len(r.samples) == len(r.edited_samples) == 8 * 64 and r.samples.startswith(r.fingerprint)
-        for got, want in ((r.like_edited, jaccard(own, terms(texts[k][1]))), (r.like_next, jaccard(own, terms(texts[following][0])))):
+        assert len(r.fingerprint) == len(r.edited_fingerprint) == 8 * 64
+        for got, want in ((r.near_edited, jaccard(own, terms(texts[k][1]))), (r.near_next, jaccard(own, terms(texts[following][0])))):
             error = math.sqrt(want * (1 - want) / 64)
             assert abs(got - want) <= 4.5 * error + 1 / 64
             off.append((got - want) ** 2)
@@ -120,7 +120,7 @@ def test_fingerprints_of_odd_rows(spark, odd_docs):
     rows = fingerprints.fingerprints(odd_docs).collect()
     assert len(rows) == 9
     by = {r.doc_id: r for r in rows}
-    assert by[3].fingerprint == by[4].fingerprint == "0" * 128 and by[3].near_next == 0.0 and by[4].near_next == 1.0
+    assert by[3].fingerprint == by[4].fingerprint == "0" * 512 and by[3].near_next == 0.0 and by[4].near_next == 1.0
     assert by[1].fingerprint == by[2].fingerprint and by[2].near_next == 1.0 and by[None].n_chars == 5
     assert fingerprints.fingerprints(odd_docs.limit(0)).count() == 0
     one = fingerprints.fingerprints(odd_docs.where("doc_id = 1")).first()
