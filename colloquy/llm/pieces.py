@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from colloquy.llm.tables import Remembered, held, slices, texts_of
 
 SPACE = "▁"
+NO_PIECE = float("-inf")
 #: Words, and runs of joinable symbols, remembered in a Python worker.
 REMEMBERED = 600_000
+#: Symbols up to which the agenda is a plain list; beyond, a heap.
+SHORT = 16
 
 
 class PieceModel:
@@ -52,8 +55,20 @@ class PieceModel:
         self.differing = 0
 
     def agenda(self, symbols: list[str]) -> list[str]:
-        """Merge the best pair until none is a piece."""
+        """Merge the best pair until none is a piece: the greatest score first, the leftmost among equals."""
         scores, n = self.scores, len(symbols)
+        if n <= SHORT:
+            score = scores.get
+            waiting = [score(a + b, NO_PIECE) for a, b in zip(symbols, symbols[1:])]
+            while waiting and (best := max(waiting)) > NO_PIECE:
+                i = waiting.index(best)
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                del waiting[i]
+                if i < len(waiting):
+                    waiting[i] = score(symbols[i] + symbols[i + 1], NO_PIECE)
+                if i:
+                    waiting[i - 1] = score(symbols[i - 1] + symbols[i], NO_PIECE)
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = []
         for i in range(n - 1):
