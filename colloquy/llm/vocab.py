@@ -3,6 +3,9 @@
 Both published pipelines split a text before they merge: one drops white space, the other keeps a single space with the
 word behind it. Between two non-space characters a single space is therefore always a border, and encoding the words
 apart gives the ids of the whole text. Texts with other runs of white space are given to the library whole.
+
+New words go to the library many in one string, as a call for each costs more than its tokens. Where the space is kept, a word begins at each token
+that begins with one; where it is dropped, a control character stands between the words. If the number of parts is not the number of words, they are encoded one by one.
 """
 
 from __future__ import annotations
@@ -12,12 +15,15 @@ import os
 import re
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from colloquy.llm.tables import Remembered, held
 
 #: Words, and cores of words, remembered in a Python worker.
 REMEMBERED, CORES = 1_200_000, 900_000
+#: Words in one string for the library, and what stands between them where white space is dropped.
+RUN, MARK = 500, "\x01"
 #: A word of letters with marks behind it, in scripts whose case folding is one letter to one letter.
 CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|)*$%&#]*)")
 
@@ -30,6 +36,13 @@ class WordEncoder:
         rules = json.dumps(json.load(open(path))["pre_tokenizer"])
         self.drops_space = '"Removed"' in rules and '"invert": true' in rules
         self.keeps_space = json.loads(rules).get("type") == "ByteLevel" and json.loads(rules).get("use_regex", True) and not json.loads(rules).get("add_prefix_space", True)
+        self.opening = self.mark = None
+        if self.keeps_space:
+            vocabulary = self.library.get_vocab(with_added_tokens=True)
+            self.opening = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.opening[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        elif self.drops_space and len(mark := self.library.encode(MARK, add_special_tokens=False).ids) == 1:
+            self.mark = mark[0]
         self.words: dict[str, bytes] = Remembered(words)
         self.cores: dict[str, bytes] = Remembered(cores)
 
@@ -38,6 +51,31 @@ class WordEncoder:
             return []
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, asked for in strings of `RUN` words."""
+        if self.opening is not None:
+            fit = [len(w) > 1 and w.rfind(" ") == 0 and not w[1].isspace() and not w[-1].isspace() for w in words]
+        else:
+            fit = [self.mark is not None and MARK not in w for w in words]
+        together = [w for w, f in zip(words, fit) if f]
+        runs = [together[i : i + RUN] for i in range(0, len(together), RUN)]
+        between = "" if self.opening is not None else f" {MARK} "
+        found = dict(zip((odd := [w for w, f in zip(words, fit) if not f]), self.ids(odd), strict=True))
+        for run, e in zip(runs, self.library.encode_batch_fast([between.join(r) for r in runs], add_special_tokens=False) if runs else (), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            if self.opening is not None:
+                starts = np.flatnonzero(self.opening[ids])
+                ends, fits = np.append(starts[1:], len(ids)), len(starts) == len(run) and starts[0] == 0
+            else:
+                marks = np.flatnonzero(ids == self.mark)
+                starts, ends, fits = np.append(0, marks + 1), np.append(marks, len(ids)), len(marks) == len(run) - 1
+            if fits:
+                raw = ids.tobytes()
+                found.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(run, starts.tolist(), ends.tolist(), strict=True))
+            else:
+                found.update(zip(run, self.ids(run), strict=True))
+        return [found[w] for w in words]
+
     def learn(self, words: set[str]) -> None:
         """Encode new words; a word with marks behind it is put together from the two."""
         new = self.words.missing(words)
@@ -51,9 +89,9 @@ class WordEncoder:
                 parts.append((word, lead + (core.lower() if self.drops_space else core), marks))
             else:
                 whole.append(word)
-        self.words.update(zip(whole, self.ids([lead + w for w in whole]), strict=True))
+        self.words.update(zip(whole, self.apart([lead + w for w in whole]), strict=True))
         cores = list(self.cores.missing({c for _, a, b in parts for c in (a, b)}))
-        self.cores.update(zip(cores, self.ids(cores), strict=True))
+        self.cores.update(zip(cores, self.apart(cores), strict=True))
         cores = self.cores
         self.words.update((w, cores[a] + cores[b]) for w, a, b in parts)
 
