@@ -36,16 +36,6 @@ def test_words_apart_give_the_ids_of_the_whole(text):
 ENCODERS: dict = {}
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(TEXT | st.sampled_from(["\x01", "a\x01", "İ", "ß.", "don't", "é", "e\u0301", "\u0301"]), max_size=40))
-def test_words_joined_give_the_ids_of_each(texts):
-    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        encoder = ENCODERS.setdefault(name, None) or WordEncoder(__import__("public_tokenizers").path(name))
-        ENCODERS[name] = encoder
-        words = sorted({encoder.keeps_space * " " + w for t in texts for w in t.replace("\n", " ").split(" ")} | {w for t in texts for w in t.split(" ")})
-        assert encoder.apart(words) == encoder.ids(words)
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcdelnorst", min_size=2, max_size=40))
 def test_agenda_as_list_and_as_heap(run):
