@@ -144,3 +144,25 @@ def test_runs_are_summed_up(spark):
     assert (run.actions, run.undone, run.summary, run.finished) == (3, 0, "two hidden", True)
     shut, _ = actions.undo(log, spark.createDataFrame([], sc.TURN), actor="keeper", now=9, action_id=2)
     assert reads.runs(shut).first().undone == 1 and log.where(F.col("undone_at").isNotNull()).isEmpty()
+
+
+def test_supersession_across_spans_matches_every_pair_of_positions(spark, monkeypatch):
+    """Turns in many small spans, some at the same instant: as when all positions were joined one by one."""
+    many = yard(spark, [("log", f"Every month the Marigold pays ${i + 1}k for its mooring at the pier.") for i in range(90)], HOUR)
+    many = many.withColumn("ts", F.col("ts") - F.col("id") % 3 * HOUR)
+    found = extract_mentions(many)
+    seen = []
+    place = finders.runtime.place
+    monkeypatch.setattr(finders.runtime, "place", lambda df, *keys: seen.append(df) or place(df, *keys))
+    monkeypatch.setattr(finders, "SPAN", 7)
+    got = {r.id: r.turns for r in finders.supersession(many, found, cutoff=LATE).collect()}
+    at = {r.id: r.ts for r in many.collect()}
+    order = sorted(at, key=lambda i: (at[i], i))
+    want = {}
+    for i in order:
+        earlier = [j for j in reversed(order) if j != i and at[j] <= at[i]][:30]
+        if earlier:
+            want[i] = sorted(sorted(earlier, reverse=True)[:5], key=lambda j: (at[j], j))
+    assert got == want
+    # what a turn says travels once per span it reaches, not once per earlier turn
+    assert seen and seen[0].count() < 90 * 2 * (30 // 7 + 3)
