@@ -5,12 +5,13 @@ import struct
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colloquy.functions import dates, embed, hashing, text
+from colloquy.functions import dates, embed, hashing, mentions, text
 from colloquy.functions.mentions import find_mentions
 from colloquy.functions.period import read_period
 from colloquy.functions.porter import porter, terms
@@ -179,3 +180,19 @@ def test_fnv_follows_its_definition():
     for byte in "Øre".encode():
         value = (value ^ byte) * 0x100000001B3 % (1 << 64)
     assert embed.fnv1a("Øre".encode()) == value
+
+
+def test_long_batches_are_read_in_short_runs(spark, monkeypatch):
+    """However many rows a batch has, few texts are Python objects at once; results are those of the whole batch."""
+    from colloquy.functions import slices
+
+    texts = pa.array([f"Odile Brandt met crew {i} of the Marigold on 2024-05-01." if i % 7 else None for i in range(500)])
+    monkeypatch.setattr(slices, "SLICE_BYTES", 1_000)
+    seen = []
+
+    def work(part):
+        seen.append(len(part))
+        return mentions._mention_lists(part)
+
+    assert slices.in_slices(work, texts).equals(mentions._mention_lists(texts)) and max(seen) < 30 and sum(seen) == 500
+    assert slices.in_slices(work, texts.slice(0, 0)).type == mentions._mention_lists(texts).type
