@@ -7,6 +7,7 @@ from colloquy import schema as sc
 from colloquy.plans import recall as rc
 from colloquy.plans.memory import Memory
 
+SF = "/root/testdata/sf0.001"
 DAY = sc.DAY_MS
 #: 2031-01-01.
 YEAR = 22_280 * DAY
@@ -127,3 +128,33 @@ def test_turns_on_a_cycle_count_half_and_hand_nothing_over(spark):
     for r in before["q"]:
         if r.uuid in ("p-odd", "p-eve") and r.uuid in half:
             assert half[r.uuid] < r.score
+
+
+def test_a_batch_too_large_to_broadcast_gives_the_same_answers(spark, monkeypatch):
+    from colloquy import runtime
+    from colloquy.operators import shared
+    from colloquy.suite import QUERIES
+
+    names = ("entity_view", "recall_turns_fused")
+    plain = {n: QUERIES[n](spark, SF).collect() for n in names}
+    grids = []
+    met = shared.top_shared
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "top_shared", lambda *a, **kw: grids.append(1) or met(*a, **kw, turn_block=400, question_block=400))
+    for name in names:
+        assert sorted(QUERIES[name](spark, SF).collect()) == sorted(plain[name]) and plain[name]
+    assert len(grids) == 3
+
+
+def test_questions_meet_turns_in_blocks_and_ties_go_to_the_greater_id(spark):
+    from colloquy.operators import shared
+    from colloquy.operators.ordered import top_n
+
+    said = spark.range(300).selectExpr("id", "explode(array('a', concat('b', id % 7), concat('c', id % 3))) AS word").selectExpr("id", "word", "1.0 AS w")
+    asked = spark.range(40).selectExpr("id AS qn", "explode(array(concat('b', id % 9), concat('c', id % 4), 'a')) AS word")
+    plain = said.join(asked, "word").groupBy("qn", "id").agg(F.sum("w").cast("double").alias("score"))
+    order = [F.col("score").desc(), F.col("id").desc()]
+    want = {tuple(r) for r in top_n(plain, ["qn"], order, 5).select("qn", "id", "score").collect()}
+    met = shared.top_shared(said, asked, 5, turns=300, questions=40, turn_block=100, question_block=20)
+    assert {tuple(r) for r in top_n(met, ["qn"], order, 5).select("qn", "id", "score").collect()} == want
+    assert met.count() < plain.count()
