@@ -196,3 +196,17 @@ def test_long_batches_are_read_in_short_runs(spark, monkeypatch):
 
     assert slices.in_slices(work, texts).equals(mentions._mention_lists(texts)) and max(seen) < 30 and sum(seen) == 500
     assert slices.in_slices(work, texts.slice(0, 0)).type == mentions._mention_lists(texts).type
+
+
+def test_long_texts_are_embedded_a_few_at_a_time_and_partitions_follow_the_rows(spark):
+    import numpy as np
+
+    from colloquy import runtime
+    from colloquy.functions.embed import embed
+
+    rows = spark.range(12, numPartitions=1).selectExpr("id", "repeat('word ', 60000) AS text")
+    sizes = embed(rows, lambda texts: np.full((len(texts), 1), float(len(texts)), np.float32)).collect()
+    assert len(sizes) == 12 and all(1 <= r.vec[0] <= 4 for r in sizes)
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    n = table.count()
+    assert runtime.spread_scan(table, 2).rdd.getNumPartitions() == -(-n // 2) and runtime.spread_scan(table, 2).count() == n
