@@ -50,3 +50,22 @@ def test_blocked_pairs_equal_plain_ones(spark):
     rows = adapters.table(spark, SF, "lineitem").select(F.col("l_suppkey").alias("turn_id"), F.col("l_partkey").alias("entity"))
     sets = pairs.key_sets(rows)
     assert same(pairs.pair_counts(sets, 1_000_000), pairs.pair_counts(sets, 7))
+
+
+def test_near_duplicates_keep_the_nearest_when_far_more_pass_the_bound(spark):
+    rng = np.random.default_rng(11)
+    data = []
+    for i in range(400):
+        v = rng.normal(size=8) + 1.0
+        if i % 5 == 0 and data:
+            v = np.asarray(data[rng.integers(len(data))][1])
+        data.append((int(i * 3 % 401), [float(x) for x in (v / np.linalg.norm(v)).astype(np.float32)]))
+    df = spark.createDataFrame(data, "id long, vec array<float>")
+    data.sort()
+    m = np.array([d[1] for d in data], dtype=np.float64)
+    cos = np.round(m @ m.T, 6)
+    want = set()
+    for i in range(len(data)):
+        found = sorted(((cos[i, j], data[j][0]) for j in range(i) if cos[i, j] >= 0.2), key=lambda x: (-x[0], -x[1]))[:4]
+        want |= {(data[i][0], other, rank + 1) for rank, (_, other) in enumerate(found)}
+    assert {(r.id, r.earlier, r["rank"]) for r in vectors.near_duplicates(df, 0.2, pivots=2, block=64).collect()} == want
