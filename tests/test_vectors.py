@@ -69,3 +69,14 @@ def test_near_duplicates_keep_the_nearest_when_far_more_pass_the_bound(spark):
         found = sorted(((cos[i, j], data[j][0]) for j in range(i) if cos[i, j] >= 0.2), key=lambda x: (-x[0], -x[1]))[:4]
         want |= {(data[i][0], other, rank + 1) for rank, (_, other) in enumerate(found)}
     assert {(r.id, r.earlier, r["rank"]) for r in vectors.near_duplicates(df, 0.2, pivots=2, block=64).collect()} == want
+
+
+def test_pairs_counted_by_parts_equal_plain_ones_and_no_pair_is_shuffled(spark):
+    rows = adapters.table(spark, SF, "lineitem").select(F.col("l_suppkey").alias("turn_id"), F.col("l_partkey").alias("entity"))
+    for some in (rows, rows.withColumn("entity", F.concat(F.lit("é"), F.col("entity").cast("string")))):
+        sets = pairs.key_sets(some)
+        plain = pairs.pair_counts(sets)
+        for options in ({}, {"parts": 3, "held": 500}):
+            assert same(pairs.pair_counts_by_parts(sets, **options), plain)
+    empty = pairs.key_sets(rows.where("false"))
+    assert pairs.pair_counts_by_parts(empty).count() == 0
