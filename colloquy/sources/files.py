@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from colloquy import schema as sc
 from colloquy.functions import dates
 from colloquy.operators.ingest import SCOPE_MAX_CHARS, reject_reason
-from colloquy.operators.ordered import Ordered
+from colloquy.operators.ordered import Ordered, numbered
 
 TURN_GAP_MS = 60_000
 
@@ -168,8 +168,7 @@ def import_qa(items: DataFrame) -> Corpus:
 
 def read_qa(spark: SparkSession, path: str, per_line: bool = False) -> Corpus:
     """A JSON array of questions, which one task reads; `per_line` takes one question a line instead, split at will."""
-    items = spark.read.schema(QA_ITEM).option("multiLine", not per_line).json(path).withColumn("_row", F.monotonically_increasing_id())
-    return import_qa(Ordered.of(items, [], ["_row"]).rank("_n").done().withColumn("n", F.col("_n") - 1).drop("_n", "_row"))
+    return import_qa(numbered(spark.read.schema(QA_ITEM).option("multiLine", not per_line).json(path), "n"))
 
 
 def read_corpus(spark: SparkSession, folder: str) -> Corpus:
