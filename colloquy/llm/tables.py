@@ -53,10 +53,11 @@ class Remembered(dict):
         if len(self) > self.limit // 2:
             self.older = dict(self)
             self.clear()
-        new = keys.difference(self)
-        found = new.intersection(self.older)
-        self.update((k, self.older[k]) for k in found)
-        return new - found
+        # set operations would walk through all that is remembered, not through what is asked
+        new, older = {k for k in keys if k not in self}, self.older
+        found = {k for k in new if k in older}
+        self.update((k, older[k]) for k in found)
+        return new - found if found else new
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -12,14 +12,25 @@ import os
 import re
 from array import array
 
-from tokenizers import Tokenizer
+import numpy as np
+from tokenizers import Tokenizer, pre_tokenizers
 
 from colloquy.llm.tables import Remembered, held
 
 #: Words, and cores of words, remembered in a Python worker.
 REMEMBERED, CORES = 1_200_000, 900_000
 #: A word of letters with marks behind it, in scripts whose case folding is one letter to one letter.
-CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|)*$%&#]*)")
+MARKS = ".,:;!?|)*$%&#"
+CORE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Cores given to the library in one string, and how many of the first ones are encoded both ways before that is relied on.
+JOINED, TRIED = 2_000, 200
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordEncoder:
@@ -32,30 +43,70 @@ class WordEncoder:
         self.keeps_space = json.loads(rules).get("type") == "ByteLevel" and json.loads(rules).get("use_regex", True) and not json.loads(rules).get("add_prefix_space", True)
         self.words: dict[str, bytes] = Remembered(words)
         self.cores: dict[str, bytes] = Remembered(cores)
+        self.bare = None
+        if '"ByteLevel"' in rules and (self.drops_space or self.keeps_space):
+            self.bare = Tokenizer(self.library.model)  # the same merges without the rules that split and fold a text: cores are split and folded
+            self.letters, self.tried = byte_letters(), False
+            self.bare.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
+            border = self.bare.encode(self.letters[10]).ids
+            self.border, self.bare = border[0] if border else None, self.bare if len(border) == 1 else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def core_ids(self, cores: list[str]) -> list[bytes]:
+        """Ids of runs of letters (behind one space at most): many in a string, with line feeds between them, which no core holds."""
+        if cores and self.bare and not self.tried:
+            some, self.tried = cores[:TRIED], True
+            if self._joined(some) != self.ids(some):
+                self.bare = None
+        if not self.bare:
+            return self.ids(cores)
+        return [x for i in range(0, len(cores), JOINED) for x in self._joined(cores[i : i + JOINED])]
+
+    def _joined(self, cores: list[str]) -> list[bytes]:
+        found = self.bare.encode_batch_fast(["\n".join(cores).encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        ends, raw = 4 * np.flatnonzero(ids == self.border), ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]
+
     def learn(self, words: set[str]) -> None:
-        """Encode new words; a word with marks behind it is put together from the two."""
+        """Encode new words; a word with marks behind it, and words with a line feed between them, are put together from their parts."""
         new = self.words.missing(words)
         lead = "" if self.drops_space else " "
-        whole, parts = [], []
+        whole, short, long = [], [], []
         for word in new:
-            if self.keeps_space and (not word or word != word.strip()):
+            core = word.rstrip(MARKS)
+            if core.isalpha() and core.isascii() or CORE.fullmatch(core):
+                short.append((word, lead + (core.lower() if self.drops_space else core), word[len(core) :]))
+            elif self.keeps_space and (not word or word != word.strip()):
                 continue  # next to other white space: left to the whole text
-            if match := CORE.fullmatch(word):
-                core, marks = match.groups()
-                parts.append((word, lead + (core.lower() if self.drops_space else core), marks))
+            elif self.keeps_space and "\n" in word and (parts := self.lines(word)):
+                long.append((word, parts))
             else:
                 whole.append(word)
         self.words.update(zip(whole, self.ids([lead + w for w in whole]), strict=True))
-        cores = list(self.cores.missing({c for _, a, b in parts for c in (a, b)}))
-        self.cores.update(zip(cores, self.ids(cores), strict=True))
+        asked = {c for _, c, _ in short}.union((m for _, _, m in short), *(p for _, p in long))
+        unknown = self.cores.missing(asked)  # asked once, as asking may forget what was not asked
+        cores, marks = [c for c in unknown if c[-1:].isalpha()], [c for c in unknown if not c[-1:].isalpha()]
+        self.cores.update(zip(cores, self.core_ids(cores), strict=True))
+        self.cores.update(zip(marks, self.ids(marks), strict=True))
         cores = self.cores
-        self.words.update((w, cores[a] + cores[b]) for w, a, b in parts)
+        self.words.update((w, cores[a] + cores[b]) for w, a, b in short)
+        self.words.update((w, b"".join(map(cores.__getitem__, p))) for w, p in long)
+
+    @staticmethod
+    def lines(word: str) -> list[str]:
+        """Core, marks, line feed, core, marks, and so on; nothing if a line is not a core with marks. Only the first has a space before it."""
+        parts: list[str] = []
+        for line in word.split("\n"):
+            core = line.rstrip(MARKS)
+            if not CORE.fullmatch(core):
+                return []
+            parts += ["\n", core, line[len(core) :]] if parts else [" " + core, line[len(core) :]]
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -1,14 +1,17 @@
 import hashlib
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from colloquy.llm import packing, pieces, suite, wavelet
+from colloquy.llm.tables import Remembered
 from colloquy.llm.vocab import WordEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -168,3 +171,24 @@ def test_solver_holds_the_histogram_and_stays_near_the_bound():
                 held[size] += times
         assert held == histogram
         assert sum(plan.values()) <= 1.02 * sum(k * v for k, v in histogram.items()) / 512 + 2
+
+
+def test_words_are_put_together_as_the_library_encodes_them():
+    """op6, op10: cores in joined strings, words around a line feed from their parts, and lookups that do not walk through all that is remembered."""
+    texts = ["Éa b.\nThe end", "a\n\nb c.\n d", "ÀÖØß ÿ,.;\nX\nYz!! q", "1a b2 don't I'LL\nno", "ª º µ × a÷b\nc", "", " a", "x \ny", "日本 a\nb", "<|endoftext|> a", "a\nb.\nc,,\nd e"] * 2
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e, few = WordEncoder(public_tokenizers.path(name)), WordEncoder(public_tokenizers.path(name), 4, 4)
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        library.encode_special_tokens = True
+        want = [array("I", x.ids).tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert [few.encode([t])[0] for t in texts] == want  # forgets all the time
+        assert e.encode(texts) == want and e.core_ids(["ab"]) == e.ids(["ab"]) and e.bare is not None
+    assert WordEncoder.lines("a.\nb\nc!") == [" a", ".", "\n", "b", "", "\n", "c", "!"] and WordEncoder.lines("a\n1") == []
+
+    class Counted(Remembered):
+        def __iter__(self):
+            raise AssertionError("walks through all that is remembered")
+
+    known = Counted(100)
+    known.update({"a": b"1"})
+    assert known.missing({"a", "b"}) == {"b"}
