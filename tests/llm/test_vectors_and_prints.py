@@ -130,3 +130,17 @@ def test_fingerprints_of_odd_rows(spark, odd_docs):
 def test_fingerprints_run_no_python(spark, capsys):
     fingerprints.fingerprints(spark.read.parquet(f"{SMALL}/documents.parquet")).explain()
     assert not any(word in capsys.readouterr().out for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_samples_are_least_draws_of_copies(spark):
+    """op9: two samples a hash, no logarithm per term and sample; a copy's draw is the same in every text."""
+    counts = spark.createDataFrame([(1, 3, 2, 5), (1, 4, 0, 1)], "k long, _t long, a int, b int")
+    found = fingerprints.drawn(counts, ["k"], ["a", "b"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "ln(" not in plan and "log(" not in plan
+    r = found.first()
+    hashed = {(t, c, i): spark.sql(f"SELECT xxhash64(xxhash64({t}L, {c}) ^ ({i}L << 48))").first()[0] % (1 << 64) for t, n in ((3, 5), (4, 1)) for c in range(1, n + 1) for i in range(2)}
+    for i in range(2):
+        for shift, at in ((32, 2 * i), (0, 2 * i + 1)):
+            draw = lambda t, n: [hashed[t, c, i] >> shift & 0xFFFFFFFF for c in range(1, n + 1)]  # noqa: E731, B023
+            assert r.a[8 * at : 8 * at + 8] == f"{min(draw(3, 2)):08x}" and r.b[8 * at : 8 * at + 8] == f"{min(draw(3, 5) + draw(4, 1)):08x}"
