@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.tables import slices, stored, texts_of
+from colloquy.llm.tables import settle, slices, stored, texts_of
 from colloquy.llm.vocab import encoder
 
 CAPACITY = 2048
 #: Words and cores of words that a Python worker remembers, and how many behind other stages.
-REMEMBERED, BEHIND_OTHERS = (1_000_000, 700_000), (300_000, 400_000)
+REMEMBERED, BEHIND_OTHERS = (1_000_000, 700_000), (120_000, 160_000)
+#: Bytes of text taken at once, and behind other stages.
+TEXT_BYTES, TEXT_BYTES_BEHIND = 4 << 20, 1 << 20
 #: Rounds of multiplicative weights.
 ROUNDS = 400
 
@@ -128,15 +130,16 @@ def assignments(plan: Counter) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end: int = 0, keep_ids: bool = True, remember: tuple[int, int] = REMEMBERED) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end: int = 0, keep_ids: bool = True, remember: tuple[int, int] = REMEMBERED, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Each document's ids and an end id, cut only where longer than `capacity`."""
     kept = docs.select(key, text)
     kind = kept.schema[key].dataType.simpleString()
     tail = ", ids array<int>" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()  # what a stage before this one left in the worker
         encode, closing = encoder(vocabulary, *remember), np.asarray([end], "<u4").tobytes()
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, text_bytes):
             rows, number, starts, lengths, sums, ids = [], [], [], [], [], []
             for i, packed in enumerate(encode.encode(texts_of(batch, text))):
                 packed += closing

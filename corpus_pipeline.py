@@ -44,7 +44,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=packing.BEHIND_OTHERS)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=packing.BEHIND_OTHERS, text_bytes=packing.TEXT_BYTES_BEHIND)
 
 
 STAGES = [

@@ -192,3 +192,12 @@ def test_words_are_put_together_as_the_library_encodes_them():
     known = Counted(100)
     known.update({"a": b"1"})
     assert known.missing({"a", "b"}) == {"b"}
+
+
+def test_packing_in_small_runs_of_text(spark, vocabulary):
+    """pipeline: behind other stages texts are taken and words remembered in smaller numbers; the pieces stay the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few = packing.pieces(docs, path, remember=(50, 50), text_bytes=2_000)
+    assert sorted(map(str, few.collect())) == sorted(map(str, packing.pieces(docs, path).collect()))
+    assert packing.TEXT_BYTES_BEHIND < packing.TEXT_BYTES and sum(packing.BEHIND_OTHERS) * 2 < 700_000
