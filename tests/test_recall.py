@@ -1,5 +1,6 @@
 """Whole recalls over an invented harbour: who holds a post when, what is missing, what is hidden."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,19 @@ def test_questions_meet_turns_in_blocks_and_ties_go_to_the_greater_id(spark):
     met = shared.top_shared(said, asked, 5, turns=300, questions=40, turn_block=100, question_block=20)
     assert {tuple(r) for r in top_n(met, ["qn"], order, 5).select("qn", "id", "score").collect()} == want
     assert met.count() < plain.count()
+
+
+def test_turns_share_names_with_passages_where_they_lie(spark, tmp_path):
+    said = [(1, 0, "user", "Tide and/or wind, Skagen's tide."), (1, 1, "user", "Nothing here"), (2, 0, "user", None), (2, 1, "user", "wind")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "Skagen tide and/or ice"), (8, "the wind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    from colloquy import suite
+
+    con = duckdb.connect()
+    for t in ("conversations", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = suite.QUERIES["names_mentioned"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(suite.ORACLES["names_mentioned"]).fetchall()) == [(1000, 7, 1), (1000, 8, 1), (2001, 8, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "item_id" not in moved[0]
