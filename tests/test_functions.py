@@ -60,6 +60,43 @@ def test_spans_cut_the_bytes_of_the_surface(parts):
         assert sentence.encode()[start:end].decode() == surface
 
 
+def word_by_word(sentence):
+    """Every mention, from the letters of all words of one text."""
+    spans = mentions.word_spans(sentence)
+    found = [(sentence[s:e].lower(), kind, s, e) for kind, s, e in mentions.technical(sentence)]
+    held = lambda s, e: any(s < y and x < e for _, _, x, y in found)
+    letters = "".join("|" if held(s, e) else mentions._letter(sentence[s:e], o) for s, e, o in spans)
+    for hit in mentions._RUNS.finditer(letters):
+        run = spans[hit.start() : hit.end()]
+        surface = sentence[run[0][0] : run[-1][1]]
+        key = {"date": lambda: mentions._date_key([sentence[s:e] for s, e, _ in run]), "quantity": lambda: mentions._quantity_key(surface), "name": lambda: mentions.name_key(surface)}[hit.lastgroup]()
+        if key:
+            found.append((key, hit.lastgroup, run[0][0], run[-1][1]))
+    size = lambda n: len(sentence[:n].encode())
+    return [(k, kind, sentence[s:e], size(s), size(e)) for k, kind, s, e in sorted(found, key=lambda m: m[2])]
+
+
+ODD = """may May March 3 3rd 12th 2024 2024-05-06 van von der the and of Anna Lars NATO X1 Anna's O’Neil’s 'Tis ... . - -- ' ! ? v1.2 V2.0 $5 €9 5% 12ms foo/bar.py
+A_B=1 x::y f() (f()) http://a.b/c ./x ǅa İstanbul ß 日本 ١٢ ² Sept sept May. Anna. Dr. Dr.- e.g. U.S. 😀 A😀b / .5 -5 +3 0005 Monday vii v V""".split()
+GAPS = [" ", " ", " ", "", ". ", "\n", "  ", ", ", "\t", "\x85", "! "]
+
+
+@given(st.lists(st.lists(st.tuples(st.sampled_from(ODD), st.sampled_from(GAPS)), max_size=9), max_size=4))
+def test_texts_read_as_one_hold_the_mentions_of_each(said):
+    texts = ["".join(w + g for w, g in parts) for parts in said]
+    found = mentions._mention_lists(pa.array(texts, pa.string())).to_pylist()
+    assert [[tuple(m.values()) for m in row] for row in found] == [word_by_word(t) for t in texts]
+
+
+def test_words_of_no_mention_are_not_looked_at(monkeypatch):
+    seen = []
+    letter = mentions._letter
+    monkeypatch.setattr(mentions, "_letter", lambda word, opens: seen.append(word) or letter(word, opens))
+    found = find_mentions("the boat of the port was may be late " * 500 + "as Lotte of Turku said on 3 may and sailed")
+    assert [key for key, *_ in found] == ["lotte of turku", "05-03"]
+    assert seen == ["Lotte", "of", "Turku", "on", "3", "may"]
+
+
 #: A Thursday afternoon.
 ASKED = midnight(2030, 8, 15) + 15 * 3_600_000
 
