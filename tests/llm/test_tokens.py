@@ -37,6 +37,24 @@ def test_words_apart_give_the_ids_of_the_whole(text):
 
 
 ENCODERS: dict = {}
+CUT = ["'", "'s", "'re", "'ll", "'d", "'S", "a", "Bc", "l", "e", "12", ".", ",", "é", "×", "“", "’s", "€", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\0", "²", "日本", "<|endoftext|>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(CUT), max_size=9).map("".join), max_size=4))
+def test_texts_cut_at_once_give_the_ids_of_each(texts):
+    """op10: contractions, white space and signs where texts meet, and texts with other characters between them."""
+    name = "byte_bpe_50k.json"
+    encoder = ENCODERS.setdefault(name, None) or WordEncoder(public_tokenizers.path(name))
+    ENCODERS[name] = encoder
+    assert encoder.encode(texts) == encoder.ids(texts)
+
+
+def test_words_with_marks_behind_them_are_encoded_as_pieces():
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["an oak, an oak.", "an oak; an oak\nan oak's 'oak"]
+    assert encoder.encode(texts) == encoder.ids(texts)
+    assert not encoder.words and {b"an", b" oak", b",", b" an", b"'s", b" '", b"oak"} <= set(encoder.pieces)
 
 
 @settings(max_examples=150, deadline=None)
