@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy import schema as sc
+from colloquy.operators import graph, lexical
 from colloquy.plans import recall as rc
 from colloquy.plans.memory import Memory
 
@@ -175,3 +176,16 @@ def test_turns_share_names_with_passages_where_they_lie(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning" in line]
     assert len(moved) == 1 and "item_id" not in moved[0]
+
+
+def test_questions_are_read_without_an_index(spark, monkeypatch):
+    questions = spark.createDataFrame([("a", "where does oddvar lien steer now?"), ("b", "Anna's boats' port, the Port of Skagen's")], "query_id string, query string")
+    lines = lambda memory: sorted((r.query_id, r.temporal, r.tokens, r.entities, r.names) for r in rc.profile(questions, memory).collect())
+    whole = lines(harbour(spark, PILOTS, analyzer="light", embed_fn=None))
+    for builder in (lexical, "write_index"), (lexical, "with_postings"), (lexical, "with_words"), (graph, "write_keys"):
+        monkeypatch.setattr(*builder, lambda *_: pytest.fail("builds an index"))
+    assert lines(harbour(spark, PILOTS, analyzer="light", embed_fn=None, searched=False)) == whole
+    assert "oddvar lien" in whole[0][3]
+    from colloquy import suite
+
+    suite.QUERIES["recall_turns_profile"](spark, SF)
