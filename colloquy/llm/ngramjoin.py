@@ -33,6 +33,8 @@ from colloquy.llm.tables import slices, stored, text_offsets
 NULL_KEY = (1 << 63) - 1
 #: Members of a family that one task compares with each other.
 BLOCK = 600
+#: Members that walk a prefix tree side by side.
+PROBES = 64
 PLACES = grams.powers(0xD1342543DE82EF95, 64)[1:]
 TOKEN = U((1 << 40) - 1)
 
@@ -136,23 +138,6 @@ def least_overlap(x: np.ndarray | int, y: np.ndarray | int, percent: int) -> np.
     return -(-percent * (x + y) // (100 + percent))
 
 
-class Forest:
-    """Disjoint sets over row numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
 class PrefixTree:
     """Ordered sets as a tree of edges; an edge is a run of n-grams without a branch."""
 
@@ -212,27 +197,37 @@ class PrefixTree:
         self.leaf_edge = np.asarray(self.leaf_edge)
         self.leaf_of = np.asarray(self.order)
 
-    def similar(self, own: np.ndarray, size: int) -> np.ndarray:
-        """Row numbers of the sets that are similar enough to an ordered set."""
-        has = np.zeros(len(self.tokens), bool)
-        at = np.minimum(np.searchsorted(self.tokens, own), max(len(self.tokens) - 1, 0))
-        has[at[self.tokens[at] == own] if len(self.tokens) else at[:0]] = True
-        overlap = np.full(len(self.parent), -1, np.int64)
+    def similar(self, own: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some ordered sets and those of the tree the pairs that are similar enough: places in `own`, in order, and row numbers.
+
+        The sets walk the tree side by side: an edge's n-grams are looked up once for all of them, and an edge is left when none can reach the overlap needed below it.
+        """
+        has = np.zeros((len(self.tokens), len(own)), np.uint8)
+        for i, x in enumerate(own):
+            at = np.minimum(np.searchsorted(self.tokens, x), max(len(self.tokens) - 1, 0))
+            has[at[self.tokens[at] == x] if len(self.tokens) else at[:0], i] = 1
+        lengths = np.asarray([len(x) for x in own])
+        after = np.stack([len(x) - np.searchsorted(x, self.last, "right") for x in own], axis=1)
+        after = np.minimum(np.where(self.length[:, None] > 0, after, lengths), self.below[:, None])
+        needed = least_overlap(sizes[None, :], self.least[:, None], self.percent)
+        overlap = np.full((len(self.parent), len(own)), -1, np.int64)
         for level, edges in enumerate(self.levels):
             if level:
-                edges = edges[overlap[self.parent[edges]] >= 0]
+                edges = edges[(overlap[self.parent[edges]] >= 0).any(axis=1)]
             if not len(edges):
                 break
-            n, base = self.length[edges], (overlap[self.parent[edges]] if level else 0)
-            where = np.repeat(self.start[edges] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            total = np.concatenate([[0], np.cumsum(has[self.dense[where]])])
-            ends = np.cumsum(n)
-            count = base + total[ends] - total[ends - n]
-            left = len(own) - np.searchsorted(own, self.last[edges], "right")
-            enough = count + np.minimum(np.where(n > 0, left, len(own)), self.below[edges]) >= least_overlap(size, self.least[edges], self.percent)
-            overlap[edges[enough]] = count[enough]
-        found = overlap[self.leaf_edge]
-        return self.leaf_of[(found >= 0) & (found >= least_overlap(size, self.sizes[self.leaf_of], self.percent))]
+            count = overlap[self.parent[edges]] if level else np.zeros((len(edges), len(own)), np.int64)
+            some = np.flatnonzero(self.length[edges])
+            if len(some):
+                n = self.length[edges[some]]
+                first = np.concatenate([[0], np.cumsum(n)[:-1]])
+                where = np.repeat(self.start[edges[some]] - first, n) + np.arange(n.sum())
+                met = np.add.reduceat(has[self.dense[where]], first, axis=0, dtype=np.int32)
+                count[some] = np.where(count[some] >= 0, count[some] + met, -1)
+            overlap[edges] = np.where((count >= 0) & (count + after[edges] >= needed[edges]), count, -1)
+        found = overlap[self.leaf_edge].T
+        place, leaf = np.nonzero((found >= 0) & (found >= least_overlap(sizes[:, None], self.sizes[self.leaf_of][None, :], self.percent)))
+        return place, self.leaf_of[leaf]
 
 
 def _linker(percent: int):
@@ -248,17 +243,27 @@ def _linker(percent: int):
         for a, z in zip(cut.tolist(), cut[1:].tolist(), strict=False):
             if z - a < 2:
                 continue
-            tree, forest = PrefixTree(lists[a:z], size[a:z], percent), Forest(z - a)
-            for i in np.flatnonzero(probe[a:z]).tolist():
-                if all(forest.find(j) == 0 for j in range(z - a)) and z - a > 2:
+            asked = np.flatnonzero(probe[a:z])
+            # Those that only ask stand in a block of their own too.
+            held = np.arange(z - a) if len(asked) == z - a else np.flatnonzero(~probe[a:z])
+            if not len(held):
+                continue
+            tree, root = PrefixTree([lists[a + i] for i in held.tolist()], size[a:z][held], percent), np.arange(z - a)
+            for x in range(0, len(asked), PROBES):
+                if not root.any() and z - a > 2:
                     break  # all are one already
-                for j in tree.similar(lists[a + i], int(size[a + i])).tolist():
-                    if apart[a + i] != apart[a + j] or key[a + i] == key[a + j]:
-                        forest.join(i, j)
-            for i in range(z - a):
-                if (root := forest.find(i)) != i:
-                    nodes.append(int(key[a + i]))
-                    least.append(int(key[a + root]))
+                mine = asked[x : x + PROBES]
+                place, other = tree.similar([lists[a + i] for i in mine.tolist()], size[a:z][mine])
+                i, j = mine[place], held[other]
+                some = (apart[a + i] != apart[a + j]) | (key[a + i] == key[a + j])
+                i, j = i[some], j[some]
+                for p in np.unique(i).tolist():
+                    tied = np.unique(root[np.append(j[i == p], p)])
+                    if len(tied) > 1:
+                        root[np.isin(root, tied)] = tied[0]
+            for i in np.flatnonzero(root != np.arange(z - a)).tolist():
+                nodes.append(int(key[a + i]))
+                least.append(int(key[a + root[i]]))
         return pa.table({"a": pa.array(nodes, pa.int64()), "b": pa.array(least, pa.int64())})
 
     return link

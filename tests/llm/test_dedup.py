@@ -106,3 +106,18 @@ def test_join_of_odd_rows(spark, odd_docs):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr)
     assert got == sorted([(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 2, 6), (7, 2, 7), (None, 1, None)], key=repr)
     assert ngramjoin.join(odd_docs.limit(0)).count() == 0
+
+
+def test_sets_walk_the_tree_side_by_side():
+    rng = np.random.default_rng(8)
+    base = np.sort(rng.choice(2000, 120, replace=False)).astype(np.uint64)
+    lists = [np.unique(np.where(rng.random(120) < rng.choice([0.02, 0.1]), rng.integers(0, 2000, 120).astype(np.uint64), base)) for _ in range(70)]
+    lists += [base[:40], base[:100], base[60:], np.empty(0, np.uint64), np.asarray([5000], np.uint64)]
+    sizes = np.asarray([max(len(x), 1) for x in lists])
+    held = np.arange(0, len(lists), 2)
+    tree = ngramjoin.PrefixTree([lists[i] for i in held], sizes[held], 80)
+    place, other = tree.similar(lists, sizes)
+    got = {(int(i), int(held[j])) for i, j in zip(place, other, strict=True)}
+    common = lambda i, j: len(np.intersect1d(lists[i], lists[j]))
+    want = {(i, int(j)) for i in range(len(lists)) for j in held if 100 * (c := common(i, j)) >= 80 * (sizes[i] + sizes[j] - c)}
+    assert got == want and len(got) > 500
