@@ -4,9 +4,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy import runtime
 from colloquy import schema as sc
 from colloquy.curation.reads import same
 from colloquy.functions.porter import terms
@@ -145,3 +147,25 @@ def test_prefixes_reach_the_embedder(spark):
     read = rc.profile(spark.createDataFrame([("q", "mud")], "query_id string, query string"), memory).first()
     assert read.vec == [10.0, 0.0]
     memory.close()
+
+
+def test_index_of_a_known_size_reads_entries_once(spark, tmp_path):
+    texts = [(i, " ".join(f"w{i * j % 97}" for j in range(1, 40))) for i in range(300)] + [(300, None), (301, "")]
+    turns = runtime.spread_scan(spark.createDataFrame(texts, "id long, text string"), 64)
+    entries = lexical.with_postings(turns, "porter")
+    below = lexical.postings(entries)._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[-1]
+    assert "_porter_positions" not in below
+    told = lexical.write_index(entries, str(tmp_path / "told"), bucket_postings=500, size=lexical.text_size(turns))
+    plain = lexical.write_index(entries.persist(), str(tmp_path / "plain"), bucket_postings=500)
+    assert (told.n, told.avgdl) == (plain.n, plain.avgdl) == (302, 11700 / 302)
+    assert same(told.rows.drop("bucket"), plain.rows.drop("bucket")) and same(told.terms.drop("bucket"), plain.terms.drop("bucket"))
+
+
+def test_runs_on_their_way_to_buckets_are_small(spark):
+    n = 20_000
+    words = pa.table({"bucket": pa.array([i % 7 for i in range(n)], pa.int32()), "term": [f"term{i * i % 501}" for i in range(n)], "id": list(range(n))})
+    rows = clustered._packed(words, "term", 3)
+    back = pa.concat_tables([pa.ipc.open_stream(run.as_buffer()).read_all() for run in rows.column(2)])
+    key = [("id", "ascending")]
+    assert back.sort_by(key).equals(words.sort_by(key)) and rows.column(0).to_pylist() == list(range(7))
+    assert rows.nbytes < words.nbytes / 4
