@@ -189,3 +189,15 @@ def test_questions_are_read_without_an_index(spark, monkeypatch):
     from colloquy import suite
 
     suite.QUERIES["recall_turns_profile"](spark, SF)
+
+
+def test_candidates_carry_no_options_of_their_question(spark, monkeypatch):
+    from colloquy import runtime
+
+    cut, kept = runtime.checkpoint, []
+    monkeypatch.setattr(runtime, "checkpoint", lambda df: kept.append(df.columns) or cut(df))
+    questions = spark.createDataFrame([("a", "where does oddvar lien steer now?")], "query_id string, query string")
+    answer = rc.recall(harbour(spark, PILOTS, analyzer="light", embed_fn=None), questions)
+    assert answer.fused.count() > 0
+    candidates = [columns for columns in kept if "view" in columns]
+    assert len(candidates) == 2 and not any(c.startswith("q_") for columns in candidates for c in columns)
