@@ -264,3 +264,13 @@ def test_bytes_of_many_texts_are_hashed_at_once(monkeypatch):
         assert len(calls) <= embed.FEW
         assert got == [embed.fnv1a((t or "").encode()) for t in a.to_pylist()]
     assert (embed.hash_vector("red red blue") != embed.hash_vector("red blue")).any()
+
+
+def test_workers_remember_a_bounded_number_of_words():
+    from colloquy.functions import embed, mentions, porter
+
+    embed.hash_vector(" ".join(f"word{i}" for i in range(2000)))
+    assert embed._word_features.cache_info().currsize >= 2000 and embed._piece_slot.cache_info().currsize < 2000
+    assert max(f.cache_parameters()["maxsize"] for f in (embed._word_features, embed._piece_slot, mentions._letter, porter.porter)) <= 100_000
+    slots, weights = embed._word_features("word7")
+    assert slots.nbytes + weights.nbytes <= 6 * len(slots)
